@@ -13,7 +13,7 @@ Every suffix is judged by its first ``width`` bytes. The steps:
    position; all but the first of a tie are repeats. Within a map task ties are resolved before the shuffle.
 3. The repeats of each document are merged to runs and cut out.
 
-Memory: a task holds one bucket, or 24 MB of text at a time; a longer text is taken in overlapping pieces. The table of
+Memory: a task holds one bucket, or 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
 verdicts has 2**FILTER_BITS bits whatever the input; if it fills up, more suffixes are sorted and results stay the same.
 """
 
@@ -44,7 +44,7 @@ from chronolith.llm.common import (
 COVER_MOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 FILTER_BITS = 28
-CHUNK, FLUSH, PIECE = 1 << 20, 24 << 20, 4 << 20
+CHUNK, FLUSH, PIECE = 1 << 20, 8 << 20, 4 << 20
 _COVERED = np.zeros(COVER_MOD, bool)
 _COVERED[list(COVER)] = True
 U64 = np.uint64
@@ -260,6 +260,7 @@ def _sort_pass(bits, dbits, width, verdicts):
                 continue
             order, ks, kb = _split(k, bits)
             d, p = d[order], p[order]
+            del k, order
             a, b = _runs(ks)
             first = np.zeros(len(ks), bool)
             first[a] = True
