@@ -13,7 +13,7 @@ Every suffix is judged by its first ``width`` bytes. The steps:
    position; all but the first of a tie are repeats. Within a map task ties are resolved before the shuffle.
 3. The repeats of each document are merged to runs and cut out.
 
-Memory: a task holds one bucket, or 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
+Memory: a task holds one bucket, or 3 to 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
 verdicts has 2**FILTER_BITS bits whatever the input; if it fills up, more suffixes are sorted and results stay the same.
 """
 
@@ -44,7 +44,7 @@ from chronolith.llm.common import (
 COVER_MOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 FILTER_BITS = 28
-CHUNK, FLUSH, PIECE = 1 << 20, 8 << 20, 4 << 20
+CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 8 << 20, 3 << 20, 4 << 20
 _COVERED = np.zeros(COVER_MOD, bool)
 _COVERED[list(COVER)] = True
 U64 = np.uint64
@@ -105,7 +105,7 @@ def _chunks(batches, width, sort=False):
                 for base in range(0, size, PIECE):
                     piece = data[offsets[lo] + base : min(offsets[lo] + base + PIECE + width - 1, offsets[hi])]
                     yield _Chunk(piece, np.array([0, len(piece)]), docs[lo:hi], base, width), batch, lo
-            if held >= FLUSH:
+            if held >= (SORT_FLUSH if sort else FLUSH):
                 held = 0
                 yield None, None, None
         if sort:  # ties are resolved among documents in order, so not across batches
@@ -261,11 +261,10 @@ def _sort_pass(bits, dbits, width, verdicts):
             order, ks, kb = _split(k, bits)
             d, p = d[order], p[order]
             del k, order
-            a, b = _runs(ks)
-            first = np.zeros(len(ks), bool)
-            first[a] = True
-            leader = np.repeat(a, b - a)
+            first = np.r_[True, ks[1:] != ks[:-1]]
+            leader = np.maximum.accumulate(np.where(first, np.arange(len(ks), dtype=np.int32), 0))
             later = (d != d[leader]) | (p != p[leader])
+            del leader
             rows = [(m[0], 1, None, *m[1:]) for m in _join_runs(d[later], p[later], dbits)]
             edges = np.r_[0, kb, len(ks)]
             for n in range(1 << bits):
