@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,3 +214,35 @@ def shingles_of(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int = 5
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+# ---------------------------------------------------------------- counts in a table of fixed size
+
+COUNTS = "block int, counts binary"
+
+
+def counts_batch(counts: np.ndarray, name: str, block_bits: int = 14) -> pa.RecordBatch:
+    """The table of a task as rows (name, block, counts) of its blocks that hold anything."""
+    blocks = [(b, c) for b, c in enumerate(counts.reshape(-1, 1 << block_bits)) if c.any()]
+    packed = [zlib.compress(planes(c.astype(np.int64)), 1) for _, c in blocks]
+    return pa.RecordBatch.from_arrays([pa.array([name] * len(blocks), pa.string()), pa.array([b for b, _ in blocks], pa.int32()), pa.array(packed, pa.binary())], ["name", "block", "counts"])
+
+
+def counts_summed(rows: DataFrame, slots: int, block_bits: int = 14) -> dict[str, np.ndarray]:
+    """Per name, the sum of all tasks' tables; the driver gets ``slots`` counts a name."""
+
+    def add(key, pdf):
+        total = sum(unplanes(zlib.decompress(c), np.int64) for c in pdf.counts)
+        return pd.DataFrame({"name": [key[0]], "block": [key[1]], "counts": [zlib.compress(planes(total), 1)]})
+
+    out: dict[str, np.ndarray] = {}
+    for r in rows.groupBy("name", "block").applyInPandas(add, "name string, " + COUNTS).toPandas().itertuples():
+        table = out.setdefault(r.name, np.zeros(slots, np.int64))
+        table[r.block << block_bits : (r.block + 1) << block_bits] = unplanes(zlib.decompress(bytes(r.counts)), np.int64)
+    return out
+
+
+def bounded_share(rows: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
+    """``rows`` if they are at most ``bound``, else those whose hash falls into a share that holds about ``bound`` of them."""
+    n = rows.count()
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / n))

@@ -1,15 +1,16 @@
 """Jaccard self-join of word n-gram sets by prefix trees.
 
-Sets are ordered by one global order: (how often the n-gram's slot in a table of SLOTS counts occurs, n-gram). The
-counts cover all rows, and any slot table gives the same results, since all sets share it; rare n-grams come first.
-
 1. Equal sets collapse to the smallest doc_id.
-2. If two sets of sizes a and b are similar, they share at least one of the first a - ceil(0.75 a) + 1 n-grams of the
-   order. These prefixes are dealt out by n-gram, packed. Within the list of one n-gram each set is paired with the
-   list's first set only; pairs are verified and what links becomes one component.
-3. In lists that still hold several components, sets of different components whose lengths and positions allow the
+2. Document frequencies: the sets' n-grams are dealt out by n-gram, packed (40 bits each), and counted. What occurs in
+   one set only is dropped there; the rest goes back to its document with its frequency class. The global order is
+   (frequency class, n-gram), so n-grams of one set only come first. A wrongly shared 40-bit key adds a candidate, no more.
+3. If two sets of sizes a and b are similar, they share at least one of the first a - ceil(0.75 a) + 1 n-grams of the
+   order, and at least 0.75 a of each set's n-grams are shared ones; other sets leave here. The shared part of each
+   prefix is dealt out by n-gram. Within the list of one n-gram every set is paired with the list's most central one
+   (the smallest share of n-grams of its own: the source of copies); verified pairs become components.
+4. In lists that still hold several components, sets of different components whose lengths and positions allow the
    overlap are paired, those already compared left out. After this every possible link between components was tested.
-4. Verification: each left-hand set meets its candidates in groups of bounded size. The candidates' ordered sets form a
+5. Verification: each left-hand set meets its candidates in groups of bounded size. The candidates' ordered sets form a
    prefix tree (kept as sorted sequences with their common prefix lengths): the tree is traversed once, the overlap so
    far is shared by all sets below a node, and a subtree is left where the n-grams that remain can't reach the bound.
 
@@ -18,8 +19,6 @@ Similar sets within one component are not paired again: they lose no link betwee
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -43,7 +42,6 @@ from chronolith.llm.common import (
 )
 from chronolith.llm.components import components
 
-SLOT_BITS, BLOCK_BITS = 22, 16
 GROUP = 256  # candidates of one set in a group
 CHUNK = 1 << 20
 U64 = np.uint64
@@ -61,98 +59,150 @@ def _sets(batch, width):
 
 
 def _digest_pass(width):
-    """Per document its set's size and digest; at the end of a task, the counts of its slots in blocks."""
-    names = ["doc_id", "n", "d1", "d2", "block", "counts"]
+    """Per document its set's size and digest."""
 
     def run(batches):
-        counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for ids, sets in _sets(batch, width):
                 rows = [(i, len(s), int(mix(s).sum(dtype=U64).view(np.int64)), int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64))) for i, s in zip(ids, sets)]
-                if any(len(s) for s in sets):
-                    counts += np.bincount((np.concatenate(sets) >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-                cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, _L) for c in cols], pa.nulls(len(rows), _I), pa.nulls(len(rows), _B)], names)
-        blocks = [(b, c) for b, c in enumerate(counts.reshape(-1, 1 << BLOCK_BITS)) if c.any()]
-        n = len(blocks)
-        packed = [zlib.compress(planes(c.astype(np.uint32)), 1) for _, c in blocks]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(n, _L)] * 4, pa.array([b for b, _ in blocks], _I), pa.array(packed, _B)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, _L) for c in zip(*rows)], ["doc_id", "n", "d1", "d2"])
 
     return run
 
 
-def _sum_block(key, pdf):
-    total = sum(unplanes(zlib.decompress(c), np.uint32).astype(np.int64) for c in pdf.counts)
-    return pd.DataFrame({"block": [key[0]], "counts": [zlib.compress(planes(np.minimum(total, 65535).astype(np.uint16)), 1)]})
-
-
-def _ordered(s, slots):
-    """A set in the global order, and the order's keys."""
-    often = slots[(s >> U64(64 - SLOT_BITS)).astype(np.int64)]
-    order = np.lexsort((s, often))
-    return s[order], often[order]
-
-
 def _at_least(percent, a, b):
     """The overlap that sets of sizes a and b need."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _prefix_pass(width, percent, bits, frequency):
-    names = ["bucket", "grams", "docs", "sizes", "places"]
+def _runs(a):
+    """Starts and ends of runs of equal values."""
+    s = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    return s, np.r_[s[1:], len(a)][: len(s)]
+
+
+def _keys_pass(width, bits):
+    """All sets by n-gram, packed: one row for each bucket of n-grams and some thousand documents."""
+    names = ["bucket", "keys", "docs", "counts", "sizes"]
+
+    def flush(docs, sets):
+        tokens = cat(sets, U64)
+        lens = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), lens)
+        bucket = (tokens >> U64(64 - bits)).astype(np.uint32)
+        order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
+        low, row, bucket = ((tokens << U64(bits)) >> U64(32)).astype(np.uint32)[order], row[order], bucket[order]
+        docs, rows = np.array(docs, np.int64), []
+        for lo, hi in zip(*_runs(bucket)):
+            s, t = _runs(row[lo:hi])
+            who = row[lo:hi][s]
+            rows.append((int(bucket[lo]), planes(low[lo:hi]), planes(docs[who]), planes((t - s).astype(np.uint32)), planes(lens[who].astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, (_I, _B, _B, _B, _B))], names)
 
     def run(batches):
-        slots = np.frombuffer(frequency.value, np.uint16)
-        got = []
-
-        def flush():
-            g, d, n, p = (cat([x[i] for x in got], k) for i, k in enumerate((U64, np.int64, np.uint32, np.uint32)))
-            got.clear()
-            order = np.argsort(g, kind="stable")
-            g, d, n, p = g[order], d[order], n[order], p[order]
-            edges = np.r_[0, np.searchsorted(g, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits)), len(g)]
-            rows = [(b, planes(g[lo:hi]), planes(d[lo:hi]), planes(n[lo:hi]), planes(p[lo:hi])) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])) if hi > lo]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (_I, _B, _B, _B, _B))], names)
-
-        held = 0
+        docs, sets, held = [], [], 0
         for batch in batches:
-            for ids, sets in _sets(batch, width):
-                for i, s in zip(ids, sets):
-                    n = len(s)
-                    if n:
-                        m = n - (-(-percent * n // 100)) + 1
-                        first = _ordered(s, slots)[0][:m]
-                        got.append((first, np.full(m, i, np.int64), np.full(m, n, np.uint32), np.arange(m, dtype=np.uint32)))
-                        held += m
-                if held > 2_000_000:
-                    yield flush()
-                    held = 0
-        yield flush()
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable")  # near ids pack well
+            for ids, some in _sets(batch.take(pa.array(order)), width):
+                for i, s in zip(ids, some):
+                    if len(s):
+                        docs.append(i)
+                        sets.append(s)
+                        held += len(s)
+                if held > 1_000_000:
+                    yield flush(docs, sets)
+                    docs, sets, held = [], [], 0
+        yield flush(docs, sets)
+
+    return run
+
+
+def _shared_keys(dbits):
+    """Of one bucket of n-grams: those of several sets, back by document with the frequency's class."""
+    names = ["dbucket", "grams", "kinds", "docs", "counts", "sizes"]
+
+    @grouped
+    def run(key, batches):
+        k, d, n = [], [], []
+        for t in batches:
+            for r in t.to_pylist():
+                times = unplanes(r["counts"], np.uint32)
+                k.append(unplanes(r["keys"], np.uint32))
+                d.append(np.repeat(unplanes(r["docs"], np.int64), times))
+                n.append(np.repeat(unplanes(r["sizes"], np.uint32), times))
+        k, d, n = cat(k, np.uint32), cat(d, np.int64), cat(n, np.uint32)
+        order = np.argsort(k, kind="stable")
+        s, t = _runs(k[order])
+        often = np.empty(len(k), np.int64)
+        often[order] = np.repeat(t - s, t - s)
+        keep = often > 1
+        k, d, n, often = k[keep].astype(U64) | U64(int(key[0].as_py()) << 32), d[keep], n[keep], np.log2(often[keep]).astype(np.uint8)
+        home = (mix(d.view(U64)) >> U64(64 - dbits)).astype(np.int64)
+        order = np.lexsort((d, home))
+        k, d, n, often, home = k[order], d[order], n[order], often[order], home[order]
+        rows = []
+        for lo, hi in zip(*_runs(home)):
+            s, t = _runs(d[lo:hi])
+            rows.append((int(home[lo]), planes(k[lo:hi]), often[lo:hi].tobytes(), planes(d[lo:hi][s]), planes((t - s).astype(np.uint32)), planes(n[lo:hi][s])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, (_I, *[_B] * 5))], names)
+
+    return run
+
+
+def _prefixes(percent, bits):
+    """Of one bucket of documents: the shared part of their prefixes, by n-gram, packed."""
+    names = ["bucket", "grams", "docs", "sizes", "places", "own"]
+
+    @grouped
+    def run(key, batches):
+        cols = [[], [], [], []]
+        for t in batches:
+            for r in t.to_pylist():
+                times = unplanes(r["counts"], np.uint32)
+                cols[0].append(unplanes(r["grams"], U64))
+                cols[1].append(np.frombuffer(r["kinds"], np.uint8))
+                cols[2].append(np.repeat(unplanes(r["docs"], np.int64), times))
+                cols[3].append(np.repeat(unplanes(r["sizes"], np.uint32), times))
+        g, often, d, n = (cat(c, k) for c, k in zip(cols, (U64, np.uint8, np.int64, np.uint32)))
+        n = n.astype(np.int64)
+        order = np.lexsort((g, often, d))
+        g, d, n = g[order], d[order], n[order]
+        s, t = _runs(d)
+        shared = np.repeat(t - s, t - s)
+        own = n - shared
+        place = own + np.arange(len(d)) - np.repeat(s, t - s)
+        need = -(-percent * n // 100)
+        # one n-gram of slack, should two of a set have fallen on one key
+        keep = (shared + 1 >= need) & (place < n - need + 2)
+        g, d, n, place, own = g[keep], d[keep], n[keep], place[keep], own[keep]
+        home = (mix(g) >> U64(64 - bits)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        g, d, n, place, own, home = (a[order] for a in (g, d, n, place, own, home))
+        rows = [(int(home[lo]), planes(g[lo:hi]), planes(d[lo:hi]), *(planes(a[lo:hi].astype(np.uint32)) for a in (n, place, own))) for lo, hi in zip(*_runs(home))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, (_I, *[_B] * 5))], names)
 
     return run
 
 
 def _lists(percent):
-    """Of one bucket of n-grams: the lists of two sets or more, and the pair of each set with its list's first."""
+    """Of one bucket of n-grams: the lists of two sets or more, and the pair of each set with its list's most central one."""
     names = ["gram", "doc", "n", "place", "a", "b"]
-    kinds = [_L, _L, _L, _L, _L, _L]
 
     @grouped
     def run(key, batches):
-        cols = [[], [], [], []]
+        cols = [[], [], [], [], []]
         for t in batches:
             for r in t.to_pylist():
-                for to, name, kind in zip(cols, ("grams", "docs", "sizes", "places"), (U64, np.int64, np.uint32, np.uint32)):
+                for to, name, kind in zip(cols, ("grams", "docs", "sizes", "places", "own"), (U64, np.int64, np.uint32, np.uint32, np.uint32)):
                     to.append(unplanes(r[name], kind))
-        g, d, n, p = (cat(c, k).astype(k2) for c, k, k2 in zip(cols, (U64, np.int64, np.uint32, np.uint32), (U64, np.int64, np.int64, np.int64)))
-        order = np.lexsort((d, n, g))
+        g, d = cat(cols[0], U64), cat(cols[1], np.int64)
+        n, p, own = (cat(c, np.uint32).astype(np.int64) for c in cols[2:])
+        order = np.lexsort((d, own / np.maximum(n, 1), g))
         g, d, n, p = g[order], d[order], n[order], p[order]
-        new = np.r_[True, g[1:] != g[:-1]] if len(g) else np.empty(0, bool)
-        start = np.flatnonzero(new)
-        size = np.diff(np.r_[start, len(g)])
+        s, t = _runs(g)
+        size = t - s
         many = np.repeat(size, size) > 1
-        head = np.repeat(start, size)
+        head = np.repeat(s, size)
         can = many & (d != d[head]) & _possible(percent, n, p, n[head], p[head])
         pairs = np.unique(np.c_[d[head[can]], d[can]], axis=0) if can.any() else np.empty((0, 2), np.int64)
         e = lambda k: pa.nulls(k, _L)
@@ -166,31 +216,18 @@ def _lists(percent):
 def _possible(percent, n, p, m, q):
     """Whether sets of sizes n and m that first share the n-gram at places p and q can be similar."""
     need = -(-percent * (n + m) // (100 + percent))
-    return (np.minimum(n - p, m - q) >= need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    return (np.minimum(n - p, m - q) + 1 >= need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def _tokens_pass(width, frequency):
+def _tokens_pass(width):
     def run(batches):
-        slots = np.frombuffer(frequency.value, np.uint16)
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                ordered = [_ordered(s, slots) for s in sets]
-                grams = [g.tobytes() for g, _ in ordered]
-                often = [planes(o) for _, o in ordered]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, _L), pa.array(grams, _B), pa.array(often, _B)], ["id", "grams", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, _L), pa.array([s.tobytes() for s in sets], _B)], ["id", "grams"])
 
     return run
 
 
-def _key(grams: bytes, often: bytes) -> bytes:
-    """Bytes that sort as the global order does."""
-    g, o = np.frombuffer(grams, U64), unplanes(often, np.uint16)
-    out = np.empty((len(g), 10), np.uint8)
-    out[:, :2] = o.astype(">u2").view(np.uint8).reshape(-1, 2)
-    out[:, 2:] = g.astype(">u8").view(np.uint8).reshape(-1, 8)
-    return out.tobytes()
-
-
 def trie_join(probe: np.ndarray, sequences: list[np.ndarray], percent: int) -> list[bool]:
     """Whether each of ``sequences`` is similar to ``probe``; all in the global order, ``sequences`` sorted by it.
 
@@ -229,7 +266,7 @@ def _verify(percent):
     def run(key, pdf):
         probe = np.frombuffer(pdf.grams[pdf.role == 0].iloc[0], U64)
         rest = pdf[pdf.role == 1]
-        order = sorted(range(len(rest)), key=[_key(g, o) for g, o in zip(rest.grams, rest.often)].__getitem__)
+        order = sorted(range(len(rest)), key=[np.frombuffer(g, U64).astype(">u8").tobytes() for g in rest.grams].__getitem__)
         ids = rest.id.to_numpy()[order]
         near = trie_join(probe, [np.frombuffer(rest.grams.iloc[i], U64) for i in order], percent)
         hit = ids[np.array(near, bool)]
@@ -259,27 +296,22 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
-    first = written(docs.mapInArrow(_digest_pass(width), "doc_id long, n long, d1 long, d2 long, block int, counts binary"), "ngram-digests")
-    blocks = first.where("block is not null").groupBy("block").applyInPandas(_sum_block, "block int, counts binary").toPandas()  # 2**SLOT_BITS counts in all
-    table = np.zeros((1 << (SLOT_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint16)
-    for b, c in zip(blocks.block, blocks.counts):
-        table[b] = unplanes(zlib.decompress(bytes(c)), np.uint16)
-    frequency = spark.sparkContext.broadcast(table.tobytes())
-    del table, blocks
-    rows = first.where("block is null").select("doc_id", "n", "d1", "d2")
+    rows = written(docs.mapInArrow(_digest_pass(width), "doc_id long, n long, d1 long, d2 long"), "ngram-digests")
     real = rows.where("n > 0 and doc_id is not null")
     classes = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     # a document goes on if it is its set's first: copies are left out by id
     copies = written(real.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "ngram-copies")
     reps = docs.where("doc_id is not null").join(small_enough(copies), "doc_id", "left_anti")
     bits = bucket_bits(spark)
-    prefixes = reps.mapInArrow(_prefix_pass(width, percent, bits, frequency), "bucket int, grams binary, docs binary, sizes binary, places binary")
+    keys = reps.mapInArrow(_keys_pass(width, bits), "bucket int, keys binary, docs binary, counts binary, sizes binary")
+    shared = keys.groupBy("bucket").applyInArrow(_shared_keys(bits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
+    prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary, places binary, own binary")
     listed = written(prefixes.groupBy("bucket").applyInArrow(_lists(percent), "gram long, doc long, n long, place long, a long, b long"), "ngram-lists")
     lists = listed.where("gram is not null").select("gram", "doc", "n", "place")
     star = written(listed.where("gram is null").select("a", "b").distinct(), "ngram-star")
     # sets of all documents that share a list with another: later pairs need no others
     needed = written(lists.select(F.col("doc").alias("doc_id")).distinct(), "ngram-needed")
-    sets = written(docs.join(small_enough(needed), "doc_id", "left_semi").mapInArrow(_tokens_pass(width, frequency), "id long, grams binary, often binary").dropDuplicates(["id"]), "ngram-sets")
+    sets = written(docs.join(small_enough(needed), "doc_id", "left_semi").mapInArrow(_tokens_pass(width), "id long, grams binary").dropDuplicates(["id"]), "ngram-sets")
     linked = written(_linked(star, sets, percent), "ngram-links")
     comp = written(components(linked), "ngram-components")
     label = comp.select(F.col("node").alias("doc"), "component")
@@ -289,7 +321,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     x = open_lists.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("doc", "n", "place", "component")])
     y = open_lists.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("doc", "n", "place", "component")])
     need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
-    fits = (F.col("component_x") < F.col("component_y")) & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= need)
+    fits = (F.col("component_x") < F.col("component_y")) & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1 >= need)
     fits &= F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
     rest = x.join(y, "gram").where(fits).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
