@@ -4,11 +4,13 @@ Every suffix is judged by its first ``width`` bytes. The steps:
 
 1. *Cover sample.* Positions whose remainder modulo 57 lies in a perfect difference cover are sampled. For any two
    positions there is an offset below 57 at which both are sampled, so two equal strings of 100 bytes share an equal
-   44-byte string at that sample. Sample strings are ranked bucket by bucket into "occurs once" and "occurs again";
-   the verdicts go into a table of fixed size. In the same pass the text is cut where its content says so, and a cut
+   44-byte string at that sample. A second, sparser sample is taken where the next 16 bytes say so; equal strings have
+   all of it in common. Sample strings are ranked bucket by bucket into "occurs once" and "occurs again"; the verdicts
+   go into a table of fixed size. In the same pass the text is cut where its content says so, and a cut
    piece (with the bytes that its last window needs) that equals an earlier one is settled whole: long ties, as of
    copied documents, never reach the sort.
-2. *Buckets.* A suffix can tie over ``width`` bytes only if a cover sample within them occurs again. Those suffixes
+2. *Buckets.* A suffix can tie over ``width`` bytes only if a cover sample and all of the second sample within them
+   occur again. Those suffixes
    alone are sorted, one bucket of key range at a time, by a 64-bit fingerprint of the first ``width`` bytes and then
    position; all but the first of a tie are repeats. Within a map task ties are resolved before the shuffle.
 3. The repeats of each document are merged to runs and cut out.
@@ -43,6 +45,7 @@ from chronolith.llm.common import (
 
 COVER_MOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
+SPARSE = 32  # bytes of a string of the second sample
 FILTER_BITS = 28
 CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 8 << 20, 3 << 20, 4 << 20
 _COVERED = np.zeros(COVER_MOD, bool)
@@ -65,8 +68,15 @@ class _Chunk:
         self.at = np.arange(n) - np.repeat(offsets[:-1], self.lens) + base  # position within the document
         left = np.repeat(offsets[1:], self.lens) - np.arange(n)
         self.ok = left >= width  # a window starts here
-        here = np.flatnonzero(_COVERED[self.at % COVER_MOD] & (left >= self.sample) & np.repeat(self.lens >= width, self.lens))
-        self.samples, self.hashes = here, self.roll.span(here, here + self.sample)
+        long = np.repeat(self.lens >= width, self.lens)
+        self.cover = np.flatnonzero(_COVERED[self.at % COVER_MOD] & (left >= self.sample) & long)
+        self.cover_keys = self.roll.span(self.cover, self.cover + self.sample)
+        self.next16 = np.full(n, ~U64(0))
+        if n >= 16:
+            c, q = self.roll.c, self.roll.q
+            self.next16[: n - 15] = (c[16:] - c[:-16]) * q[: n - 15]
+        self.sparse = np.flatnonzero(((self.next16 >> U64(54)) & U64(15) == 0) & (left >= SPARSE) & long)
+        self.sparse_keys = self.roll.span(self.sparse, self.sparse + SPARSE)
 
     def row_of(self, positions):
         return np.searchsorted(self.offsets, positions, "right") - 1
@@ -74,10 +84,7 @@ class _Chunk:
     def segments(self):
         """(start, end) of runs of window starts between cuts that depend on the next 16 bytes alone."""
         n = len(self.ok)
-        cut = np.zeros(n, bool)
-        if n >= 16:
-            c, q = self.roll.c, self.roll.q
-            cut[: n - 15] = ((c[16:] - c[:-16]) * q[: n - 15]) >> U64(58) == 0
+        cut = self.next16 >> U64(58) == 0
         cut[self.offsets[:-1][self.lens > 0]] = True
         start = np.flatnonzero(cut & self.ok)
         if not len(start):
@@ -153,7 +160,7 @@ def _cover_pass(bits, width):
         got = {k: [] for k in ("h", "k", "d", "s", "n")}
         for chunk, _, _ in _chunks(batches, width):
             if chunk is not None:
-                got["h"].append(chunk.hashes)
+                got["h"] += [chunk.cover_keys, chunk.sparse_keys]
                 start, end = chunk.segments()
                 if len(start):
                     got["k"].append(chunk.roll.span(start, end + width - 1))
@@ -241,13 +248,13 @@ def _sort_pass(bits, dbits, width, verdicts):
         key, doc, pos = [], [], []
         for chunk, batch, row in _chunks(batches, width, sort=True):
             if chunk is not None:
-                slot = chunk.hashes >> U64(64 - FILTER_BITS)
-                again = (table[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & 1
                 n = len(chunk.ok)
-                till = np.zeros(n + COVER_MOD + 1, np.int32)
-                till[chunk.samples[again == 1] + 1] = 1
-                till[:] = np.cumsum(till)
+                till = _till(chunk.cover[_again(table, chunk.cover_keys)], n + width)
                 may = chunk.ok & (till[COVER_MOD : COVER_MOD + n] > till[:n])
+                till = _till(chunk.sparse[~_again(table, chunk.sparse_keys)], n + width)
+                reach = width - SPARSE + 1
+                may &= till[reach : reach + n] == till[:n]
+                del till
                 _unset(may, chunk, batch, row)
                 here = np.flatnonzero(may)
                 key.append(chunk.roll.span(here, here + width))
@@ -280,6 +287,18 @@ def _sort_pass(bits, dbits, width, verdicts):
     return run
 
 
+def _again(table, keys):
+    slot = keys >> U64(64 - FILTER_BITS)
+    return (table[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def _till(positions, n):
+    """How many of ``positions`` lie before each place."""
+    out = np.zeros(n + 1, np.int32)
+    out[positions + 1] = 1
+    return np.cumsum(out, dtype=np.int32)
+
+
 def _unset(may, chunk, batch, row):
     """Window starts that step 1 has settled need no sorting."""
     lo_col, hi_col = batch.column(2), batch.column(3)
