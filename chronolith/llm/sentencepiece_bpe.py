@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import columns_guarded
 
 SPACE = "▁"
-REMEMBERED = 250_000  # words, and pairs of pieces, that a task remembers
+REMEMBERED = 400_000  # words (some 250 bytes each), and pairs of pieces, that a worker process remembers
 
 
 class Model:
@@ -51,6 +51,8 @@ class Model:
             if self.merged(p) == [p]:  # others never result from merging
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in self.automaton), None) for p in self.ids}
+        self.said = {p: str(i) for p, i in self.ids.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.cutter = self._cutter()
 
@@ -87,42 +89,47 @@ class Model:
             got = self.fits[a, b] = self.merged(a + b) == [a, b]
         return got
 
+    def longest(self, text: str, at: int) -> str:
+        for end, size in self.automaton.iter_long(text, at):
+            return text[at : at + size] if end - size + 1 == at else text[at]
+        return text[at]
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of ``text`` (space marks in place); characters outside the vocabulary stand alone."""
-        n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
-        for end, size in self.automaton.iter(text):
-            lengths[end - size + 1].append(size)  # shorter ones first
-        for i, c in enumerate(text):
-            if not lengths[i] or lengths[i][0] != 1:
-                lengths[i].insert(0, 1)
+        n, at, out = len(text), 0, []
+        if not n:
+            return out
         open_places = (1 << (n + 1)) - 1
-        out: list[str] = []
-        left = [len(lengths[0])] if n else []  # how many shorter matches remain to be tried at each place taken
-        at = 0
-        while at < n:
-            k = left[-1]
-            if k == 0:  # no match fits here: strike the place, step back
+        fits, shorter, longest = self.fits, self.shorter, self.longest
+        token = longest(text, 0)
+        while True:
+            end = at + len(token)
+            if open_places >> end & 1:
+                fit = True
+                if out:
+                    fit = fits.get((out[-1], token))
+                    if fit is None:
+                        fit = self.compatible(out[-1], token)
+                if fit:
+                    out.append(token)
+                    at = end
+                    if at == n:
+                        return out
+                    token = longest(text, at)
+                    continue
+            token = shorter.get(token)
+            while token is None:  # no match fits here: strike the place, step back, and try what is shorter there
                 open_places &= ~(1 << at)
-                left.pop()
-                at -= len(out.pop())
-                continue
-            left[-1] = k - 1
-            size = lengths[at][k - 1]
-            token = text[at : at + size]
-            if open_places >> (at + size) & 1 and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at += size
-                if at < n:
-                    left.append(len(lengths[at]))
-        return out
+                last = out.pop()
+                at -= len(last)
+                token = shorter.get(last)
 
     def word_ids(self, word: str) -> list[int]:
-        ids: list[int] = []
-        for p in self.pieces(word):
-            i = self.ids.get(p)
-            ids.extend([i] if i is not None else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")])
-        return ids
+        pieces = self.pieces(word)
+        try:
+            return [self.ids[p] for p in pieces]
+        except KeyError:
+            return [i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.byte[b] for b in p.encode("utf-8", "surrogatepass")])]
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -178,12 +185,28 @@ class _Words(dict):
     def __missing__(self, word):
         if len(self) > REMEMBERED:
             self.clear()
-        ids = self.model.word_ids(word)
-        marked = self.model.decode([self.model.end, *ids]) if not word.startswith(SPACE) else " " + self.model.decode(ids)
-        got = self[word] = (" ".join(map(str, ids)), marked)
+        said, pieces = self.model.said, self.model.pieces(word)
+        try:
+            got = " ".join([said[p] for p in pieces]), "".join(pieces).replace(SPACE, " ")
+        except KeyError:  # byte pieces; a word never splits a character, so they decode by themselves
+            ids = self.model.word_ids(word)
+            got = " ".join(map(str, ids)), (" " if word.startswith(SPACE) else "") + self.model.decode(ids)
+        self[word] = got
         return got
 
 
+_loaded: dict[bytes, _Words] = {}
+
+
+def _words_of(raw: bytes) -> _Words:
+    """The words that this worker process has met, by model; kept from task to task."""
+    key = hashlib.sha256(raw).digest()
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = _Words(Model(raw))
+    return _loaded[key]
+
+
 def encode_texts(docs: DataFrame, model_file: str, outputs=("n_tokens", "ids", "decoded")) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and the ``outputs``.
 
@@ -195,8 +218,8 @@ def encode_texts(docs: DataFrame, model_file: str, outputs=("n_tokens", "ids", "
     raw = docs.sparkSession.sparkContext.broadcast(open(model_file, "rb").read())  # half a megabyte
 
     def run(batches):
-        model = Model(raw.value)
-        words = _Words(model)
+        words = _words_of(raw.value)
+        model = words.model
         end = str(model.end)
         for batch in batches:
             got = {k: [] for k in outputs}
