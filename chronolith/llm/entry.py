@@ -1,10 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from chronolith.llm import embedding_dedup, ngram_join, packing, sentencepiece_bpe, suffix_dedup
+from chronolith.llm import embedding_dedup, ngram_join, packing, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
