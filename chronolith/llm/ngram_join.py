@@ -302,9 +302,9 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # a document goes on if it is its set's first: copies are left out by id
     copies = written(real.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "ngram-copies")
     reps = docs.where("doc_id is not null").join(small_enough(copies), "doc_id", "left_anti")
-    bits = bucket_bits(spark)
+    bits, dbits = bucket_bits(spark, 2), bucket_bits(spark, 1)
     keys = reps.mapInArrow(_keys_pass(width, bits), "bucket int, keys binary, docs binary, counts binary, sizes binary")
-    shared = keys.groupBy("bucket").applyInArrow(_shared_keys(bits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
+    shared = keys.groupBy("bucket").applyInArrow(_shared_keys(dbits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
     prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary, places binary, own binary")
     listed = written(prefixes.groupBy("bucket").applyInArrow(_lists(percent), "gram long, doc long, n long, place long, a long, b long"), "ngram-lists")
     lists = listed.where("gram is not null").select("gram", "doc", "n", "place")
