@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from chronolith.llm import embedding_dedup, ngram_join, packing, sentencepiece_bpe, suffix_dedup, toxicity
+from chronolith.llm import embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, toxicity
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_importance_resampling": quality.op5_importance_resampling,
         "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_ngram_join": ngram_join.op10_ngram_join,
