@@ -400,9 +400,9 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     if width < COVER_MOD + 16:
         raise ValueError("width must leave at least 17 bytes for a cover sample")
-    bits = min(bucket_bits(spark), FILTER_BITS - 6)
+    bits, dbits = min(bucket_bits(spark, 2), FILTER_BITS - 6), bucket_bits(spark, 1)
     found = docs.mapInArrow(_cover_pass(bits, width), FOUND)
-    step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, bits), MARKS), "suffix-cover")
+    step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, dbits), MARKS), "suffix-cover")
     slices = step1.where("counts is null").select("dbucket", "docs").toPandas()  # 2**FILTER_BITS bits in all, compressed
     size = (1 << (FILTER_BITS - bits)) >> 3
     table = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
@@ -413,8 +413,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     marked = step1.where("counts is not null")
     merged = "doc_id long, lo binary, hi binary"
     early = written(marked.groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-early")
-    ordered = _with_marks(docs, early).mapInArrow(_sort_pass(bits, bits, width, verdicts), SORTED)
-    step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(bits), MARKS)
+    ordered = _with_marks(docs, early).mapInArrow(_sort_pass(bits, dbits, width, verdicts), SORTED)
+    step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits), MARKS)
     marks = written(marked.unionByName(step2).groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-marks")
     return _with_marks(docs, marks).mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
 
