@@ -1,12 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from chronolith.llm import embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, toxicity
+from chronolith.llm import embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_importance_resampling": quality.op5_importance_resampling,
         "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
