@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from chronolith.llm import embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, warc
+from chronolith.llm import edit_fingerprint, embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_importance_resampling": quality.op5_importance_resampling,
+        "op6_edit_fingerprints": edit_fingerprint.op6_edit_fingerprints,
         "op7_warc": warc.op7_warc,
         "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
