@@ -1,10 +1,12 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+import corpus_pipeline
 from chronolith.llm import edit_fingerprint, embedding_dedup, ngram_join, packing, quality, sentencepiece_bpe, suffix_dedup, token_counts, toxicity, warc
 
 
 def queries():
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
         "op3_token_counts": token_counts.op3_token_counts,
@@ -19,4 +21,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_embedding_dedup": embedding_dedup.ORACLE, "op7_warc": warc.ORACLE}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op2_embedding_dedup": embedding_dedup.ORACLE, "op7_warc": warc.ORACLE}

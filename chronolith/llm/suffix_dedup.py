@@ -355,7 +355,8 @@ def _with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     total = marks.agg(F.coalesce(F.sum(F.octet_length("lo") * 2 + 64), F.lit(0))).first()[0]
     known = marks.select(F.col("doc_id").alias("marked"), "lo", "hi")
     known = F.broadcast(known) if total <= BROADCAST_BYTES else known
-    return docs.join(known, F.coalesce(docs.doc_id, F.lit(np.iinfo(np.int64).min)) == F.col("marked"), "left").select("doc_id", "text", "lo", "hi")
+    joined = docs.join(known, F.coalesce(docs.doc_id, F.lit(np.iinfo(np.int64).min)) == F.col("marked"), "left")
+    return joined.select("doc_id", "text", "lo", "hi", *[c for c in docs.columns if c not in ("doc_id", "text")])
 
 
 def _cut(width):
@@ -383,20 +384,25 @@ def _cut(width):
                 starts.append(lo)
                 ends.append(hi)
             listed = pa.list_(_L)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, _L), pa.array(n_removed, _L), pa.array(starts, listed), pa.array(ends, listed), pa.array(kept, _B)], ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+            carried = list(zip(batch.schema.names, batch.columns))[4:]
+            columns = [batch.column(0), pa.array(n_bytes, _L), pa.array(n_removed, _L), pa.array(starts, listed), pa.array(ends, listed), pa.array(kept, _B), *[c for _, c in carried]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept", *[n for n, _ in carried]])
 
     return run
 
 
-def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, starts and ends of the removed runs (bytes), kept (binary).
 
     A byte goes if a ``width``-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
     same document. A null text is empty; a null doc_id comes before all others. Rows that share a doc_id are one
     document: what is a repeat in one of them goes in all at the same offsets, and none repeats another of them at its
-    own offset. An empty table gives an empty one. ``width`` is at least 73. Other columns are ignored.
+    own offset. An empty table gives an empty one. ``width`` is at least 73. Columns named in
+    ``carry`` go along as carried_<name>; others are ignored.
     """
     spark = docs.sparkSession
+    carried = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     if width < COVER_MOD + 16:
         raise ValueError("width must leave at least 17 bytes for a cover sample")
@@ -416,7 +422,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100) -> DataFrame:
     ordered = _with_marks(docs, early).mapInArrow(_sort_pass(bits, dbits, width, verdicts), SORTED)
     step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits), MARKS)
     marks = written(marked.unionByName(step2).groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-marks")
-    return _with_marks(docs, marks).mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[2:])
+    return _with_marks(whole, marks).mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary" + more)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
