@@ -10,7 +10,6 @@ samples more often than large ones. Features are extracted, and all texts scored
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ def _features(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _feature_pass(batches):
-    """Rows (label, text, nth) as (label, nth, the distinct slots)."""
+    """Rows (label, text, nth) as (label, nth, the distinct slots and the intercept's)."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         out = []
@@ -44,7 +43,7 @@ def _feature_pass(batches):
             slots, rows = _features(*words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
             pairs = np.unique((rows << BITS) | slots)
             cuts = np.searchsorted(pairs >> BITS, np.arange(hi - lo + 1))
-            out += [(pairs[a:b] & ((1 << BITS) - 1)).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            out += [np.append(pairs[a:b] & ((1 << BITS) - 1), 1 << BITS).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["label", "nth", "slots"])
 
 
@@ -56,31 +55,31 @@ def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def ftrl_pass(z: np.ndarray, n: np.ndarray, rows) -> None:
-    """One pass of updates of the state in place; ``rows`` yields (label, slots, values), the intercept last."""
-    for label, slots, x in rows:
+    """One pass of updates of the state in place; ``rows`` yields (label, slots), the intercept's slot last."""
+    for label, slots in rows:
         zs, ns = z[slots], n[slots]
         l1 = np.full(len(slots), L1)
-        l1[-1] = 0
+        x = np.full(len(slots), 1 / np.sqrt(max(1, len(slots) - 1)))
+        l1[-1], x[-1] = 0, 1
         w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
         g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -30, 30))) - label) * x
         z[slots] += g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / ALPHA * w
         n[slots] += g * g
 
 
-def _train(key, pdf):
-    pdf = pdf.sort_values(["nth", "label"])
-    rows = []
-    for y, s in zip(pdf.label, pdf.slots):
-        slots = np.append(np.frombuffer(s, np.int32), 1 << BITS)
-        x = np.full(len(slots), 1 / np.sqrt(max(1, len(slots) - 1)))
-        x[-1] = 1
-        rows.append((y, slots, x))
+def _train(table: pa.Table) -> pa.Table:
+    """Weights from rows (label, nth, slots); the slots stay in Arrow's buffers, so a task holds the sample once."""
+    data, offsets = text_buffers(table.column("slots"))
+    data = data.view(np.int32)
+    offsets = offsets // 4
+    label, nth = table.column("label").to_numpy(), table.column("nth").to_numpy()
+    order = np.lexsort((label, nth))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    for _ in range(max(6, min(16, UPDATES // len(rows)))):
-        ftrl_pass(z, n, rows)
+    for _ in range(max(6, min(16, UPDATES // len(order)))):
+        ftrl_pass(z, n, ((label[i], data[offsets[i] : offsets[i + 1]]) for i in order))
     w = weights_of(z, n)
     at = np.flatnonzero(w)
-    return pd.DataFrame({"slot": at, "weight": w[at]})
+    return pa.table({"slot": pa.array(at, pa.int32()), "weight": pa.array(w[at])})
 
 
 def fit(labelled: DataFrame) -> np.ndarray | None:
@@ -89,7 +88,7 @@ def fit(labelled: DataFrame) -> np.ndarray | None:
     data = written(rows.mapInArrow(_feature_pass, "label double, nth long, slots binary"), "toxic-features")
     if data.isEmpty():
         return None
-    learnt = data.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_train, "slot int, weight double").toPandas()  # 2**BITS rows at most
+    learnt = data.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_train, "slot int, weight double").toPandas()  # 2**BITS rows at most
     w = np.zeros((1 << BITS) + 1)
     w[learnt.slot] = learnt.weight
     return w
