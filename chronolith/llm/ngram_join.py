@@ -302,6 +302,8 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # a document goes on if it is its set's first: copies are left out by id
     copies = written(real.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "ngram-copies")
     reps = docs.where("doc_id is not null").join(small_enough(copies), "doc_id", "left_anti")
+    if not real.groupBy("doc_id").count().where("count > 1").isEmpty():  # a row twice would stand for two documents
+        reps = reps.dropDuplicates(["doc_id", "text"])
     bits, dbits = bucket_bits(spark, 2), bucket_bits(spark, 1)
     keys = reps.mapInArrow(_keys_pass(width, bits), "bucket int, keys binary, docs binary, counts binary, sizes binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys(dbits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
