@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import numpy as np
@@ -17,27 +18,51 @@ def _bytes_of() -> dict[str, int]:
 
 
 class ByteBpe:
-    """Ids as the tokenizers library gives for a byte-level BPE file; strings of special tokens are ordinary text."""
+    """Ids of the tokenizers library for a byte-level BPE file, with its default options: special tokens are found in texts.
 
-    def __init__(self, raw: bytes, pattern: str):
-        import tiktoken
+    ``pattern`` isn't needed, as the file holds its own.
+    """
+
+    def __init__(self, raw: bytes, pattern: str | None = None):
+        from tokenizers import Tokenizer
 
         model = json.loads(raw)
-        special = {t["content"] for t in model.get("added_tokens", [])}
         table = _bytes_of()
-        ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self.lengths = np.zeros(max(model["model"]["vocab"].values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.lengths[i] = len(token)
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        vocab = model["model"]["vocab"]
+        added = {t["id"]: t["content"] for t in model.get("added_tokens", [])}
+        self.lengths = np.zeros(max([*vocab.values(), *added]) + 1, np.int64)
+        self.added = np.zeros(len(self.lengths), bool)
+        self.added[list(added)] = True
+        for token, i in vocab.items():
+            if i not in added:
+                self.lengths[i] = len(bytes(table[c] for c in token))
+        self.tokenizer = Tokenizer.from_str(raw.decode())
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def ends(self, text: str, place: np.ndarray) -> np.ndarray:
+        """Where each token ends, in bytes; ``place`` has the byte offset of each character and of the end.
+
+        The library's offsets are characters, and tokens may split one; so byte lengths are summed up. Added tokens
+        may take white space around them, so theirs come from the offsets.
+        """
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(found.ids, np.int64)
+        sizes = self.lengths[ids]
+        special = np.flatnonzero(self.added[ids])
+        if len(special):
+            bounds = np.array(found.offsets, np.int64)[special]
+            sizes[special] = place[bounds[:, 1]] - place[bounds[:, 0]]
+        return np.cumsum(sizes)
+
+
+@functools.lru_cache(2)
+def _known(raw: bytes) -> ByteBpe:
+    return ByteBpe(raw)
 
 
 def from_path(spark, path: str):
     """A function that gives, on executors, the tokenizer of ``path`` (read by the driver, some megabytes)."""
-    import public_tokenizers
-
-    shared = spark.sparkContext.broadcast((open(path, "rb").read(), public_tokenizers.PATTERN))
-    return lambda: ByteBpe(*shared.value)
+    shared = spark.sparkContext.broadcast(open(path, "rb").read())
+    return lambda: _known(shared.value)

@@ -1,6 +1,7 @@
 """Token counts of fields or sections by offsets.
 
-A document is encoded once, whole. Byte-level BPE loses nothing, so the tokens' byte lengths give their spans; spans and
+A document is encoded once, whole. Byte-level BPE loses nothing, so the tokens' byte lengths give their spans (those of
+added tokens come from the library's offsets); spans and
 sections are both sorted, and a token goes to its section by a sorted interval join. A token that crosses a boundary is
 allocated by a rule: ``first`` (the section of its first byte), ``last`` (of its last byte) or ``most`` (the section
 with most of its bytes, the earlier of equals).
@@ -74,8 +75,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, rule: str = "first", sect
             for r, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 text = text or ""
                 raw = np.frombuffer(text.encode(), np.uint8)
-                ends = np.cumsum(bpe.lengths[bpe.encode(text)])
                 place = _char_to_byte(raw)
+                ends = bpe.ends(text, place)
                 if spans is None:
                     cuts = np.flatnonzero(raw == 10) + 1
                     edges = np.unique(np.r_[0, cuts, len(raw)])

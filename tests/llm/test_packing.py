@@ -88,3 +88,22 @@ def test_plan_uses_every_piece():
         for k, n in combination.items():
             used[k] = used.get(k, 0) + times * n
     assert used == counts
+
+
+def test_library_with_its_default_options(spark):
+    """Special tokens within a text, and runs of white space that are too long for some regex engines."""
+    lib = Tokenizer.from_file(PATH)
+    special = [t.content for t in lib.get_added_tokens_decoder().values()]
+    assert special
+    texts = ["a " + special[0] + " b" + special[0] * 2, " " * 1_000_000, "\n" * 1_000_000, "x" + " " * 300_000 + "y"]
+    own = ByteBpe(open(PATH, "rb").read(), public_tokenizers.PATTERN)
+    want = {}
+    for i, text in enumerate(texts):
+        a = lib.encode(text, add_special_tokens=False).ids
+        assert own.encode(text).tolist() == a
+        want[i] = zlib.crc32(np.array([*a, 2], "<u4").tobytes())
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sorted(pack(rows, PATH, with_ids=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] = zlib.crc32(r.ids, got.get(r.doc_id, 0))
+    assert got == want

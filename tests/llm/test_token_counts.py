@@ -73,3 +73,18 @@ def test_edges(spark):
     assert token_counts(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         token_counts(df, PATH, "all")
+
+
+def test_special_tokens_and_long_white_space(spark):
+    """The library with its default options; a token belongs to the line of its first character."""
+    lib = Tokenizer.from_file(PATH)
+    special = next(iter(lib.get_added_tokens_decoder().values())).content
+    texts = [f"é {special}\n{special} and\nmore", " " * 1_000_000 + "\nend"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for doc, text in enumerate(texts):
+        e = lib.encode(text, add_special_tokens=False)
+        want[doc, -1] = len(e.ids)
+        for i, (lo, hi) in enumerate(lines(text)):
+            want[doc, i] = sum(lo <= a < hi for a, _ in e.offsets)
+    assert {(r.doc_id, r.section): r.n_tokens for r in token_counts(df, PATH).collect()} == want
