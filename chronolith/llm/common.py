@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Rows of a (key, few bytes) table that may be broadcast: about 16-48 bytes each once hashed, so 100 MB at most.
 BROADCAST_ROWS = 1_000_000
@@ -70,6 +72,34 @@ def columns_guarded(docs: DataFrame, wanted: dict[str, str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in wanted.items()])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``number``, in the order of doc_id (null first), digest of the text and copy.
+
+    Rows have numbers of their own, except that rows equal in text and in a doc_id that isn't null share one. Where
+    doc_ids tell all rows apart, they are the numbers; else the rows are written in that order.
+    """
+    least = np.iinfo(np.int64).min
+    n, known, distinct, low = docs.agg(F.count("*"), F.count("doc_id"), F.countDistinct("doc_id"), F.min("doc_id")).first()
+    if known == distinct and (n == known or (n == known + 1 and (low is None or low > least))):
+        return docs.withColumn("number", F.coalesce("doc_id", F.lit(least)))
+    wide = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).withColumn("copy", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    order = ["doc_id", "digest", "copy"]
+
+    def run(batches):
+        at, before = TaskContext.get().partitionId() << 40, None
+        for batch in batches:
+            numbers = []
+            for key in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist()):
+                at += key[0] is None or key != before
+                before = key
+                numbers.append(at)
+            kept = [c for c in batch.schema.names if c not in ("digest", "copy")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(numbers, pa.int64())], [*kept, "number"])
+
+    ordered = wide.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return written(ordered.mapInArrow(run, StructType([*docs.schema.fields, StructField("number", LongType())])), "numbered")
+
+
 # ---------------------------------------------------------------- packing arrays into binary cells
 
 

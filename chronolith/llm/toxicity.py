@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronolith.llm.common import bounded_share, chunks_of, columns_guarded, mix, text_buffers, words_of, written
 
@@ -116,32 +117,34 @@ def _score_pass(shared):
 
 
 def score_texts(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
-    """``docs`` (doc_id, text) with a score between 0 and 1; without weights all scores are 0."""
+    """``docs`` (doc_id, text, ...) with a score between 0 and 1; without weights all scores are 0."""
     w = weights if weights is not None else np.zeros(1)
     at = np.flatnonzero(w[:-1])
     shared = docs.sparkSession.sparkContext.broadcast((at, w[at], float(w[-1]), weights is not None))
-    return docs.mapInArrow(_score_pass(shared), "doc_id long, text string, score double")
+    return docs.mapInArrow(_score_pass(shared), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = TRAIN_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text, held_out, score (0 to 1), predicted (score >= threshold).
 
     Learns from ``labels`` (doc_id, toxic) that are not null and whose crc32(doc_id as text) mod 4 is not 2; of several
     labels of a document the largest counts. A null text is empty and still gets a score; a null doc_id is never held
     out. Without any labelled text all scores are 0. Repeated rows get equal scores; an empty table gives an empty one;
-    other columns are ignored.
+    columns named in ``carry`` go along as carried_<name>; others are ignored.
     """
+    carried = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     known = columns_guarded(labels, {"doc_id": "long", "toxic": "int"}).where("doc_id is not null and toxic is not null").where(~held_out())
     known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("label")), "toxic-labels")
     sample = bounded_share(known, train_rows)
     labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # ``train_rows`` ids, about
-    scored = score_texts(docs, fit(labelled))
-    return scored.select("doc_id", "text", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = score_texts(whole, fit(labelled))
+    return scored.select("doc_id", "text", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[f"carried_{c}" for c in carry])
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``; between stages the rows
-are written as Parquet and read again. Rows that share a doc_id share their fate in the filters.
+are written as Parquet and read again. Filters judge rows, not doc_ids, which
+may be null or repeated.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import small_enough, written
+from chronolith.llm.common import numbered, small_enough, written
 from chronolith.llm.ngram_join import ngram_join
 from chronolith.llm.packing import pack
 from chronolith.llm.quality import importance_resample
@@ -23,32 +24,41 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` whose doc_id (null counts as one) isn't in ``gone`` (doc_id)."""
-    gone = small_enough(written(gone.select(F.col("doc_id").alias("gone")).distinct(), "rejected"))
-    return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+#: What the filters carry along besides doc_id; the text goes twice, as some operators drop theirs.
+CARRIED = tuple(c for c in COLUMNS if c != "doc_id")
+
+
+def _rows(judged: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that an operator has carried along."""
+    return judged.select("doc_id", *[F.col(f"carried_{c}").alias(c) for c in CARRIED])
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 1"))
+    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=CARRIED)
+    return _rows(scored.where("predicted = 0"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling takes."""
-    weighed = importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, weighed.where("not selected"))
+    weighed = importance_resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=CARRIED)
+    return _rows(weighed.where("selected"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, the one with the smallest doc_id."""
-    groups = ngram_join(docs)
-    kept = _without(docs, groups.where("doc_id <> component_id"))
-    n, distinct = kept.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
-    if n > distinct:  # repeated rows of one doc_id
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
-    return kept
+    """Of each group of similar documents, the one with the smallest doc_id; of texts under that, one by its digest.
+
+    Rows are compared under numbers of their own, so different texts under one doc_id are judged apart. Rows equal in
+    doc_id and text count once. Rows without a doc_id link with nothing, as in the operator.
+    """
+    docs = numbered(docs).withColumn("number", F.when(F.col("doc_id").isNotNull(), F.col("number")))
+    groups = ngram_join(docs.select(F.col("number").alias("doc_id"), "text"))
+    gone = small_enough(written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("number")).distinct(), "rejected"))
+    kept = docs.join(gone, "number", "left_anti")
+    n, distinct = kept.agg(F.count("number"), F.countDistinct("number")).first()
+    if n > distinct:  # repeated rows
+        kept = kept.where("number is not null").dropDuplicates(["number"]).unionByName(kept.where("number is null"))
+    return kept.select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 
 from test_ngram_join import brute as groups
 from test_packing import check as check_packing
@@ -54,3 +56,24 @@ def test_repeated_rows_and_empty_table(spark, sf):
     assert sorted(str(r.doc_id) for r in P.without_near_copies(spark, df, sf).collect()) == ["1", "3", "None"]
     for _, stage in P.STAGES:
         assert stage(spark, df.limit(0), sf).count() == 0
+
+
+def test_filters_judge_rows(spark, tmp_path):
+    """Bad rows take no others with them that share their doc_id or have none either."""
+    rnd = random.Random(4)
+    good = lambda: " ".join(rnd.choices("river stone garden music letter window bread winter".split(), k=30))
+    bad = lambda: " ".join(rnd.choices("vile scum hate idiot filth stupid trash loser".split(), k=30))
+    rows = [(i, bad() if i % 2 else good()) for i in range(400)]
+    spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(400)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows += [(d, text()) for d in (None, -7) for text in (good, good, good, bad)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    count = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    for stage in (P.without_toxic, P.good_quality):
+        kept = count(stage(spark, df, str(tmp_path)))
+        for doc in (None, -7):
+            mine = [t for d, t in rows if d == doc]
+            assert Counter(t for d, t in kept.elements() if d == doc) == Counter(mine[:3])
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (2, c), (None, a), (None, c), (None, c)]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert count(P.without_near_copies(spark, df, str(tmp_path))) == Counter([(1, a), (1, b), (2, c), (None, a), (None, c), (None, c)])
