@@ -34,9 +34,9 @@ from chronolith.llm.common import (
     bucket_bits,
     cat,
     chunks_of,
-    columns_guarded,
     grouped,
     mix,
+    numbered,
     planes,
     text_buffers,
     unplanes,
@@ -95,7 +95,7 @@ class _Chunk:
 
 
 def _chunks(batches, width, sort=False):
-    """The texts of Arrow batches (doc_id, text, ...) as chunks; between them, True where a flush is due."""
+    """The texts of Arrow batches (number, text, ...) as chunks; between them, True where a flush is due."""
     held = 0
     for batch in batches:
         docs = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
@@ -351,12 +351,12 @@ def _sort_bucket(dbits):
 
 
 def _with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Marks beside the texts: broadcast if they are measured to be small, else a join on doc_id."""
+    """Marks beside the texts: broadcast if they are measured to be small, else a join on the rows' numbers."""
     total = marks.agg(F.coalesce(F.sum(F.octet_length("lo") * 2 + 64), F.lit(0))).first()[0]
     known = marks.select(F.col("doc_id").alias("marked"), "lo", "hi")
     known = F.broadcast(known) if total <= BROADCAST_BYTES else known
-    joined = docs.join(known, F.coalesce(docs.doc_id, F.lit(np.iinfo(np.int64).min)) == F.col("marked"), "left")
-    return joined.select("doc_id", "text", "lo", "hi", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    joined = docs.join(known, docs.number == F.col("marked"), "left")
+    return joined.select(docs.columns[0], "text", "lo", "hi", *[c for c in docs.columns[1:] if c not in ("text", "number")])
 
 
 def _cut(width):
@@ -395,17 +395,18 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, starts and ends of the removed runs (bytes), kept (binary).
 
     A byte goes if a ``width``-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
-    same document. A null text is empty; a null doc_id comes before all others. Rows that share a doc_id are one
-    document: what is a repeat in one of them goes in all at the same offsets, and none repeats another of them at its
-    own offset. An empty table gives an empty one. ``width`` is at least 73. Columns named in
+    same document. A null text is empty; a null doc_id comes before all others. Different texts that share a doc_id, and
+    all rows without one, are documents of their own, in the order of their texts' digests. Rows equal in text and in a
+    doc_id that isn't null are one document: they lose the same bytes and don't repeat each other. An empty table gives an empty one. ``width`` is at least 73. Columns named in
     ``carry`` go along as carried_<name>; others are ignored.
     """
     spark = docs.sparkSession
     carried = [F.col(f"`{c}`").alias(f"carried_{c}") for c in carry]
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
-    docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     if width < COVER_MOD + 16:
         raise ValueError("width must leave at least 17 bytes for a cover sample")
+    whole = numbered(whole)
+    docs = whole.select("number", "text")
     bits, dbits = min(bucket_bits(spark, 2), FILTER_BITS - 6), bucket_bits(spark, 1)
     found = docs.mapInArrow(_cover_pass(bits, width), FOUND)
     step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, dbits), MARKS), "suffix-cover")
@@ -422,7 +423,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     ordered = _with_marks(docs, early).mapInArrow(_sort_pass(bits, dbits, width, verdicts), SORTED)
     step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits), MARKS)
     marks = written(marked.unionByName(step2).groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-marks")
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[2:])
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[2:-1])
     return _with_marks(whole, marks).mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary" + more)
 
 

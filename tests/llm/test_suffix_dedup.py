@@ -50,3 +50,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert suffix_dedup(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         suffix_dedup(df, 60)
+
+
+def test_texts_without_or_with_one_doc_id_are_apart(spark):
+    """Each row against brute force over rows in the order (doc_id, digest): nothing unique goes, no copy stays."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(300)
+    for ids in ((None, None), (None, 5), (5, 5)):
+        rows = [(ids[0], word(500) + passage + word(200)), (ids[1], word(1000)), (ids[0], passage + word(900)), (ids[1], word(100) + passage), (9, passage)]
+        rows += [rows[1]] * 2 if ids[1] is None else []
+        key = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+        ordered = sorted(rows, key=key)
+        want = brute(list(enumerate(t for _, t in ordered)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.starts), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup(df).collect()]
+        assert sorted(map(str, got)) == sorted(str((d, *want[i])) for i, (d, _) in enumerate(ordered))
