@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct hashed words, pairs of neighbours and pairs with one word between, in 2**BITS slots; a text's
-feature vector has unit length. The optimiser keeps a rate per coordinate, and its L1 term leaves at zero every feature
+Features are the distinct hashed words, pairs of neighbours and pairs with one word between, in 2**BITS slots; each
+of a text's n distinct features has the value n ** -0.25, so that long texts dilute a word less than unit vectors would. The optimiser keeps a rate per coordinate, and its L1 term leaves at zero every feature
 that few documents speak for, so the weights are a small sparse vector that is broadcast. The optimiser is sequential:
 it runs in one task over at most about TRAIN_ROWS labelled rows (a documented bound; the share is drawn by hash), small
 samples more often than large ones. Features are extracted, and all texts scored, in parallel passes.
@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from chronolith.llm.common import bounded_share, chunks_of, columns_guarded, mix, text_buffers, words_of, written
 
 BITS, TRAIN_ROWS, UPDATES = 18, 16_384, 100_000
-ALPHA, BETA, L1, L2 = 30.0, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 10.0, 1.0, 1.5, 0.1
 CHUNK = 1 << 20
 U64 = np.uint64
 
@@ -48,6 +48,11 @@ def _feature_pass(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["label", "nth", "slots"])
 
 
+def value_of(n):
+    """The value of each of ``n`` distinct features of a text."""
+    return np.maximum(n, 1) ** -0.25
+
+
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The closed form of the proximal step; the last coordinate, the intercept, has no L1 term."""
     l1 = np.full(len(z), L1)
@@ -60,7 +65,7 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows) -> None:
     for label, slots in rows:
         zs, ns = z[slots], n[slots]
         l1 = np.full(len(slots), L1)
-        x = np.full(len(slots), 1 / np.sqrt(max(1, len(slots) - 1)))
+        x = np.full(len(slots), value_of(len(slots) - 1))
         l1[-1], x[-1] = 0, 1
         w = np.where(np.abs(zs) <= l1, 0.0, -(zs - np.sign(zs) * l1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
         g = (1 / (1 + np.exp(-np.clip((w * x).sum(), -30, 30))) - label) * x
@@ -109,7 +114,7 @@ def _score_pass(shared):
                 pairs = np.unique((rows << BITS) | slots)
                 out[lo:hi] = np.bincount(pairs >> BITS, w[pairs & ((1 << BITS) - 1)], hi - lo)
                 size[lo:hi] = np.bincount(pairs >> BITS, minlength=hi - lo)
-            out = out / np.sqrt(np.maximum(size, 1)) + intercept
+            out = out * value_of(size) + intercept
             score = 1 / (1 + np.exp(-np.clip(out, -500, 500))) if given else np.zeros(len(out))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 

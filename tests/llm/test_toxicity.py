@@ -17,9 +17,11 @@ def test_held_out(spark):
     m = m[m.held_out]
     words = m.text.str.contains(r"\b(?:idiot|clown|moron|worthless|pathetic|disgusting)\b", case=False)
     assert out.score.between(0, 1).all() and len(out) == len(texts)
-    assert auc(m.score, m.toxic) > 0.65  # two fifths of the toxic labels are noise
+    assert auc(m.score, m.toxic) > 0.9
     assert auc(m.score, words.astype(int)) > 0.95
-    assert (m.predicted[~words] == 1).mean() < 0.02
+    # the words are English ones: of rows without them, those labelled toxic (in other languages) may be predicted
+    assert (m.predicted[~words & (m.toxic == 0)] == 1).mean() < 0.01
+    assert (m.predicted[m.toxic == 1] == 1).mean() > 0.65
     assert (m.predicted[words] == 1).mean() > 0.8
 
 
