@@ -1,7 +1,7 @@
 import duckdb
 import numpy as np
 
-from chronolith.llm.embedding_dedup import ORACLE, embedding_dedup, op2_embedding_dedup
+from chronolith.llm.embedding_dedup import ORACLE, agreement, embedding_dedup, op2_embedding_dedup, shape, units
 
 
 def test_against_sql(spark):
@@ -41,3 +41,33 @@ def test_hot_group_and_edges(spark, monkeypatch):
 
     assert {i: r.component_id for i, r in got.items()} == {i: reach(i) for i in links}
     assert embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_repeated_ids_and_extreme_sizes(spark):
+    """Rows of one vec_id are vectors of their own; sizes of 1e200 and 1e-200 don't matter to a cosine."""
+    rnd = np.random.default_rng(1)
+    a, b = rnd.standard_normal((2, 24))
+    rows = [(5, a.tolist(), 1), (5, b.tolist(), 1), (6, (a * 1.01).tolist(), 1), (7, (b + 0.01).tolist(), 1)]
+    rows += [(10, [1e200, 1e200, 0.0], 2), (11, [1e200, 1.1e200, 0.0], 2), (12, [1e-200, 1e-200, 0.0], 2), (13, [1e-200, 0.0, 1e-200], 2), (None, a.tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup(df).collect())
+    assert got == [(0, 0, 0), (5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5), (10, 2, 10), (11, 2, 10), (12, 2, 10), (13, 0, 13)]
+    assert np.allclose((units(np.array([[1e308, -1e308, 0], [5e-324, 0, 0]])) ** 2).sum(axis=1), 1)
+
+
+def test_shape():
+    assert 0.89 < agreement(0.3742) < 0.91 and 0.62 < agreement(2**0.5) < 0.64
+    k, tables = shape(50_000, 0.93)
+    assert (1 - agreement(0.14**0.5) ** k) ** tables <= 1e-3 and 50_000 * agreement(2**0.5) ** k <= 1
+
+
+def test_recall(spark):
+    """Chains of vectors near the threshold: ids divisible by 10 against all rows by brute force."""
+    rnd = np.random.default_rng(2)
+    centres = rnd.standard_normal((400, 48))
+    x = units(np.repeat(centres, 10, axis=0) + 0.26 * rnd.standard_normal((4000, 48)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup(df).collect()}
+    want = (x[::10] @ x.T >= 0.93).sum(axis=1) - 1
+    have = np.array([got[i] for i in range(0, 4000, 10)])
+    assert want.sum() > 500 and (have <= want).all() and have.sum() >= 0.99 * want.sum()
