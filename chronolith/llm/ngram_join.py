@@ -1,26 +1,26 @@
 """Jaccard self-join of word n-gram sets by prefix trees.
 
-1. Equal sets collapse to the smallest doc_id.
+1. Rows get numbers of their own; equal sets collapse to one class.
 2. Document frequencies: the sets' n-grams are dealt out by n-gram, packed (40 bits each), and counted. What occurs in
    one set only is dropped there; the rest goes back to its document with its frequency class. The global order is
    (frequency class, n-gram), so n-grams of one set only come first. A wrongly shared 40-bit key adds a candidate, no more.
 3. If two sets of sizes a and b are similar, they share at least one of the first a - ceil(0.75 a) + 1 n-grams of the
    order, and at least 0.75 a of each set's n-grams are shared ones; other sets leave here. The shared part of each
-   prefix is dealt out by n-gram. Within the list of one n-gram every set is paired with the list's most central one
-   (the smallest share of n-grams of its own: the source of copies); verified pairs become components.
-4. In lists that still hold several components, sets of different components whose lengths and positions allow the
-   overlap are paired, those already compared left out. After this every possible link between components was tested.
-5. Verification: each left-hand set meets its candidates in groups of bounded size. The candidates' ordered sets form a
-   prefix tree (kept as sorted sequences with their common prefix lengths): the tree is traversed once, the overlap so
-   far is shared by all sets below a node, and a subtree is left where the n-grams that remain can't reach the bound.
-
-Similar sets within one component are not paired again: they lose no link between components.
+   prefix is dealt out by n-gram. The sets of one n-gram's list, ordered by size, are chained where the next size is in
+   reach; a bucket of lists passes on a forest of its chains. So two similar sets always end up in one component of the
+   chains, and nothing is written for each pair.
+4. Each set goes once to its component (small ones share a task), where the sets, in one order (most frequent n-grams
+   first), form a trie. It is traversed for one probe at a time: sets below a node share the overlap so far, a subtree is
+   left where the n-grams that remain can't reach the bound, or where all its sets are in the probe's group already. The
+   first probe is the most central set; after it only sets outside the largest group probe. What comes out is a forest.
+5. A component of more than BLOCK n-grams is cut into blocks. Blocks are joined within; then the most central sets of
+   their groups with each other; then what is outside the largest group with all blocks, and with itself. Sets of one
+   group are not compared again: they lose no link between groups.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,7 @@ from chronolith.llm.common import (
     columns_guarded,
     grouped,
     mix,
+    numbered,
     planes,
     shingles_of,
     small_enough,
@@ -42,14 +43,14 @@ from chronolith.llm.common import (
 )
 from chronolith.llm.components import components
 
-GROUP = 256  # candidates of one set in a group
+BLOCK = 1 << 20  # n-grams of the sets that meet in a task
 CHUNK = 1 << 20
 U64 = np.uint64
 _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
 
 
 def _sets(batch, width):
-    """(doc ids, list of sets) of pieces of an Arrow batch (doc_id, text)."""
+    """(numbers, list of sets) of pieces of an Arrow batch (number, text)."""
     ids = batch.column(0).to_pylist()
     data, offsets = text_buffers(batch.column(1))
     for lo, hi in chunks_of(offsets, CHUNK):
@@ -59,13 +60,15 @@ def _sets(batch, width):
 
 
 def _digest_pass(width):
-    """Per document its set's size and digest."""
+    """Per row (number, text, doc_id) its set's size and digest."""
 
     def run(batches):
         for batch in batches:
+            docs, at = batch.column(2), 0
             for ids, sets in _sets(batch, width):
                 rows = [(i, len(s), int(mix(s).sum(dtype=U64).view(np.int64)), int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).view(np.int64))) for i, s in zip(ids, sets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, _L) for c in zip(*rows)], ["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([docs.slice(at, len(ids)), *[pa.array(c, _L) for c in zip(*rows)]], ["doc_id", "number", "n", "d1", "d2"])
+                at += len(ids)
 
     return run
 
@@ -151,7 +154,7 @@ def _shared_keys(dbits):
 
 def _prefixes(percent, bits):
     """Of one bucket of documents: the shared part of their prefixes, by n-gram, packed."""
-    names = ["bucket", "grams", "docs", "sizes", "places", "own"]
+    names = ["bucket", "grams", "docs", "sizes"]
 
     @grouped
     def run(key, batches):
@@ -174,114 +177,246 @@ def _prefixes(percent, bits):
         need = -(-percent * n // 100)
         # one n-gram of slack, should two of a set have fallen on one key
         keep = (shared + 1 >= need) & (place < n - need + 2)
-        g, d, n, place, own = g[keep], d[keep], n[keep], place[keep], own[keep]
+        g, d, n = g[keep], d[keep], n[keep]
         home = (mix(g) >> U64(64 - bits)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        g, d, n, place, own, home = (a[order] for a in (g, d, n, place, own, home))
-        rows = [(int(home[lo]), planes(g[lo:hi]), planes(d[lo:hi]), *(planes(a[lo:hi].astype(np.uint32)) for a in (n, place, own))) for lo, hi in zip(*_runs(home))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, (_I, *[_B] * 5))], names)
+        g, d, n, home = (a[order] for a in (g, d, n, home))
+        rows = [(int(home[lo]), planes(g[lo:hi]), planes(d[lo:hi]), planes(n[lo:hi].astype(np.uint32))) for lo, hi in zip(*_runs(home))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (_I, *[_B] * 3))], names)
 
     return run
 
 
-def _lists(percent):
-    """Of one bucket of n-grams: the lists of two sets or more, and the pair of each set with its list's most central one."""
-    names = ["gram", "doc", "n", "place", "a", "b"]
+def _chains(percent):
+    """Of one bucket of n-grams: a forest of the chains of its lists."""
 
     @grouped
     def run(key, batches):
-        cols = [[], [], [], [], []]
+        cols = [[], [], []]
         for t in batches:
             for r in t.to_pylist():
-                for to, name, kind in zip(cols, ("grams", "docs", "sizes", "places", "own"), (U64, np.int64, np.uint32, np.uint32, np.uint32)):
+                for to, name, kind in zip(cols, ("grams", "docs", "sizes"), (U64, np.int64, np.uint32)):
                     to.append(unplanes(r[name], kind))
-        g, d = cat(cols[0], U64), cat(cols[1], np.int64)
-        n, p, own = (cat(c, np.uint32).astype(np.int64) for c in cols[2:])
-        order = np.lexsort((d, own / np.maximum(n, 1), g))
-        g, d, n, p = g[order], d[order], n[order], p[order]
-        s, t = _runs(g)
-        size = t - s
-        many = np.repeat(size, size) > 1
-        head = np.repeat(s, size)
-        can = many & (d != d[head]) & _possible(percent, n, p, n[head], p[head])
-        pairs = np.unique(np.c_[d[head[can]], d[can]], axis=0) if can.any() else np.empty((0, 2), np.int64)
-        e = lambda k: pa.nulls(k, _L)
-        keep = int(many.sum())
-        yield pa.RecordBatch.from_arrays([pa.array(g[many].view(np.int64), _L), pa.array(d[many], _L), pa.array(n[many], _L), pa.array(p[many], _L), e(keep), e(keep)], names)
-        yield pa.RecordBatch.from_arrays([*[e(len(pairs))] * 4, pa.array(pairs[:, 0], _L), pa.array(pairs[:, 1], _L)], names)
+        g, d, n = cat(cols[0], U64), cat(cols[1], np.int64), cat(cols[2], np.uint32).astype(np.int64)
+        order = np.lexsort((d, n, g))
+        g, d, n = g[order], d[order], n[order]
+        chained = np.flatnonzero((g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+        names, ends = np.unique(np.r_[d[chained], d[chained + 1]], return_inverse=True)
+        links = _forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], _L) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _possible(percent, n, p, m, q):
-    """Whether sets of sizes n and m that first share the n-gram at places p and q can be similar."""
-    need = -(-percent * (n + m) // (100 + percent))
-    return (np.minimum(n - p, m - q) + 1 >= need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+def _forest(links: np.ndarray, n: int) -> np.ndarray:
+    """Those of ``links`` between numbers below ``n`` that join what wasn't joined before."""
+    parent, keep = list(range(n)), []
+    for k, (a, b) in enumerate(links.tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[b] = a
+            keep.append(k)
+    return links[keep].reshape(-1, 2)
 
 
 def _tokens_pass(width):
     def run(batches):
         for batch in batches:
             for ids, sets in _sets(batch, width):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, _L), pa.array([s.tobytes() for s in sets], _B)], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, _L), pa.array([s.tobytes() for s in sets], _B)], ["node", "grams"])
 
     return run
 
 
-def trie_join(probe: np.ndarray, sequences: list[np.ndarray], percent: int) -> list[bool]:
-    """Whether each of ``sequences`` is similar to ``probe``; all in the global order, ``sequences`` sorted by it.
+class Trie:
+    """Sequences of whole numbers in ascending order, as a tree with the unbranched stretches as single nodes.
+
+    A node holds the stretch from ``start`` to ``end`` of the sequences ``lo`` to ``hi`` (in sorted order); the numbers
+    of its stretch stand at ``at``. ``least`` and ``longest`` are the smallest set and the longest sequence below it.
+    """
 
-    Neighbours in sorted order share a path of the tree as long as their common prefix. ``overlap[d]`` is the overlap
-    after d n-grams of the current path; a step down extends it, a step to a sibling cuts it back. ``dead`` is the
-    depth at which the remaining lengths ruled out the path for the size at hand.
+    def __init__(self, sequences: list[np.ndarray], sizes: np.ndarray):
+        self.order = np.array(sorted(range(len(sequences)), key=[s.astype(">u4").tobytes() for s in sequences].__getitem__), np.int64)
+        seqs = [sequences[i] for i in self.order]
+        sizes = sizes[self.order].tolist()
+        lens = [len(s) for s in seqs]
+        self.tokens = cat(seqs, np.int64)
+        base = np.cumsum([0, *lens]).tolist()
+        nodes = []  # start, end, lo, hi, least, longest, children
+        stack = [[0, 0, 0, 0, 1 << 62, 0, []]]  # branches still open, the root first
+
+        def attach(node):
+            """To the innermost open branch."""
+            top = stack[-1]
+            node[0] = top[1]
+            top[6].append(len(nodes))
+            nodes.append(node)
+            top[3], top[4], top[5] = node[3], min(top[4], node[4]), max(top[5], node[5])
+
+        for i, s in enumerate(seqs):
+            shared = 0  # with the next
+            if i + 1 < len(seqs):
+                m = min(lens[i], lens[i + 1])
+                differ = np.flatnonzero(s[:m] != seqs[i + 1][:m])
+                shared = int(differ[0]) if len(differ) else m
+            if shared > stack[-1][1]:
+                stack.append([0, shared, i, 0, 1 << 62, 0, []])
+            attach([0, lens[i], i, i + 1, sizes[i], lens[i], []])
+            while shared < stack[-1][1]:
+                node = stack.pop()
+                if shared > stack[-1][1]:
+                    stack.append([0, shared, node[2], 0, 1 << 62, 0, []])
+                attach(node)
+        self.roots = np.array(stack[0][6], np.int64)
+        self.start, self.end, self.lo, self.hi, self.least, self.longest = (np.array([n[k] for n in nodes], np.int64) for k in range(6))
+        self.at = np.array(base, np.int64)[self.lo] + self.start
+        counts = np.array([len(n[6]) for n in nodes], np.int64)
+        self.first = np.cumsum(counts) - counts
+        self.children, self.counts = np.array([c for n in nodes for c in n[6]], np.int64), counts
+        self.leaf = counts == 0
+
+    def near(self, probe: np.ndarray, size: int, percent: int, done) -> np.ndarray:
+        """Places of the sequences whose sets are similar to the ``probe`` of a set of ``size``; ``done(nodes)`` are left out."""
+        inside = np.zeros(int(max(self.tokens.max(initial=0), probe.max(initial=0))) + 1, bool)
+        inside[probe] = True
+        nodes, overlap, found = self.roots, np.zeros(len(self.roots), np.int64), []
+        while len(nodes):
+            keep = ~done(nodes)
+            nodes, overlap = nodes[keep], overlap[keep]
+            long = self.end[nodes] - self.start[nodes]
+            stop = np.cumsum(long)
+            place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.at[nodes] - stop + long, long)
+            passed = np.r_[0, np.cumsum(inside[self.tokens[place]])]
+            overlap = overlap + passed[stop] - passed[stop - long]
+            last = np.where(self.end[nodes] > 0, self.tokens[self.at[nodes] + long - 1] if len(self.tokens) else 0, -1)
+            left = len(probe) - np.searchsorted(probe, last, "right")
+            keep = overlap + np.minimum(self.longest[nodes] - self.end[nodes], left) >= _at_least(percent, size, self.least[nodes])
+            nodes, overlap = nodes[keep], overlap[keep]
+            leaf = self.leaf[nodes]
+            found.append(self.lo[nodes[leaf]])
+            nodes, overlap = nodes[~leaf], overlap[~leaf]
+            counts = self.counts[nodes]
+            stop = np.cumsum(counts)
+            place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.first[nodes] - stop + counts, counts)
+            nodes, overlap = self.children[place], np.repeat(overlap, counts)
+        return cat(found, np.int64)
+
+
+def trie_links(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links that join all similar ``sets`` (sorted, distinct), the groups they make, and how central each set is.
+
+    Sets of equal ``labels`` are joined before. Only links between sets of different groups are found, each by one probe.
     """
-    out, path, overlap, dead = [], np.empty(0, U64), [0], None
-    inside = np.sort(probe)
-    for s in sequences:
-        m = min(len(s), len(path))
-        differ = np.flatnonzero(s[:m] != path[:m])
-        shared = int(differ[0]) if len(differ) else m
-        need = _at_least(percent, len(probe), len(s))
-        if dead is not None and dead <= shared and overlap[dead] + len(s) - dead < need:
-            out.append(False)
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    values, number, often = np.unique(cat(sets, U64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((values, -often))] = np.arange(len(values))
+    central = np.bincount(owner, often[number], n) / np.maximum(sizes, 1)
+    shared = often[number] > 1
+    token, owner = rank[number[shared]], owner[shared]
+    order = np.lexsort((token, owner))
+    token, bounds = token[order], np.searchsorted(owner[order], np.arange(n + 1))
+    sequences = [token[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    trie = Trie(sequences, sizes)
+    group = np.unique(labels, return_inverse=True)[1] if labels is not None else np.arange(n)
+    links: list[tuple[int, int]] = []
+    anchor = int(np.flatnonzero(group == np.bincount(group).argmax())[0]) if labels is not None else -1
+    for i in np.argsort(-central, kind="stable").tolist() if n > 1 else []:
+        if anchor < 0:
+            anchor = i  # probes, and gathers the group whose other sets needn't
+        elif group[i] == group[anchor]:
             continue
-        depth = min(shared, len(overlap) - 1)
-        del overlap[depth + 1 :]
-        path, dead = s, None
-        while depth < len(s):
-            if overlap[depth] + min(len(s) - depth, len(probe) - overlap[depth]) < need:
-                dead = depth
-                break
-            step = s[depth : depth + 64]
-            at = np.searchsorted(inside, step)
-            at[at == len(inside)] = 0
-            hit = np.cumsum(inside[at] == step) + overlap[depth]
-            overlap.extend(hit.tolist())
-            depth += len(step)
-        out.append(dead is None and overlap[len(s)] >= need)
-    return out
-
-
-def _verify(percent):
-    def run(key, pdf):
-        probe = np.frombuffer(pdf.grams[pdf.role == 0].iloc[0], U64)
-        rest = pdf[pdf.role == 1]
-        order = sorted(range(len(rest)), key=[np.frombuffer(g, U64).astype(">u8").tobytes() for g in rest.grams].__getitem__)
-        ids = rest.id.to_numpy()[order]
-        near = trie_join(probe, [np.frombuffer(rest.grams.iloc[i], U64) for i in order], percent)
-        hit = ids[np.array(near, bool)]
-        return pd.DataFrame({"a": np.full(len(hit), key[0], np.int64), "b": hit})
+        if (group == group[0]).all():
+            break
+        there = group[trie.order]
+        change = np.flatnonzero(np.r_[there[1:] != there[:-1], True])
+        until = change[np.searchsorted(change, np.arange(n))] + 1
+        mine = group[i]
+        hit = trie.order[trie.near(sequences[i], int(sizes[i]), percent, lambda k: (there[trie.lo[k]] == mine) & (until[trie.lo[k]] >= trie.hi[k]))]
+        hit = hit[group[hit] != mine]
+        if len(hit):
+            other, first = np.unique(group[hit], return_index=True)
+            links += [(i, int(j)) for j in hit[first]]
+            group[np.isin(group, other)] = mine
+    return links, group, central
+
+
+def _meet(percent):
+    """Whole components, or blocks of a large one, packed into a task: links, and the most central set of each group."""
+
+    @grouped
+    def run(key, tables):
+        t = pa.concat_tables(tables)
+        node, comp, label = (t.column(c).to_numpy() for c in ("node", "comp", "label"))
+        cells = t.column("cell").to_numpy()
+        raw = t.column("grams").to_pylist()
+        order = np.lexsort((node, comp, cells))
+        out = []
+        for lo, hi in zip(*_runs(cells[order])):
+            own = order[lo:hi]
+            links, group, central = trie_links([np.frombuffer(raw[i], U64) for i in own], percent, label[own])
+            out += [(int(node[own[i]]), int(node[own[j]])) for i, j in links]
+            best = own[np.lexsort((node[own], -central, group))]
+            heads = best[_runs(np.sort(group))[0]]
+            out += [(int(node[i]), int(node[i])) for i in heads]
+        yield pa.RecordBatch.from_arrays([pa.array(c, _L) for c in (zip(*out) if out else ([], []))], ["a", "b"])
 
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are similar."""
-    load = pairs.groupBy("a").count()
-    dealt = pairs.join(load, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / GROUP)).cast("int"))
-    member = dealt.select("a", "part", F.col("b").alias("id"), F.lit(1).alias("role"))
-    member = member.unionByName(dealt.select("a", "part", F.col("a").alias("id"), F.lit(0).alias("role")).distinct())
-    return member.join(sets, "id").groupBy("a", "part").applyInPandas(_verify(percent), "a long, b long")
+def _met(cells: DataFrame, sets: DataFrame, percent: int, tokens: int) -> DataFrame:
+    """Written (a, b): links found in ``cells`` (cell, node, comp, label), and (a, a) for the most central sets of groups.
+
+    Rows of a cell meet in one task; ``tokens`` in all cells tell how many tasks share them.
+    """
+    bins = max(2 * cells.sparkSession.sparkContext.defaultParallelism, -(-tokens // BLOCK))
+    dealt = cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins)).cast("int"))
+    return written(dealt.join(sets, "node").groupBy("bin").applyInArrow(_meet(percent), "a long, b long"), "ngram-links")
+
+
+def _in_blocks(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of ``member`` (node, comp, n): all components as in the module's docstring."""
+    sizes = member.groupBy("comp").agg(F.sum("n").alias("tokens"))
+    total = sizes.agg(F.sum("tokens"), F.max("tokens")).first()
+    blocks = F.ceil(F.col("tokens") / BLOCK).cast("int")
+    placed = written(member.join(sizes, "comp").withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int")), "ngram-members")
+    within = placed.select(F.xxhash64("comp", "part").alias("cell"), "node", "comp", F.col("node").alias("label"))
+    found = _met(within, sets, percent, total[0] or 0)
+    if (total[1] or 0) <= BLOCK:
+        return found.where("a <> b")
+    large = placed.where("blocks > 1").drop("blocks", "part", "tokens")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        known = components(links.where("a <> b")).select("node", F.col("component").alias("label"))
+        return large.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # the most central sets of the groups of all blocks, in blocks again if they are many
+    hubs = labelled(found).join(found.where("a = b").select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    size = hubs.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("tokens"))
+    hubs = hubs.join(size, "comp").select(F.xxhash64("comp", F.pmod(F.xxhash64("node", F.lit(6)), "blocks")).alias("cell"), "node", "comp", "label")
+    found = written(found.where("a <> b").unionByName(_met(hubs, sets, percent, total[0]).where("a <> b")), "ngram-links")
+    # what is outside the largest group: blocks of it with blocks of the largest, and with each other
+    now = labelled(found)
+    mass = now.groupBy("comp", "label").agg(F.sum("n").alias("tokens"))
+    top = mass.groupBy("comp").agg(F.max_by("label", F.struct("tokens", "label")).alias("top"), F.max("tokens").alias("most"), F.sum("tokens").alias("all")).where("most < all")
+    outside = written(now.join(top, "comp").withColumn("rest", F.col("label") != F.col("top")), "ngram-outside")
+    x, y = F.ceil(F.col("most") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    outside = outside.withColumn("x", x).withColumn("y", y).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("rest"), F.col("y")).otherwise(F.col("x"))).cast("int"))
+    own = ["node", "comp", "label", "n"]
+    a = outside.where("not rest").select(*own, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
+    b = outside.where("rest").select(*own, F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i"), F.col("part").alias("j"))
+    c = outside.where("rest").select(*own, "part", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("other")).where("part <> other")
+    c = c.select(*own, (-1 - F.least("part", "other")).alias("i"), F.greatest("part", "other").alias("j"))
+    cells = written(a.unionByName(b).unionByName(c).withColumn("cell", F.xxhash64("comp", "i", "j")).drop("i", "j"), "ngram-cells")
+    more = _met(cells.drop("n"), sets, percent, cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return found.unionByName(more.where("a <> b"))
 
 
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -290,48 +425,34 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     A-Z count as a-z; words are runs of bytes other than 0x20 and 0x09-0x0D. A set holds the distinct sequences of
     ``width`` words; of a shorter text, the one sequence of all its words; of a text without words or null, nothing, and
     it links with nothing. Rows link when 100 * overlap >= percent * union. component_id is the smallest doc_id that
-    links reach. Rows that share a doc_id link as any rows do; a row with a null doc_id gets its n_shingles, links with
-    nothing and has a null component_id. An empty table gives an empty one. Other columns are ignored. N-grams are
-    compared as 64-bit hashes.
+    links reach. Rows that share a doc_id link as any rows do, each by its own text; a row with a null doc_id gets its
+    n_shingles, links with nothing and has a null component_id. An empty table gives an empty one. Other columns are
+    ignored. N-grams are compared as 64-bit hashes.
     """
     spark = docs.sparkSession
-    docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
-    rows = written(docs.mapInArrow(_digest_pass(width), "doc_id long, n long, d1 long, d2 long"), "ngram-digests")
+    docs = numbered(columns_guarded(docs, {"doc_id": "long", "text": "string"}))
+    rows = written(docs.select("number", "text", "doc_id").mapInArrow(_digest_pass(width), "doc_id long, number long, n long, d1 long, d2 long"), "ngram-digests")
     real = rows.where("n > 0 and doc_id is not null")
-    classes = real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    # a document goes on if it is its set's first: copies are left out by id
-    copies = written(real.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id").distinct(), "ngram-copies")
-    reps = docs.where("doc_id is not null").join(small_enough(copies), "doc_id", "left_anti")
-    if not real.groupBy("doc_id").count().where("count > 1").isEmpty():  # a row twice would stand for two documents
-        reps = reps.dropDuplicates(["doc_id", "text"])
+    classes = written(real.groupBy("n", "d1", "d2").agg(F.min("number").alias("rep"), F.min("doc_id").alias("least")), "ngram-classes")
+    # a row goes on if it is its set's first: copies are left out by number
+    copies = written(real.join(classes, ["n", "d1", "d2"]).where("number <> rep").select("number").distinct(), "ngram-copies")
+    reps = docs.where("doc_id is not null").join(small_enough(copies), "number", "left_anti").select("number", "text")
+    if not real.groupBy("number").count().where("count > 1").isEmpty():  # equal rows would stand for two documents
+        reps = reps.dropDuplicates(["number"])
     bits, dbits = bucket_bits(spark, 2), bucket_bits(spark, 1)
     keys = reps.mapInArrow(_keys_pass(width, bits), "bucket int, keys binary, docs binary, counts binary, sizes binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys(dbits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
-    prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary, places binary, own binary")
-    listed = written(prefixes.groupBy("bucket").applyInArrow(_lists(percent), "gram long, doc long, n long, place long, a long, b long"), "ngram-lists")
-    lists = listed.where("gram is not null").select("gram", "doc", "n", "place")
-    star = written(listed.where("gram is null").select("a", "b").distinct(), "ngram-star")
-    # sets of all documents that share a list with another: later pairs need no others
-    needed = written(lists.select(F.col("doc").alias("doc_id")).distinct(), "ngram-needed")
-    sets = written(docs.join(small_enough(needed), "doc_id", "left_semi").mapInArrow(_tokens_pass(width), "id long, grams binary").dropDuplicates(["id"]), "ngram-sets")
-    linked = written(_linked(star, sets, percent), "ngram-links")
-    comp = written(components(linked), "ngram-components")
-    label = comp.select(F.col("node").alias("doc"), "component")
-    known = lists.join(label, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = known.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    open_lists = written(known.join(mixed, "gram"), "ngram-open")
-    x = open_lists.select("gram", *[F.col(c).alias(f"{c}_x") for c in ("doc", "n", "place", "component")])
-    y = open_lists.select("gram", *[F.col(c).alias(f"{c}_y") for c in ("doc", "n", "place", "component")])
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
-    fits = (F.col("component_x") < F.col("component_y")) & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1 >= need)
-    fits &= F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
-    rest = x.join(y, "gram").where(fits).select(F.least("doc_x", "doc_y").alias("a"), F.greatest("doc_x", "doc_y").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(rest.join(tested, ["a", "b"], "left_anti"), "ngram-rest")
-    more = _linked(rest, sets, percent)
-    whole = components(written(linked.unionByName(more), "ngram-all-links"))
-    of_rep = classes.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("found"))
-    out = rows.join(of_rep, ["n", "d1", "d2"], "left")
+    prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary")
+    chains = written(prefixes.groupBy("bucket").applyInArrow(_chains(percent), "a long, b long"), "ngram-chains")
+    sized = classes.select(F.col("rep").alias("node"), "n")
+    member = written(components(chains).select("node", F.col("component").alias("comp")).join(sized, "node"), "ngram-candidates")
+    needed = small_enough(member.select(F.col("node").alias("number")))
+    sets = written(reps.join(needed, "number", "left_semi").mapInArrow(_tokens_pass(width), "node long, grams binary"), "ngram-sets")
+    linked = components(_in_blocks(member, sets, percent)).select(F.col("node").alias("rep"), "component")
+    known = written(classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "ngram-known")
+    reach = known.groupBy("component").agg(F.min("least").alias("found"))
+    of_class = known.join(reach, "component").select("n", "d1", "d2", "found")
+    out = rows.join(of_class, ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

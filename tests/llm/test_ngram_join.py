@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronolith.llm.ngram_join import ngram_join, op10_ngram_join, trie_join
+from chronolith.llm.ngram_join import ngram_join, op10_ngram_join, trie_links
 
 
 def shingles(text):
@@ -63,9 +63,51 @@ def test_near_groups_and_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(again).collect()) == [(0, 0), (1, 1), (1, 1)]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=12), st.sets(st.integers(0, 40), min_size=1))
-def test_trie(sets, probe):
-    arrays = sorted((sorted(s) for s in sets))
-    got = trie_join(np.array(sorted(probe), np.uint64), [np.array(s, np.uint64) for s in arrays], 75)
-    assert got == [100 * len(probe & set(s)) >= 75 * len(probe | set(s)) for s in arrays]
+def joined(n, links):
+    """Of each of ``n`` numbers the smallest that links reach."""
+    least = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 20), min_size=1), min_size=1, max_size=12), st.data())
+def test_trie(sets, data):
+    n = len(sets)
+    labels = data.draw(st.none() | st.lists(st.integers(0, n), min_size=n, max_size=n))
+    near = {(i, j) for i in range(n) for j in range(n) if i != j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    same = [(i, j) for i in range(n) for j in range(i) if labels and labels[i] == labels[j]]
+    links, group, _ = trie_links([np.array(sorted(s), np.uint64) for s in sets], 75, np.array(labels) if labels else None)
+    assert set(links) <= near
+    want = joined(n, [*near, *same])
+    assert joined(n, links + same) == want
+    assert [(group == g).argmax() for g in group] == want
+
+
+def test_many_near_copies_in_blocks(spark, monkeypatch):
+    """A component of many blocks: copies of copies, so most pairs aren't similar, and one link of two groups."""
+    monkeypatch.setattr("chronolith.llm.ngram_join.BLOCK", 900)
+    rnd = random.Random(9)
+    vocab = [f"v{i}" for i in range(300)]
+    base = [rnd.choice(vocab) for _ in range(60)]
+    rows, last = [], list(base)
+    for i in range(120):
+        w = list(last if i % 3 == 0 else base)
+        w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        last = w if i % 3 == 0 else last
+        rows.append((i * 3 % 121, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join(df).collect())) == brute(rows)
+
+
+def test_texts_of_one_doc_id_and_long_ones(spark):
+    rnd = random.Random(6)
+    words = lambda n: [f"u{rnd.randrange(5000)}" for _ in range(n)]
+    a, b, c = words(80), words(80), words(60_000)
+    rows = [(1, a), (2, a), (1, b), (3, b[:-1]), (7, c), (8, c[:-900]), (9, words(70)), (None, b)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join(df).collect())
+    size = lambda w: len(shingles(" ".join(w)))
+    assert got == sorted([(1, 76, 1), (2, 76, 1), (1, 76, 1), (3, 75, 1), (7, size(c), 7), (8, size(c[:-900]), 7), (9, 66, 9), (0, 76, 0)])
