@@ -1,8 +1,9 @@
 """Calendar segments as column expressions: half-open ranges [segment_from, segment_to).
 
 Every segment lies in a calendar period of a larger unit (its parent) and starts a whole number of periods after it; the
-last segment of a parent ends with the parent. Weeks count from the Monday on or before the start of the parent, so the
-first segment of a year may start in the year before. A null time has a null segment.
+last segment of a parent ends with the parent. Weeks count from the Monday on or before the start of the parent, and the
+first segment of a year starts with the year. The unit ``ever`` is one segment for all times. A null time has a null
+segment.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ PARENTS = {
 }
 
 
+#: The bounds of all times.
+EVER = ("0001-01-01 00:00:00", "9999-12-31 23:59:59.999999")
+
+
 @dataclass(frozen=True)
 class Segments:
     """Periods of ``count`` ``unit``s. ``zone`` moves the calendar to another time zone; times stay as they are."""
@@ -46,7 +51,7 @@ class Segments:
     zone: str | None = None
 
     def __post_init__(self):
-        if self.unit not in FIXED and self.unit not in MONTHS:
+        if self.unit not in FIXED and self.unit not in MONTHS and self.unit != "ever":
             raise ValueError(f"unknown unit {self.unit!r}")
         if self.count < 1:
             raise ValueError("a period must be positive")
@@ -71,6 +76,8 @@ class Segments:
 
     def columns(self, ts: Column) -> tuple[Column, Column]:
         """(segment_from, segment_to) of ``ts``."""
+        if self.unit == "ever":
+            return tuple(F.when(ts.isNotNull(), F.lit(at).cast("timestamp_ntz")) for at in EVER)
         local = F.convert_timezone(F.lit("UTC"), F.lit(self.zone), ts.cast("timestamp_ntz")) if self.zone else ts
         start, end = self._local(local)
         if self.zone:
@@ -93,7 +100,7 @@ class Segments:
             passed = F.floor(F.timestamp_diff("MICROSECOND", origin, ts.cast("timestamp")) / length).cast("long")
             start = F.timestamp_add("MICROSECOND", passed * length, origin)
             end = F.timestamp_add("MICROSECOND", F.lit(length), start)
-        return start, F.least(end, parent_end)
+        return F.greatest(start, parent), F.least(end, parent_end)
 
 
 def truncate(unit: str, ts: Column) -> Column:

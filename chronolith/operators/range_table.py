@@ -12,11 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.operators.series import as_of
+
 
 @dataclass(frozen=True)
 class Table:
     hash_key: str
     range_key: str | None = None
+    #: Calendar unit or width of range keys whose rows of one hash key one task can sort; None: all of a hash key.
+    bucket: str | int | None = None
 
     @property
     def keys(self) -> list[str]:
@@ -55,6 +59,69 @@ def get(rows: DataFrame, keys: DataFrame, table: Table) -> DataFrame:
     return rows.join(keys.select(*table.keys).distinct(), _matching(table, rows, keys), "left_semi")
 
 
+def _values(rows: DataFrame, table: Table) -> list[str]:
+    return [c for c in rows.columns if c != table.hash_key]
+
+
+def last_rows(rows: DataFrame, table: Table) -> DataFrame:
+    """Per hash key its row with the greatest range key."""
+    rank = F.struct(F.col(table.range_key).isNotNull(), table.range_key)
+    return rows.groupBy(table.hash_key).agg(F.max_by(F.struct(*_values(rows, table)), rank).alias("_r")).select(table.hash_key, "_r.*")
+
+
+def first_rows(rows: DataFrame, table: Table) -> DataFrame:
+    """Per hash key its row with the least range key; a null one comes first."""
+    rank = F.struct(F.col(table.range_key).isNotNull(), table.range_key)
+    return rows.groupBy(table.hash_key).agg(F.min_by(F.struct(*_values(rows, table)), rank).alias("_r")).select(table.hash_key, "_r.*")
+
+
+def _near(rows: DataFrame, table: Table, probes: DataFrame, at: tuple[str, str], **how) -> DataFrame:
+    return as_of(rows, probes, (table.hash_key, table.range_key, table.range_key), at, _values(rows, table), table.bucket, **how)
+
+
+def latest(rows: DataFrame, table: Table, probes: DataFrame, hash_at: str, range_at: str) -> DataFrame:
+    """``probes`` with the row of the greatest range key not above theirs, else the first row of the hash key."""
+    return _near(rows, table, probes, (hash_at, range_at), fallback=True)
+
+
+def previous(rows: DataFrame, table: Table, probes: DataFrame, hash_at: str, range_at: str) -> DataFrame:
+    """``probes`` with the row of the greatest range key not above theirs (the floor), or nulls."""
+    return _near(rows, table, probes, (hash_at, range_at))
+
+
+def following(rows: DataFrame, table: Table, probes: DataFrame, hash_at: str, range_at: str) -> DataFrame:
+    """``probes`` with the row of the least range key not below theirs (the ceiling), or nulls."""
+    return _near(rows, table, probes, (hash_at, range_at), forward=True)
+
+
+def contains_keys(rows: DataFrame, keys: DataFrame, table: Table) -> DataFrame:
+    """Distinct asked keys with ``there``."""
+    asked = keys.select(*table.keys).distinct()
+    held = rows.select(*[F.col(k).alias(f"_{k}") for k in table.keys]).distinct().withColumn("_there", F.lit(True))
+    on = F.lit(True)
+    for k in table.keys:
+        on = on & asked[k].eqNullSafe(held[f"_{k}"])
+    return asked.join(held, on, "left").select(*table.keys, F.coalesce("_there", F.lit(False)).alias("there"))
+
+
+def replace_if(rows: DataFrame, new: DataFrame, table: Table, value: str, expected: str) -> DataFrame:
+    """Upsert of those of ``new`` whose ``expected`` equals the stored value (null: no row is stored)."""
+    held = rows.select(*[F.col(k).alias(f"_{k}") for k in table.keys], F.col(value).alias("_held"))
+    on = F.lit(True)
+    for k in table.keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    agreed = new.join(held, on, "left").where(F.col("_held").eqNullSafe(F.col(expected))).select(*rows.columns)
+    return put(rows, agreed, table)
+
+
+def append_only(rows: DataFrame, new: DataFrame, table: Table) -> DataFrame:
+    """``new`` keys added to a table that forbids replacing: a key that is there is an error, found before anything is returned."""
+    clash = new.join(rows, _matching(table, new, rows), "left_semi").take(1)
+    if clash:
+        raise ValueError(f"a key that is there already: {clash[0].asDict()}")
+    return rows.unionByName(new)
+
+
 def delete(rows: DataFrame, keys: DataFrame, table: Table) -> DataFrame:
     return rows.join(keys, _matching(table, rows, keys), "left_anti")
 
@@ -88,6 +155,14 @@ def get_or_load(rows: DataFrame, keys: DataFrame, table: Table, load: Callable[[
     return rows.unionByName(load(absent).where(F.col(value).isNotNull()))
 
 
+def purge(rows: DataFrame, created: str, now: Column, seconds: int) -> DataFrame:
+    """All rows, or none once the table's first row is older than ``seconds``: a table that expires as a whole."""
+    first = rows.agg(F.min(created).alias("_first"))
+    age = F.timestamp_diff("SECOND", F.col("_first").cast("timestamp"), now.cast("timestamp"))
+    expired = first.where(age <= seconds).isEmpty()
+    return rows.limit(0) if expired else rows
+
+
 def unexpired(rows: DataFrame, created: str, now: Column, every: str) -> DataFrame:
     """Rows made in the same calendar ``every`` (hour, day, month) as ``now``."""
     return rows.where(F.date_trunc(every, F.col(created)) == F.date_trunc(every, now))

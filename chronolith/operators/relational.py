@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,9 +28,46 @@ def find_one(df: DataFrame, example: dict, id_column: str = "id"):
     return found[0] if found else None
 
 
+def find_all(df: DataFrame, example: dict, order: list[Column] | None = None, offset: int = 0, limit: int | None = None, any_of: bool = False, id_column: str = "id") -> DataFrame:
+    """Rows like the example, ordered, from ``offset`` on and at most ``limit``."""
+    found = df.where(by_example(example, any_of, id_column))
+    found = found.orderBy(*order) if order else found
+    found = found.offset(offset) if offset else found
+    return found if limit is None else found.limit(limit)
+
+
+def find_by_id(df: DataFrame, id_value, id_column: str) -> DataFrame:
+    return df.where(F.col(id_column) == F.lit(id_value))
+
+
+def exists(df: DataFrame, example: dict, any_of: bool = False, id_column: str = "id") -> bool:
+    return not df.where(by_example(example, any_of, id_column)).isEmpty()
+
+
+def count_like(df: DataFrame, examples: list[dict], id_column: str = "id") -> DataFrame:
+    """(example, n): how many rows are like each of some examples (by its place in the list), in one pass."""
+    counted = df.agg(*[F.count_if(by_example(e, id_column=id_column)).alias(str(i)) for i, e in enumerate(examples)])
+    pairs = F.array(*[F.struct(F.lit(i).alias("example"), F.col(str(i)).alias("n")) for i in range(len(examples))])
+    return counted.select(F.inline(pairs))
+
+
+def at_most(column: str, value) -> Column:
+    return F.col(column) <= F.lit(value)
+
+
+def at_least(column: str, value) -> Column:
+    return F.col(column) >= F.lit(value)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 0) of the ordered rows."""
-    return df.orderBy(*order).offset(number * size).limit(size)
+    """Page ``number`` (from 0) of the ordered rows, with ``row_number`` (from 0, in all rows)."""
+    rows = df.orderBy(*order).offset(number * size).limit(size)
+    return rows.withColumn("row_number", F.row_number().over(W.orderBy(*order)) - 1 + number * size)  # ``size`` rows
+
+
+def with_total(paged: DataFrame, df: DataFrame) -> DataFrame:
+    """A page with ``total``, the number of all rows."""
+    return paged.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row
 
 
 def find_by_ids(df: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
@@ -47,6 +84,19 @@ def save_all(df: DataFrame, changed: DataFrame, id_column: str, version: str | N
     return df.join(current, id_column, "left_anti").unionByName(current.select(*df.columns))
 
 
+def audited(df: DataFrame, changed: DataFrame, id_column: str, at: Column, created: str = "created", updated: str = "updated") -> DataFrame:
+    """``changed`` with its audit times: ``created`` as stored, or ``at`` for new rows, and ``updated`` set to ``at``."""
+    held = df.select(F.col(id_column), F.col(created).alias("_created"))
+    return changed.join(held, id_column, "left").withColumns({created: F.coalesce("_created", at), updated: at}).drop("_created")
+
+
+def bulk_insert(staged: DataFrame, path: str) -> int:
+    """Appends the staged rows to the table at ``path`` in one write; how many there were."""
+    seen = Observation()
+    staged.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
 def stale_changes(df: DataFrame, changed: DataFrame, id_column: str, version: str) -> DataFrame:
     """Changes made from another version than the stored one."""
     held = df.select(F.col(id_column), F.col(version).alias("_held"))
@@ -79,13 +129,25 @@ def merge_from(df: DataFrame, other: DataFrame, id_column: str, columns: list[st
     return merged.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def with_ids(new: DataFrame, order: list[str], id_column: str, first: int, groups: int = 256) -> DataFrame:
-    """New rows with consecutive ids from ``first``, the same at every run if ``order`` names unique columns.
+#: Values of the first order column that the driver sees to cut it into ranges.
+SAMPLED = 10_000
+
+
+def with_ids(new: DataFrame, order: list[str], id_column: str, first: int, groups: int | None = None) -> DataFrame:
+    """New rows with consecutive ids from ``first`` in the order of ``order``, whose columns must tell rows apart.
 
-    Rows are hashed into ``groups`` parts, which are counted first, so no single task numbers all rows.
+    The first column is cut into ``groups`` ranges (by default as many as there are shuffle partitions) at quantiles of a
+    sample; ranges are counted, and rows numbered within. Where the cuts lie doesn't matter to the ids.
     """
-    parts = new.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    groups = groups or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = order[0]
+    total = max(1, new.count())
+    some = sorted(r[0] for r in new.where(F.col(key).isNotNull()).select(key).sample(min(1.0, SAMPLED / 2 / total), 1).limit(SAMPLED).collect())
+    cuts = sorted({some[i * len(some) // groups] for i in range(1, groups)}) if some else []
+    kind = new.schema[key].dataType
+    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col(key))), F.lit(0)) if cuts else F.lit(0)
+    parts = new.withColumn("_part", F.when(F.col(key).isNull(), -1).otherwise(part))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_c"))
     base = sizes.select("_part", F.coalesce(F.sum("_c").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     local = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_local", local).join(base, "_part").withColumn(id_column, F.lit(first) + F.col("_base") + F.col("_local") - 1).drop("_part", "_base", "_local")
+    return parts.withColumn("_local", local).join(F.broadcast(base), "_part").withColumn(id_column, F.lit(first) + F.col("_base") + F.col("_local") - 1).drop("_part", "_base", "_local")

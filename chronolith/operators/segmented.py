@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronolith.functions.segments import Segments
-from chronolith.operators.series import Series
+from chronolith.operators.series import Series, as_of
+
+#: Positions of a key whose segments and probes meet in one task.
+POSITIONS = 1_000_000
 
 
 def segment_counts(df: DataFrame, spec: Series, segments: Segments) -> DataFrame:
@@ -20,18 +25,34 @@ def segment_counts(df: DataFrame, spec: Series, segments: Segments) -> DataFrame
 
 def segment_of_position(counted: DataFrame, spec: Series, probes: DataFrame, key: str, index: str) -> DataFrame:
     """``probes`` with the segment that holds a global position, and the place in it (inner: others fall away)."""
-    c = counted.withColumnRenamed(spec.key, "_k")
-    at = F.col(index)
-    hit = (F.col("_k") == probes[key]) & (at >= F.col("preceding")) & (at < F.col("preceding") + F.col("rows_in_segment"))
-    return probes.join(c, hit).withColumn("position_in_segment", at - F.col("preceding")).drop("_k", "preceding", "rows_in_segment")
+    held = ["segment_from", "segment_to", "rows_in_segment", "preceding"]
+    found = as_of(counted, probes, (spec.key, "preceding", "segment_from"), (key, index), held, POSITIONS)
+    place = F.col(index) - F.col("preceding")
+    return found.where((place >= 0) & (place < F.col("rows_in_segment"))).withColumn("position_in_segment", place).drop("preceding", "rows_in_segment")
 
 
 def enumerate_segments(windows: DataFrame, segments: Segments, low: str, high: str, max_steps: str = "1 day") -> DataFrame:
-    """One row per segment that a row's [low, high] touches, ascending; ``max_steps`` must not exceed a segment's length."""
+    """One row per segment that a row's [low, high] touches; ``max_steps`` must not exceed a segment's length.
+
+    ``nth`` counts the segments of a row from 0 in ascending order, ``nth_back`` in descending order.
+    """
     steps = F.explode(F.sequence(F.col(low), F.col(high), F.expr(f"interval {max_steps}")))
     ends = windows.select("*", steps.alias("_at")).unionByName(windows.select("*", F.col(high).alias("_at")))
     start, end = segments.columns(F.col("_at"))
-    return ends.select(*windows.columns, start.alias("segment_from"), end.alias("segment_to")).distinct()
+    touched = ends.select(*windows.columns, start.alias("segment_from"), end.alias("segment_to")).distinct()
+    own = W.partitionBy(*windows.columns)
+    place = lambda order: F.row_number().over(own.orderBy(order)) - 1
+    return touched.withColumns({"nth": place(F.asc("segment_from")), "nth_back": place(F.desc("segment_from"))})
+
+
+def next_segment(segments: Segments, ts: Column) -> tuple[Column, Column]:
+    """Bounds of the segment after that of ``ts``."""
+    return segments.columns(segments.columns(ts)[1])
+
+
+def previous_segment(segments: Segments, ts: Column) -> tuple[Column, Column]:
+    """Bounds of the segment before that of ``ts``."""
+    return segments.columns(F.timestamp_add("MICROSECOND", F.lit(-1), segments.columns(ts)[0]))
 
 
 def missing_segments(needed: DataFrame, status: DataFrame, key: str) -> DataFrame:
@@ -43,3 +64,21 @@ def missing_segments(needed: DataFrame, status: DataFrame, key: str) -> DataFram
 def outside_segment(df: DataFrame, end: str, low: str, high: str) -> DataFrame:
     """Loaded rows whose time isn't in the segment they were loaded for."""
     return df.where((F.col(end) < F.col(low)) | (F.col(end) >= F.col(high)))
+
+
+def ensure_segments(needed: DataFrame, status: DataFrame, key: str, load: Callable[[DataFrame], DataFrame], end: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, status): what ``load`` gives for the needed segments that aren't complete, and the status with them added.
+
+    ``load`` takes (key, segment_from, segment_to) and returns rows that carry these; a row outside its segment is an
+    error. A segment without rows becomes COMPLETE_EMPTY.
+    """
+    absent = missing_segments(needed, status, key)
+    rows = load(absent)
+    wrong = outside_segment(rows, end, "segment_from", "segment_to").take(1)
+    if wrong:
+        raise ValueError(f"a row outside the segment it was loaded for: {wrong[0].asDict()}")
+    held = rows.groupBy(key, "segment_from").agg(F.count("*").alias("_n"))
+    state = F.when(F.col("_n") > 0, "COMPLETE").otherwise("COMPLETE_EMPTY")
+    fresh = absent.join(held, [key, "segment_from"], "left").select(key, "segment_from", "segment_to", state.alias("status"))
+    rest = status.join(fresh, [key, "segment_from"], "left_anti")
+    return rows, rest.unionByName(fresh.select(*status.columns))

@@ -24,8 +24,8 @@ class Series:
     end: str
     seq: str
     start: str | None = None
-    #: Calendar unit whose rows of one key one task can sort.
-    bucket: str = "day"
+    #: Calendar unit, or for numbers the width, whose rows of one key one task can sort; None: all rows of a key.
+    bucket: str | int | None = "day"
 
     @property
     def begin(self) -> str:
@@ -34,13 +34,23 @@ class Series:
     def rows(self, df: DataFrame) -> DataFrame:
         return df.where(F.col(self.key).isNotNull() & F.col(self.end).isNotNull())
 
+    def __post_init__(self):
+        if not self.seq:
+            raise ValueError("a series needs a tie breaker for equal times")
+
     @property
     def order(self) -> list[Column]:
         return [F.col(self.key).asc(), F.col(self.end).asc(), F.col(self.seq).asc()]
 
 
+def bucket_of(bucket: str | int | None, at: Column) -> Column:
+    if bucket is None:
+        return F.lit(0)
+    return F.date_trunc(bucket, at) if isinstance(bucket, str) else F.floor(at / bucket)
+
+
 def _bucket(spec: Series, ts: Column) -> Column:
-    return F.date_trunc(spec.bucket, ts)
+    return bucket_of(spec.bucket, ts)
 
 
 def _bases(counts: DataFrame) -> DataFrame:
@@ -81,6 +91,52 @@ def locate(df: DataFrame, spec: Series, probes: DataFrame, key: str, at: str) ->
     return found.select("_probe.*", lt.alias("lt"), le.alias("le"), F.col("_n").alias("n"))
 
 
+def as_of(rows: DataFrame, probes: DataFrame, on: tuple[str, str, str], at: tuple[str, str], columns: list[str], bucket, forward: bool = False, fallback: bool = False) -> DataFrame:
+    """``probes`` with the ``columns`` of the last row not after each (``forward``: of the first row not before it).
+
+    ``on`` names key, order and tie breaker of ``rows`` (a null order comes first), ``at`` key and order of ``probes``; a
+    null order asks for the last row. Of equal rows the last counts (forward: the first). Without a row there is nothing,
+    or with ``fallback`` the first row of the key (forward: the last).
+
+    Rows are shuffled once, with the probes, by key and bucket; a bucket's outermost row is carried over to the next ones,
+    one row for each key and bucket.
+    """
+    key, order, tie = on
+    kept = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_t"), F.col(tie).alias("_s"), F.lit(0).alias("_asks"), F.struct(*columns).alias("_row"))
+    asked = probes.select(F.col(at[0]).alias("_k"), F.col(at[1]).alias("_t"), F.lit(1).alias("_asks"), kept.alias("_probe"))
+    both = known.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket_of(bucket, F.col("_t")))
+    rank = F.when(F.col("_asks") == 0, F.struct(F.col("_t").isNotNull(), "_t", "_s"))
+    ends = both.groupBy("_k", "_b").agg(F.min_by("_row", rank).alias("_low"), F.max_by("_row", rank).alias("_high"))
+    up, down = W.partitionBy("_k").orderBy(F.asc_nulls_first("_b")), W.partitionBy("_k").orderBy(F.desc_nulls_last("_b"))
+    whole = (W.unboundedPreceding, W.unboundedFollowing)
+    carried = F.last("_low" if forward else "_high", True).over((down if forward else up).rowsBetween(W.unboundedPreceding, -1))
+    least, most = F.first("_low", True).over(up.rowsBetween(*whole)), F.last("_high", True).over(up.rowsBetween(*whole))
+    outer = ends.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), carried.alias("_carried"), least.alias("_least"), most.alias("_most"))
+    near = W.partitionBy("_k", "_b").orderBy(*([F.desc_nulls_last("_t"), "_asks", F.desc("_s")] if forward else [F.asc_nulls_first("_t"), "_asks", "_s"]))
+    seen = both.withColumn("_near", F.last("_row", True).over(near.rowsBetween(W.unboundedPreceding, W.currentRow))).where("_asks = 1")
+    found = seen.join(outer, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    row = F.coalesce("_near", "_carried", *(["_most" if forward else "_least"] if fallback else []))
+    row = F.when(F.col("_t").isNull(), F.col("_most")).otherwise(row)
+    return found.withColumn("_got", row).select("_probe.*", *[F.col(f"_got.{c}").alias(c) for c in columns])
+
+
+def latest(df: DataFrame, spec: Series, probes: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """``probes`` with the ``columns`` of the last row not after each; of the first row if all are later."""
+    return as_of(spec.rows(df), probes, (spec.key, spec.end, spec.seq), (key, at), columns, spec.bucket, fallback=True)
+
+
+def same_value(df: DataFrame, spec: Series, value: str, low, high) -> DataFrame:
+    """(key, value, time): the last time in a range at which a series has the value."""
+    rows = spec.rows(df).where(F.col(spec.end).between(low, high))
+    return rows.groupBy(spec.key, value).agg(F.max(spec.end).alias(spec.end))
+
+
+def adjusted(probes: DataFrame, at: str, highest) -> DataFrame:
+    """Probes beyond the highest allowed time ask for that time."""
+    return probes.withColumn(at, F.least(at, F.lit(highest).cast("timestamp_ntz")))
+
+
 def latest_position() -> Column:
     """Of the last row not after the probe; of the first row if all are later. Null for an empty series."""
     return F.when(F.col("n") > 0, F.greatest(F.lit(0), F.col("le") - 1))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolith.functions import arrays
 from chronolith.functions.segments import Segments
 from chronolith.operators import range_table as rt
 from chronolith.operators import relational as rel
@@ -18,6 +19,8 @@ from chronolith.streaming import live
 
 EVENTS = Series(key="user_id", end="ts", seq="event_id")
 ORDERS = Series(key="o_custkey", end="o_orderdate", seq="o_orderkey", bucket="year")
+#: Written in another order than time's: the sequence number is the id with its lowest six bits flipped.
+FLIPPED = Series(key="user_id", end="ts", seq="seq")
 LOW, HIGH = datetime(2024, 1, 8), datetime(2024, 1, 20)
 ROW = ["event_id", "ts", "value"]
 
@@ -43,6 +46,10 @@ def events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
 
 
+def flipped(spark, sf_dir):
+    return events(spark, sf_dir).withColumn("seq", F.col("event_id").bitwiseXOR(F.lit(63)))
+
+
 def probes(spark, sf_dir):
     """Each event asks for its user's state twelve hours before."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("probe_id"), "user_id", F.expr("ts - interval 12 hours").alias("at"))
@@ -97,7 +104,7 @@ def ts_full_scan(spark, sf_dir):
 
 @query("ts_latest", LOCATED + FETCHED + LATEST)
 def ts_latest(spark, sf_dir):
-    return fetched(spark, sf_dir, series.latest_position())
+    return series.latest(events(spark, sf_dir), EVENTS, probes(spark, sf_dir), "user_id", "at", ROW).select("probe_id", "user_id", *ROW)
 
 
 @query("ts_latest_key", LOCATED + f"select c.probe_id, s.ts from c join s on s.user_id = c.user_id and s.pos = {LATEST}")
@@ -120,6 +127,11 @@ def ts_at_index(spark, sf_dir):
     return series.at_index(events(spark, sf_dir), EVENTS, asked, "user_id", "idx", ROW).select("probe_id", "user_id", "idx", *ROW)
 
 
+@query("ts_at_index_key", f"with {PLACED} select e.event_id as probe_id, s.ts from events e join s on s.user_id = e.user_id and s.pos = least(greatest(e.event_id % 50 - 10, 0), s.n - 1)")
+def ts_at_index_key(spark, sf_dir):
+    return ts_at_index(spark, sf_dir).select("probe_id", "ts")
+
+
 @query("ts_count", "select user_id, count(*) as n from events where ts is not null group by user_id")
 def ts_count(spark, sf_dir):
     return series.counts(events(spark, sf_dir), EVENTS)
@@ -150,6 +162,49 @@ def ts_next_3(spark, sf_dir):
     return fetched(spark, sf_dir, series.next_position(3))
 
 
+@query("ts_previous_key", LOCATED + f"select c.probe_id, s.ts from c join s on s.user_id = c.user_id and s.pos = {back(1)}")
+def ts_previous_key(spark, sf_dir):
+    return ts_previous(spark, sf_dir).select("probe_id", "ts")
+
+
+@query("ts_next_key", LOCATED + f"select c.probe_id, s.ts from c join s on s.user_id = c.user_id and s.pos = {on(1)}")
+def ts_next_key(spark, sf_dir):
+    return ts_next(spark, sf_dir).select("probe_id", "ts")
+
+
+#: Orders of a day tie: each order asks at its own day.
+TIES = (
+    "with s as (select o_custkey, o_orderdate, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as pos from orders), "
+    "c as (select p.o_orderkey as probe_id, p.o_custkey, count(*) filter (s.o_orderdate < p.o_orderdate) as lt, count(*) filter (s.o_orderdate <= p.o_orderdate) as le, count(*) as n "
+    "from orders p join s on s.o_custkey = p.o_custkey group by all) select c.probe_id, s.o_orderkey, s.o_totalprice from c join s on s.o_custkey = c.o_custkey and s.pos = "
+)
+
+
+def orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+
+
+def order_days(spark, sf_dir):
+    return orders(spark, sf_dir).select(F.col("o_orderkey").alias("probe_id"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("at"))
+
+
+@query("ts_latest_ties", TIES + LATEST)
+def ts_latest_ties(spark, sf_dir):
+    return series.latest(orders(spark, sf_dir), ORDERS, order_days(spark, sf_dir), "cust", "at", ["o_orderkey", "o_totalprice"]).select("probe_id", "o_orderkey", "o_totalprice")
+
+
+def _ties(position):
+    def run(spark, sf_dir):
+        found = series.locate(orders(spark, sf_dir), ORDERS, order_days(spark, sf_dir), "cust", "at")
+        return series.fetch(orders(spark, sf_dir), ORDERS, found, "cust", position(), ["o_orderkey", "o_totalprice"]).select("probe_id", "o_orderkey", "o_totalprice")
+
+    return run
+
+
+query("ts_previous_ties", TIES + back(1))(_ties(lambda: series.previous_position(1)))
+query("ts_next_ties", TIES + on(1))(_ties(lambda: series.next_position(1)))
+
+
 @query(
     "ts_edges",
     f"with {PLACED} select a.user_id, a.event_id as first_event_id, a.ts as first_ts, a.value as first_value, b.event_id as last_event_id, b.ts as last_ts, b.value as last_value "
@@ -159,17 +214,17 @@ def ts_edges(spark, sf_dir):
     return series.edges(events(spark, sf_dir), EVENTS, ROW)
 
 
-VIOLATIONS = "v as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by event_id) as previous_end from events)"
+VIOLATIONS = "v as (select user_id, event_id, ts, lag(ts) over (partition by user_id order by xor(event_id, 63)) as previous_end from events)"
 
 
 @query("ts_violations", f"with {VIOLATIONS} select user_id, event_id, ts, previous_end from v where ts < previous_end")
 def ts_violations(spark, sf_dir):
-    return series.violations(events(spark, sf_dir), EVENTS).select("user_id", "event_id", "ts", "previous_end")
+    return series.violations(flipped(spark, sf_dir), FLIPPED).select("user_id", "event_id", "ts", "previous_end")
 
 
 @query("ts_states", f"with {VIOLATIONS} select user_id, count(*) as n, count(*) filter (ts < previous_end) as violations, count(*) filter (ts < previous_end) > 0 as inconsistent from v group by user_id")
 def ts_states(spark, sf_dir):
-    return series.series_states(events(spark, sf_dir), EVENTS)
+    return series.series_states(flipped(spark, sf_dir), FLIPPED)
 
 
 @query("ts_delete", "select user_id, ts, event_id, value from events where user_id not in (1, 2, 3)")
@@ -205,15 +260,13 @@ def hist_next_values(spark, sf_dir):
 
 @query("hist_same_value", f"select user_id, event_type, max(ts) as ts from events where ts {BETWEEN} group by user_id, event_type")
 def hist_same_value(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("ts").between(LOW, HIGH))
-    return rows.groupBy("user_id", "event_type").agg(F.max("ts").alias("ts"))
+    return series.same_value(table(spark, sf_dir, "events"), EVENTS, "event_type", LOW, HIGH)
 
 
 @query("hist_adjusted", LOCATED.replace("ts - interval 12 hour as at", f"least(ts - interval 12 hour, timestamp '{HIGH}') as at") + FETCHED + LATEST)
 def hist_adjusted(spark, sf_dir):
-    pinned = probes(spark, sf_dir).withColumn("at", F.least("at", F.lit(HIGH).cast("timestamp_ntz")))
-    found = series.locate(events(spark, sf_dir), EVENTS, pinned, "user_id", "at")
-    return series.fetch(events(spark, sf_dir), EVENTS, found, "user_id", series.latest_position(), ROW).select("probe_id", "user_id", *ROW)
+    pinned = series.adjusted(probes(spark, sf_dir), "at", HIGH)
+    return series.latest(events(spark, sf_dir), EVENTS, pinned, "user_id", "at", ROW).select("probe_id", "user_id", *ROW)
 
 
 # ---------------------------------------------------------------- segments
@@ -239,10 +292,29 @@ query("seg_month", _segment_sql("cast(date_trunc('month', ts) as timestamp)", "c
 query("seg_hours_6", _segment_sql("time_bucket(interval 6 hour, ts)", "time_bucket(interval 6 hour, ts) + interval 6 hour"))(_segments(Segments("hour", 6)))
 query("seg_months_3", _segment_sql("cast(date_trunc('quarter', ts) as timestamp)", "cast(date_trunc('quarter', ts) + interval 3 month as timestamp)"))(_segments(Segments("month", 3)))
 query("seg_days_10", _segment_sql(f"cast({DAYS10} as timestamp)", f"cast(least({DAYS10} + interval 10 day, {YEAR_END}) as timestamp)"))(_segments(Segments("day", 10)))
-query("seg_weeks_2", _segment_sql(f"cast({WEEKS2} as timestamp)", f"cast(least({WEEKS2} + interval 14 day, {YEAR_END}) as timestamp)"))(_segments(Segments("week", 2)))
+query("seg_weeks_2", _segment_sql(f"cast(greatest(y, {WEEKS2}) as timestamp)", f"cast(least({WEEKS2} + interval 14 day, {YEAR_END}) as timestamp)"))(_segments(Segments("week", 2)))
 query("seg_years_5", _segment_sql("make_timestamp(year(ts) // 5 * 5, 1, 1, 0, 0, 0)", "make_timestamp(year(ts) // 5 * 5 + 5, 1, 1, 0, 0, 0)"))(_segments(Segments("year", 5)))
 query("seg_day_zone", _segment_sql("cast(date_trunc('day', ts + interval 9 hour) as timestamp) - interval 9 hour", "cast(date_trunc('day', ts + interval 9 hour) as timestamp) + interval 15 hour"))(_segments(Segments("day", zone="Asia/Tokyo")))
 
+def _neighbour_segments(spark, sf_dir):
+    after, before = segmented.next_segment(Segments("month"), F.col("ts")), segmented.previous_segment(Segments("day", 10), F.col("ts"))
+    return events(spark, sf_dir).select("event_id", after[0].alias("next_from"), after[1].alias("next_to"), before[0].alias("previous_from"), before[1].alias("previous_to"))
+
+
+query(
+    "seg_neighbours",
+    "with e as (select event_id, ts, date_trunc('year', ts) as y, cast(floor((dayofyear(ts) - 1) / 10.0) * 10 as integer) as k from events), "
+    "f as (select *, y + to_days(k) - interval 1 microsecond as b from e), g as (select *, date_trunc('year', b) as z, cast(floor((dayofyear(b) - 1) / 10.0) * 10 as integer) as j from f) "
+    "select event_id, cast(date_trunc('month', ts) + interval 1 month as timestamp) as next_from, cast(date_trunc('month', ts) + interval 2 month as timestamp) as next_to, cast(z + to_days(j) as timestamp) as previous_from, cast(y + to_days(k) as timestamp) as previous_to from g",
+)(_neighbour_segments)
+
+
+@query("seg_ever", "select event_id, cast(1 as integer) as first_year, cast(9999 as integer) as last_year from events")
+def seg_ever(spark, sf_dir):
+    low, high = Segments("ever").columns(F.col("ts"))
+    return events(spark, sf_dir).select("event_id", F.year(low).alias("first_year"), F.year(high).alias("last_year"))
+
+
 COUNTED = (
     "h as (select user_id, cast(date_trunc('day', ts) as timestamp) as segment_from, cast(date_trunc('day', ts) + interval 1 day as timestamp) as segment_to, count(*) as rows_in_segment from events group by all), "
     "k as (select *, cast(coalesce(sum(rows_in_segment) over (partition by user_id order by segment_from rows between unbounded preceding and 1 preceding), 0) as bigint) as preceding from h)"
@@ -264,41 +336,123 @@ def seg_of_position(spark, sf_dir):
     return segmented.segment_of_position(seg_counts(spark, sf_dir), EVENTS, asked, "uid", "idx")
 
 
-@query("seg_enumerate", "select o_custkey, m.m as segment_from from (select o_custkey, date_trunc('month', min(o_orderdate)) as a, date_trunc('month', max(o_orderdate)) as b from orders group by 1), unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as m(m)")
+@query("seg_enumerate", "select o_custkey, m.m as segment_from, row_number() over (partition by o_custkey order by m.m) - 1 as nth, row_number() over (partition by o_custkey order by m.m desc) - 1 as nth_back from (select o_custkey, date_trunc('month', min(o_orderdate)) as a, date_trunc('month', max(o_orderdate)) as b from orders group by 1), unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as m(m)")
 def seg_enumerate(spark, sf_dir):
     windows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high"))
-    return segmented.enumerate_segments(windows, Segments("month"), "low", "high", "20 days").select("o_custkey", "segment_from")
+    return segmented.enumerate_segments(windows, Segments("month"), "low", "high", "20 days").select("o_custkey", "segment_from", "nth", "nth_back")
+
+
+NEEDED = "n as (select distinct user_id, cast(date_trunc('day', ts) as timestamp) as segment_from from events)"
+
+
+def _ensured(spark, sf_dir):
+    """Days of users are needed; those of every third user are there, and every seventh user's source is empty."""
+    low, high = Segments("day").columns(F.col("ts"))
+    source = events(spark, sf_dir).withColumns({"segment_from": low, "segment_to": high})
+    needed = source.select("user_id", "segment_from", "segment_to").distinct()
+    status = needed.where("user_id % 3 = 0").select("user_id", "segment_from", "segment_to", F.lit("COMPLETE").alias("status"))
+    load = lambda absent: source.where("user_id % 7 <> 0").join(absent, ["user_id", "segment_from", "segment_to"], "left_semi")
+    return segmented.ensure_segments(needed, status, "user_id", load, "ts")
+
+
+@query("seg_ensure_rows", "select user_id, event_id, ts from events where user_id % 3 <> 0 and user_id % 7 <> 0")
+def seg_ensure_rows(spark, sf_dir):
+    return _ensured(spark, sf_dir)[0].select("user_id", "event_id", "ts")
+
+
+@query("seg_ensure_status", f"with {NEEDED} select user_id, segment_from, case when user_id % 3 <> 0 and user_id % 7 = 0 then 'COMPLETE_EMPTY' else 'COMPLETE' end as status from n")
+def seg_ensure_status(spark, sf_dir):
+    return _ensured(spark, sf_dir)[1].select("user_id", "segment_from", "status")
+
+
+@query("seg_outside", "select event_id from events where ts >= date_trunc('day', ts) + interval 12 hour")
+def seg_outside(spark, sf_dir):
+    """Rows in the second half of a day don't belong to a segment that is its first half."""
+    low, _ = Segments("day").columns(F.col("ts"))
+    rows = events(spark, sf_dir).withColumns({"low": low, "high": F.timestamp_add("HOUR", F.lit(12), low)})
+    return segmented.outside_segment(rows, "ts", "low", "high").select("event_id")
 
 
 # ---------------------------------------------------------------- live ingest and updates
 
 
+#: Arrival in the order of ``seq``; every 97th event starts a second after its own end.
 LIVE = (
-    "with a as (select user_id as key, event_id as seq, ts, value, max(ts) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as m from events) "
-    "select key, seq, ts as end_ts, value, case when m is null or ts >= m then 'accepted' else 'late' end as status from a"
+    "with a as (select user_id as key, xor(event_id, 63) as seq, ts, value, event_id % 97 = 0 as bad from events), "
+    "b as (select *, max(case when not bad then ts end) over (partition by key order by seq rows between unbounded preceding and 1 preceding) as m from a), "
+    "c as (select *, case when bad then 'malformed' when m is null or ts >= m then 'accepted' else 'late' end as status from b), "
+    "d as (select key, seq, date_trunc('day', ts) > lag(date_trunc('day', ts)) over (partition by key order by seq) as rolled from c where status = 'accepted') "
+    "select c.key, c.seq, c.ts as end_ts, c.value, c.status, coalesce(d.rolled, false) as rolled_over from c left join d on d.key = c.key and d.seq = c.seq"
 )
+LANDED = 4  # files that arrive one after another
 
 
 @query("live_ingest", LIVE)
 def live_ingest(spark, sf_dir):
-    source = table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    out, state = scratch(spark, "live"), scratch(spark, "live-state")
-    rows = live.live_ingest(stream, EVENTS, Segments("day"), "value")
+    source = flipped(spark, sf_dir).withColumn("start", F.when(F.col("event_id") % 97 == 0, F.timestamp_add("SECOND", F.lit(1), F.col("ts"))).otherwise(F.col("ts")))
+    landing, out, state = (scratch(spark, name) for name in ("landing", "live", "live-state"))
+    top = source.agg(F.max("seq")).first()[0] or 0
+    for i in range(LANDED):  # each trigger takes one file, so a state call sees a slice of a key's rows
+        part = source.where((F.col("seq") * LANDED >= (top + 1) * i) & (F.col("seq") * LANDED < (top + 1) * (i + 1)))
+        part.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    rows = live.live_ingest(stream, Series(key="user_id", end="ts", seq="seq", start="start"), Segments("day"), "value")
     rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.parquet(out).select("key", "seq", F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "value", "status")
+    return spark.read.parquet(out).select("key", "seq", F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "value", "status", "rolled_over")
 
 
-@query("live_union", "select user_id, ts, event_id, value from events")
-def live_union(spark, sf_dir):
+def _two_tables(spark, sf_dir):
+    """History, and a live table whose values are larger by 1."""
     rows = events(spark, sf_dir)
-    return live.unified(rows, rows, "ts", F.lit(LOW).cast("timestamp_ntz"))
+    return rows, rows.withColumn("value", F.col("value") + 1)
+
+
+@query("live_union", f"select user_id, ts, event_id, case when ts < timestamp '{LOW}' then value else value + 1 end as value from events")
+def live_union(spark, sf_dir):
+    return live.unified(*_two_tables(spark, sf_dir), "ts", F.lit(LOW).cast("timestamp_ntz"))
+
+
+@query("live_latest", LOCATED + f"select c.probe_id, s.event_id, case when s.ts < timestamp '{LOW}' then s.value else s.value + 1 end as value from c join s on s.user_id = c.user_id and s.pos = {LATEST}")
+def live_latest(spark, sf_dir):
+    return live.latest_of_both(*_two_tables(spark, sf_dir), EVENTS, LOW, probes(spark, sf_dir), "user_id", "at", ROW).select("probe_id", "event_id", "value")
 
 
-@query("update_resume", "select user_id, ts, event_id, value from events")
+@query("update_resume", f"with r as (select user_id, max(ts) as at from events where ts <= timestamp '{LOW}' group by user_id) select e.user_id, e.ts, e.event_id, case when r.at is null or e.ts >= r.at then value + 1 else value end as value from events e left join r on r.user_id = e.user_id")
 def update_resume(spark, sf_dir):
-    rows = events(spark, sf_dir)
-    return store.resumed(store.until(rows, EVENTS, F.lit(LOW).cast("timestamp_ntz")), rows, EVENTS)
+    stored, source = _two_tables(spark, sf_dir)
+    return store.resumed(store.until(stored, EVENTS, F.lit(LOW).cast("timestamp_ntz")), source, EVENTS)
+
+
+@query("update_progress", f"select user_id, count(*) as rows, min(ts) as first, max(ts) as last, least(100.0, greatest(0.0, round(100.0 * date_sub('second', timestamp '{LOW}', max(ts)) / date_sub('second', timestamp '{LOW}', timestamp '{HIGH}'), 6))) as percent from events group by user_id")
+def update_progress(spark, sf_dir):
+    return store.progress(events(spark, sf_dir), EVENTS, LOW, HIGH)
+
+
+@query("update_gaps", "select user_id, max(ts) as last, date_sub('second', max(ts), timestamp '2024-02-01') as missing_seconds from events group by user_id having date_sub('second', max(ts), timestamp '2024-02-01') > 172800")
+def update_gaps(spark, sf_dir):
+    return store.gaps(events(spark, sf_dir), EVENTS, datetime(2024, 2, 1), 172_800)
+
+
+@query("collection_reverse", "select o_orderkey, o_totalprice, row_number() over (order by o_orderkey desc) as nth from orders")
+def collection_reverse(spark, sf_dir):
+    path = scratch(spark, "collection")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    for part in (rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1")):
+        store.append_rows(part, path, "o_orderkey")
+    # the place in the backward order, as ids of the negated number
+    back = store.iterate(spark, path, "o_orderkey", reverse=True)
+    return rel.with_ids(back.withColumn("key", -F.col("o_orderkey")), ["key"], "nth", 1).select("o_orderkey", "o_totalprice", "nth")
+
+
+@query(
+    "arrays_typed",
+    "select l_orderkey, array_to_string(list_sort(list_distinct(list(l_linenumber))), ',') as bits, count(distinct l_linenumber) as n, max(case when l_linenumber = 2 then 1 else 0 end) = 1 as second from lineitem group by l_orderkey",
+)
+def arrays_typed(spark, sf_dir):
+    held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("at"))  # a handful of lines an order
+    made = held.withColumn("flags", arrays.bit_set(F.col("at"), F.array_max("at") + 1))
+    three = arrays.put(arrays.new_array("boolean", 3), F.lit(2), F.coalesce(arrays.get(F.col("flags"), 2), F.lit(False)))
+    return made.select("l_orderkey", F.array_join(arrays.set_bits(F.col("flags")).cast("array<string>"), ",").alias("bits"), F.size(arrays.set_bits(F.col("flags"))).cast("long").alias("n"), arrays.get(three, 2).alias("second"))
 
 
 @query("store_round_trip", "select o_custkey, o_orderdate, o_orderkey, o_totalprice from orders")
@@ -339,6 +493,98 @@ def rt_get(spark, sf_dir):
     return rt.get(lines(spark, sf_dir), keys, LINES)
 
 
+@query("rt_delete", PRICE + " where (l_orderkey, l_linenumber) not in (select o_orderkey, 1 from orders)")
+def rt_delete(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    return rt.delete(lines(spark, sf_dir), keys, LINES)
+
+
+#: Orders by customer and order key; probes lie on, between, before and after rows.
+KEYED = rt.Table("o_custkey", "o_orderkey", bucket=4096)
+BEFORE, AFTER = (f"(select {f}(o_orderkey) from orders r where r.o_custkey = p.cust and r.o_orderkey {o} p.place)" for f, o in (("max", "<="), ("min", ">=")))
+ASKED = "with p as (select l_orderkey * 8 + l_linenumber as id, l_suppkey as cust, l_orderkey + l_linenumber - 4 as place from lineitem) "
+
+
+def _asked(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("cust"), (F.col("l_orderkey") + F.col("l_linenumber") - 4).alias("place"))
+
+
+def _order_table(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("rt_last_rows", "select o_custkey, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey")
+def rt_last_rows(spark, sf_dir):
+    return rt.last_rows(_order_table(spark, sf_dir), KEYED)
+
+
+@query("rt_first_rows", "select o_custkey, min(o_orderkey) as o_orderkey, arg_min(o_totalprice, o_orderkey) as o_totalprice from orders group by o_custkey")
+def rt_first_rows(spark, sf_dir):
+    return rt.first_rows(_order_table(spark, sf_dir), KEYED)
+
+
+@query("rt_latest", ASKED + f", q as (select id, cust, place, coalesce({BEFORE}, (select min(o_orderkey) from orders r where r.o_custkey = p.cust)) as k from p) select id, cust, place, o_orderkey, o_totalprice from q left join orders on o_custkey = cust and o_orderkey = k")
+def rt_latest(spark, sf_dir):
+    return rt.latest(_order_table(spark, sf_dir), KEYED, _asked(spark, sf_dir), "cust", "place")
+
+
+@query("rt_prev", ASKED + f", q as (select id, cust, place, {BEFORE} as k from p) select id, cust, place, o_orderkey, o_totalprice from q left join orders on o_custkey = cust and o_orderkey = k")
+def rt_prev(spark, sf_dir):
+    return rt.previous(_order_table(spark, sf_dir), KEYED, _asked(spark, sf_dir), "cust", "place")
+
+
+@query("rt_next", ASKED + f", q as (select id, cust, place, {AFTER} as k from p) select id, cust, place, o_orderkey, o_totalprice from q left join orders on o_custkey = cust and o_orderkey = k")
+def rt_next(spark, sf_dir):
+    return rt.following(_order_table(spark, sf_dir), KEYED, _asked(spark, sf_dir), "cust", "place")
+
+
+@query("rt_contains", "select o_custkey + 100 as c_custkey, o_custkey + 100 in (select c_custkey from customer) as there from orders group by all")
+def rt_contains(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("c_custkey"))
+    return rt.contains_keys(table(spark, sf_dir, "customer"), keys, rt.Table("c_custkey"))
+
+
+@query("rt_put_if_absent", "select c_custkey, c_acctbal from customer union all select distinct o_custkey + 100, 0.0 from orders where o_custkey + 100 not in (select c_custkey from customer)")
+def rt_put_if_absent(spark, sf_dir):
+    new = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 100).alias("c_custkey"), F.lit(0.0).alias("c_acctbal")).distinct()
+    return rt.put_if_absent(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), new, rt.Table("c_custkey"))
+
+
+@query("rt_replace_if", "select c_custkey, case when c_nationkey % 2 = 0 then 1.0 else c_acctbal end as c_acctbal from customer")
+def rt_replace_if(spark, sf_dir):
+    """Every customer gets a change, made from the right value if the nation's number is even."""
+    rows = table(spark, sf_dir, "customer")
+    new = rows.select("c_custkey", F.lit(1.0).alias("c_acctbal"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_acctbal")).otherwise(F.lit(1e9)).alias("seen"))
+    return rt.replace_if(rows.select("c_custkey", "c_acctbal"), new, rt.Table("c_custkey"), "c_acctbal", "seen")
+
+
+@query("rt_append_only", "select c_custkey, c_acctbal from customer union all select c_custkey + 1000000, c_acctbal from customer")
+def rt_append_only(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return rt.append_only(rows, rows.withColumn("c_custkey", F.col("c_custkey") + 1_000_000), rt.Table("c_custkey"))
+
+
+@query("rt_remove_all", PRICE + " where not (l_linenumber > 3 or l_orderkey % 5 = 0)")
+def rt_remove_all(spark, sf_dir):
+    return rt.remove_all(lines(spark, sf_dir), F.expr("l_linenumber > 3 or l_orderkey % 5 = 0"))
+
+
+@query("rt_range_values", "select l_extendedprice from lineitem where l_linenumber between 2 and 4")
+def rt_range_values(spark, sf_dir):
+    return rt.range_of(lines(spark, sf_dir), LINES, low=2, high=4).select("l_extendedprice")
+
+
+@query("rt_younger", "select event_id, ts from events where ts >= timestamp '2024-01-20' - interval 5 day")
+def rt_younger(spark, sf_dir):
+    return rt.younger_than(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", F.lit(datetime(2024, 1, 20)), 5 * 86_400)
+
+
+@query("rt_purge", "select event_id, ts from events where (select min(ts) from events) >= timestamp '2024-01-20' - interval 25 day")
+def rt_purge(spark, sf_dir):
+    return rt.purge(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", F.lit(datetime(2024, 1, 20)), 25 * 86_400)
+
+
 @query("rt_range", PRICE + " where l_orderkey = 7 and l_linenumber between 1 and 3")
 def rt_range(spark, sf_dir):
     return rt.range_of(lines(spark, sf_dir), LINES, 7, 1, 3)
@@ -378,9 +624,57 @@ def rel_by_example_or(spark, sf_dir):
     return table(spark, sf_dir, "customer").where(rel.by_example({"c_mktsegment": "BUILDING", "c_nationkey": 3}, any_of=True))
 
 
-@query("rel_page", "select * from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
+@query("rel_page", "select *, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as row_number, (select count(*) from orders) as total from orders order by o_totalprice desc, o_orderkey limit 50 offset 100")
 def rel_page(spark, sf_dir):
-    return rel.page(table(spark, sf_dir, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2, 50)
+    return rel.with_total(rel.page(table(spark, sf_dir, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2, 50), table(spark, sf_dir, "orders"))
+
+
+@query("rel_find_all", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 20 offset 5")
+def rel_find_all(spark, sf_dir):
+    return rel.find_all(table(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING"}, [F.col("c_custkey")], 5, 20).select("c_custkey", "c_name")
+
+
+@query("rel_find_by_id", "select * from customer where c_custkey = 11")
+def rel_find_by_id(spark, sf_dir):
+    return rel.find_by_id(table(spark, sf_dir, "customer"), 11, "c_custkey")
+
+
+@query("rel_find_one", "select * from customer where c_custkey = 12")
+def rel_find_one(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    found = rel.find_one(rows, {"c_custkey": 12}, "c_custkey")
+    return spark.createDataFrame([found] if found else [], rows.schema)
+
+
+@query("rel_exists", "select exists (select 1 from customer where c_nationkey = 3) as has_three, exists (select 1 from customer where c_nationkey = 99) as has_ninety_nine")
+def rel_exists(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    return spark.createDataFrame([(rel.exists(rows, {"c_nationkey": 3}), rel.exists(rows, {"c_nationkey": 99}))], "has_three boolean, has_ninety_nine boolean")
+
+
+@query("rel_compare", "select c_custkey from customer where c_acctbal <= 5000 and c_nationkey >= 10")
+def rel_compare(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where(rel.at_most("c_acctbal", 5000) & rel.at_least("c_nationkey", 10)).select("c_custkey")
+
+
+@query("rel_delete_by_ids", "select * from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 40 = 0)")
+def rel_delete_by_ids(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return rel.delete_by_ids(table(spark, sf_dir, "customer"), ids, "c_custkey")
+
+
+@query("rel_audited", f"select c_custkey, case when c_custkey < 1000000 then timestamp '{LOW}' else timestamp '{HIGH}' end as created, timestamp '{HIGH}' as updated from (select c_custkey from customer union all select c_custkey + 1000000 from customer)")
+def rel_audited(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit(LOW).cast("timestamp_ntz").alias("created"), F.lit(LOW).cast("timestamp_ntz").alias("updated"))
+    changed = rows.select("c_custkey").unionByName(rows.select((F.col("c_custkey") + 1_000_000).alias("c_custkey")))
+    return rel.audited(rows, changed, "c_custkey", F.lit(HIGH).cast("timestamp_ntz"))
+
+
+@query("rel_bulk_insert", "select c_custkey, c_name, (select count(*) from customer) as inserted from customer")
+def rel_bulk_insert(spark, sf_dir):
+    path = scratch(spark, "bulk")
+    n = rel.bulk_insert(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), path)
+    return spark.read.parquet(path).withColumn("inserted", F.lit(n).cast("long"))
 
 
 @query("rel_find_by_ids", "select * from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
@@ -417,15 +711,14 @@ def rel_merge_from(spark, sf_dir):
     return rel.merge_from(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), other, "s_suppkey", ["s_acctbal"])
 
 
-@query("rel_with_ids", "select count(*) as n, cast(1000 as bigint) as lowest, 999 + count(*) as highest from customer")
+@query("rel_with_ids", "select c_custkey, 999 + row_number() over (order by c_mktsegment, c_custkey) as id from customer")
 def rel_with_ids(spark, sf_dir):
-    numbered = rel.with_ids(table(spark, sf_dir, "customer"), ["c_custkey"], "id", 1000)
-    return numbered.agg(F.countDistinct("id").alias("n"), F.min("id").cast("long").alias("lowest"), F.max("id").cast("long").alias("highest"))
+    return rel.with_ids(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_custkey"], "id", 1000).select("c_custkey", "id")
 
 
-@query("rel_count", "select c_mktsegment, count(*) as n from customer group by c_mktsegment")
+@query("rel_count", "select i as example, count(*) filter (c_nationkey = i + 3 and (i = 0 or c_mktsegment = 'BUILDING')) as n from customer, (values (0), (1)) as v(i) group by i")
 def rel_count(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return rel.count_like(table(spark, sf_dir, "customer"), [{"c_nationkey": 3}, {"c_nationkey": 4, "c_mktsegment": "BUILDING"}])
 
 
 # ---------------------------------------------------------------- the benchmarks' query shapes
@@ -445,3 +738,14 @@ def bench_point_lookups(spark, sf_dir):
 @query("bench_latest_as_of", f"select user_id, max(ts) as ts from events where ts <= timestamp '{HIGH}' group by user_id")
 def bench_latest_as_of(spark, sf_dir):
     return events(spark, sf_dir).where(F.col("ts") <= HIGH).groupBy("user_id").agg(F.max("ts").alias("ts"))
+
+
+@query("bench_latest_ordered", f"select ts, value from events where ts <= timestamp '{HIGH}' order by ts desc, event_id desc limit 1")
+def bench_latest_ordered(spark, sf_dir):
+    return events(spark, sf_dir).where(F.col("ts") <= HIGH).orderBy(F.desc("ts"), F.desc("event_id")).limit(1).select("ts", "value")
+
+
+@query("bench_millis", "select event_id, epoch_us(ts) // 1000 as millis, make_timestamp(epoch_us(ts) // 1000 * 1000) as back from events")
+def bench_millis(spark, sf_dir):
+    millis = F.unix_millis(F.col("ts").cast("timestamp"))
+    return events(spark, sf_dir).select("event_id", millis.alias("millis"), F.timestamp_millis(millis).cast("timestamp_ntz").alias("back"))

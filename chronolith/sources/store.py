@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.segments import Segments
@@ -66,6 +66,40 @@ def until(df: DataFrame, spec: Series, limit) -> DataFrame:
     return df.where(F.col(spec.end) <= limit)
 
 
+def write_counted(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> dict:
+    """``write``, and what it wrote: rows, first and last time, counted while writing."""
+    seen = Observation()
+    counted = spec.rows(df).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
+    write(counted, spec, segments, path, mode)
+    return seen.get
+
+
+def progress(df: DataFrame, spec: Series, low, high) -> DataFrame:
+    """Per key: rows, first and last time, and the percentage of the time from ``low`` to ``high`` that is reached."""
+    seconds = lambda a, b: F.timestamp_diff("SECOND", a.cast("timestamp"), b.cast("timestamp"))
+    low, high = (F.lit(x).cast("timestamp_ntz") for x in (low, high))
+    done = spec.rows(df).groupBy(spec.key).agg(F.count("*").alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
+    share = F.round(100.0 * seconds(low, F.col("last")) / seconds(low, high), 6)
+    return done.withColumn("percent", F.least(F.lit(100.0), F.greatest(F.lit(0.0), share)))
+
+
+def gaps(df: DataFrame, spec: Series, expected, seconds: int = 365 * 86_400) -> DataFrame:
+    """(key, last, missing_seconds) of the series that end more than ``seconds`` before the ``expected`` time."""
+    ends = spec.rows(df).groupBy(spec.key).agg(F.max(spec.end).alias("last"))
+    missing = F.timestamp_diff("SECOND", F.col("last").cast("timestamp"), F.lit(expected).cast("timestamp"))
+    return ends.withColumn("missing_seconds", missing).where(F.col("missing_seconds") > seconds)
+
+
+def append_rows(df: DataFrame, path: str, seq: str) -> None:
+    """Adds rows to a collection on disk, each with its number ``seq`` from the caller, in files sorted by it."""
+    df.sortWithinPartitions(seq).write.mode("append").parquet(path)
+
+
+def iterate(spark: SparkSession, path: str, seq: str, reverse: bool = False) -> DataFrame:
+    """A collection on disk in the order of its rows' numbers, or backwards."""
+    return spark.read.parquet(path).orderBy(F.desc(seq) if reverse else F.asc(seq))
+
+
 def without_series(df: DataFrame, spec: Series, keys: list) -> DataFrame:
     """All but the series of these keys."""
     return df.where(~F.coalesce(F.col(spec.key).isin(keys), F.lit(False)))

@@ -8,22 +8,46 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.functions.segments import Segments
-from chronolith.operators.series import Series
+from chronolith.operators.series import Series, latest
 
 STATE = "last_end timestamp, segment timestamp"
 
 
+def _in_bulk(rows: pd.DataFrame, last, segment):
+    """(status, rolled over, last end, segment) where all well-formed rows are instants: the last end is a running maximum."""
+    bad = rows["start_ts"] > rows["end_ts"]
+    before = rows["end_ts"].where(~bad).cummax().shift(1).ffill()
+    if last is not None:
+        before = before.fillna(last).clip(lower=last)
+    taken = ~bad & ~(rows["start_ts"] < before)
+    opened = rows["segment_from"].where(taken)
+    previous = opened.ffill().shift(1)
+    if segment is not None:
+        previous = previous.fillna(segment)
+    rolled = taken & (rows["segment_from"] > previous)
+    if taken.any():
+        last, segment = rows["end_ts"][taken].iloc[-1], opened[taken].iloc[-1]
+    return np.select([bad, taken], ["malformed", "accepted"], "late"), rolled.to_numpy(bool), last, segment
+
+
 def _ingest(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Statuses of one key's rows in one micro-batch, whose size the trigger bounds."""
     rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
     last, segment = state.get if state.exists else (None, None)
     last, segment = (None if v is None else pd.Timestamp(v) for v in (last, segment))
+    if (rows["start_ts"] >= rows["end_ts"]).all():
+        status, rolled, last, segment = _in_bulk(rows, last, segment)
+        if last is not None:
+            state.update((last.to_pydatetime(), segment.to_pydatetime()))
+        yield rows.assign(status=status, rolled_over=rolled)
+        return
     status, rolled = [], []
     for start, end, low in zip(rows["start_ts"], rows["end_ts"], rows["segment_from"]):
         if start > end:
@@ -66,6 +90,18 @@ def unified(history: DataFrame, live: DataFrame, end: str, live_from) -> DataFra
     return history.where(F.col(end) < live_from).unionByName(live.where(F.col(end) >= live_from))
 
 
+def check_rollover(history: DataFrame, spec: Series, live_from) -> None:
+    """History must end before the live segment starts; an overlap is an error that names a row."""
+    wrong = history.where(F.col(spec.end) >= F.lit(live_from).cast("timestamp_ntz")).select(spec.key, spec.end).take(1)
+    if wrong:
+        raise ValueError(f"history reaches into the live segment from {live_from}: {wrong[0].asDict()}")
+
+
+def latest_of_both(history: DataFrame, live: DataFrame, spec: Series, live_from, probes: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
+    """``probes`` with the last row not after each, of the live segment if it has one, else of history."""
+    return latest(unified(history, live, spec.end, F.lit(live_from).cast("timestamp_ntz")), spec, probes, key, at, columns)
+
+
 def complete_segments(ingested: DataFrame) -> DataFrame:
     """Per key the segments that a later accepted row has closed."""
     held = ingested.where("status = 'accepted'").groupBy("key", "segment_from").agg(F.count("*").alias("n"))
