@@ -32,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = jdir.get() if jdir.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,7 +66,10 @@ def bucket_bits(spark: SparkSession, per_partition: int = 4) -> int:
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table of ids) with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+    """``df`` (a written table of ids) with a broadcast hint if it has at most ``rows`` rows, else as it is.
+
+    The size chooses the way of a join only; results are the same.
+    """
     return F.broadcast(df) if df.count() <= rows else df
 
 
@@ -129,19 +135,20 @@ def grouped(make):
 
 # ---------------------------------------------------------------- hashing
 
-_M = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_MI = pow(_M, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+#: Bases of rolling hashes: odd, so they have inverses modulo 2**64.
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("p", ())) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("p", _M), ("q", _MI)):
-            a = np.full(size, base, np.uint64)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _tables or len(_tables[which][0]) < n + 1:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
+            a = np.full(max(n + 1, 1 << 16), base, np.uint64)
             a[0] = 1
-            _tables[name] = np.multiply.accumulate(a)
-    return _tables["p"], _tables["q"]
+            made.append(np.multiply.accumulate(a))
+        _tables[which] = (made[0], made[1])
+    return _tables[which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -155,11 +162,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any spans of a byte array in constant time each, from one pass of prefix sums."""
+    """64-bit hashes of any spans of a byte array in constant time each, from one pass of prefix sums.
+
+    ``which`` (0 or 1) chooses the base; both together are a 128-bit hash.
+    """
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, which: int = 0):
         n = len(data)
-        p, self.q = _powers(n)
+        p, self.q = _powers(n, which)
         self.c = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=self.c[1:])
 

@@ -1,6 +1,7 @@
 """Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
 
-Every suffix is judged by its first ``width`` bytes. The steps:
+Every suffix is judged by its first ``width`` bytes, which count as equal if two independent 64-bit fingerprints are: at
+10**13 windows a wrong tie is expected once in 10**12 runs. The steps:
 
 1. *Cover sample.* Positions whose remainder modulo 57 lies in a perfect difference cover are sampled. For any two
    positions there is an offset below 57 at which both are sampled, so two equal strings of 100 bytes share an equal
@@ -11,12 +12,16 @@ Every suffix is judged by its first ``width`` bytes. The steps:
    copied documents, never reach the sort.
 2. *Buckets.* A suffix can tie over ``width`` bytes only if a cover sample and all of the second sample within them
    occur again. Those suffixes
-   alone are sorted, one bucket of key range at a time, by a 64-bit fingerprint of the first ``width`` bytes and then
+   alone are sorted, one bucket of key range at a time, by the 128-bit fingerprint of the first ``width`` bytes and then
    position; all but the first of a tie are repeats. Within a map task ties are resolved before the shuffle.
 3. The repeats of each document are merged to runs and cut out.
 
+The order of the buckets is that of fingerprints, not of bytes, and a cover sample's rank is only whether it occurs again:
+the ranks that would settle long ties by bytes need the first 57 bytes and eight ranks of every suffix in the shuffle.
+
 Memory: a task holds one bucket, or 3 to 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
-verdicts has 2**FILTER_BITS bits whatever the input; if it fills up, more suffixes are sorted and results stay the same.
+verdicts has a bit for two bytes of text, and 2**MOST_BITS at most, so that it can be broadcast (128 MB); if it fills up,
+more suffixes are sorted and results stay the same.
 """
 
 from __future__ import annotations
@@ -46,15 +51,15 @@ from chronolith.llm.common import (
 COVER_MOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 SPARSE = 32  # bytes of a string of the second sample
-FILTER_BITS = 28
+MOST_BITS = 30
 CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 8 << 20, 3 << 20, 4 << 20
 _COVERED = np.zeros(COVER_MOD, bool)
 _COVERED[list(COVER)] = True
 U64 = np.uint64
 
 MARKS = "dbucket int, docs binary, counts binary, lo binary, hi binary"
-FOUND = "bucket int, samples binary, again binary, skey binary, sdoc binary, slo binary, slen binary"
-SORTED = "bucket int, kind int, key binary, docs binary, counts binary, lo binary, hi binary"
+FOUND = "bucket int, samples binary, again binary, skey binary, skey2 binary, sdoc binary, slo binary, slen binary"
+SORTED = "bucket int, kind int, key binary, key2 binary, docs binary, counts binary, lo binary, hi binary"
 
 
 class _Chunk:
@@ -63,7 +68,7 @@ class _Chunk:
     def __init__(self, data, offsets, docs, base, width):
         self.docs, self.offsets, self.width, self.sample = docs, offsets, width, width - COVER_MOD + 1
         self.lens = np.diff(offsets)
-        self.roll = Rolling(data)
+        self.roll, self.second = Rolling(data), Rolling(data, 1)
         n = len(data)
         self.at = np.arange(n) - np.repeat(offsets[:-1], self.lens) + base  # position within the document
         left = np.repeat(offsets[1:], self.lens) - np.arange(n)
@@ -139,11 +144,14 @@ def _pack_marks(docs, lo, hi, bits):
         yield int(bucket[b]), planes(d[s]), planes((t - s).astype(np.uint32)), planes(lo[b:e].astype(np.uint32)), planes(hi[b:e].astype(np.uint32))
 
 
-def _runs(a):
-    """Starts and ends of runs of equal values."""
+def _runs(a, b=None):
+    """Starts and ends of runs of equal values (of pairs, if ``b`` is given)."""
     if not len(a):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    s = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+    change = a[1:] != a[:-1]
+    if b is not None:
+        change |= b[1:] != b[:-1]
+    s = np.flatnonzero(np.r_[True, change])
     return s, np.r_[s[1:], len(a)]
 
 
@@ -157,13 +165,14 @@ _I, _L, _B = pa.int32(), pa.int64(), pa.binary()
 
 def _cover_pass(bits, width):
     def run(batches):
-        got = {k: [] for k in ("h", "k", "d", "s", "n")}
+        got = {k: [] for k in ("h", "k", "k2", "d", "s", "n")}
         for chunk, _, _ in _chunks(batches, width):
             if chunk is not None:
                 got["h"] += [chunk.cover_keys, chunk.sparse_keys]
                 start, end = chunk.segments()
                 if len(start):
                     got["k"].append(chunk.roll.span(start, end + width - 1))
+                    got["k2"].append(chunk.second.span(start, end + width - 1))
                     got["d"].append(chunk.docs[chunk.row_of(start)])
                     got["s"].append(chunk.at[start])
                     got["n"].append(end - start)
@@ -175,6 +184,7 @@ def _cover_pass(bits, width):
             order, hs, hb = _split(h, bits)
             low = low[order]
             korder, ks, kb = _split(k, bits)
+            ks2 = cat(got["k2"], U64)[korder]
             d, s, n = (cat(got[x], np.int64)[korder] for x in "dsn")
             rows = []
             for b, (lo, hi, klo, khi) in enumerate(zip(np.r_[0, hb], np.r_[hb, len(h)], np.r_[0, kb], np.r_[kb, len(k)])):
@@ -183,36 +193,36 @@ def _cover_pass(bits, width):
                 part = low[lo:hi].astype(np.uint32)
                 at, to = _runs(part)
                 one, many = part[at[to - at == 1]], part[at[to - at > 1]]
-                rows.append((b, planes(np.diff(one, prepend=np.uint32(0))), planes(many), planes(ks[klo:khi]), planes(d[klo:khi]), planes(s[klo:khi].astype(np.uint32)), planes(n[klo:khi].astype(np.uint32))))
-            yield _batch(rows, ["bucket", "samples", "again", "skey", "sdoc", "slo", "slen"], [_I, *[_B] * 6])
+                rows.append((b, planes(np.diff(one, prepend=np.uint32(0))), planes(many), planes(ks[klo:khi]), planes(ks2[klo:khi]), planes(d[klo:khi]), planes(s[klo:khi].astype(np.uint32)), planes(n[klo:khi].astype(np.uint32))))
+            yield _batch(rows, ["bucket", "samples", "again", "skey", "skey2", "sdoc", "slo", "slen"], [_I, *[_B] * 7])
             got = {x: [] for x in got}
 
     return run
 
 
-def _cover_bucket(bits, dbits):
+def _cover_bucket(bits, dbits, filter_bits):
     """One bucket of sample and piece keys: bits of sample strings that occur again, marks of pieces that occurred earlier."""
 
     @grouped
     def run(key, batches):
-        one, many, k, d, s, n = [], [], [], [], [], []
+        one, many, k, k2, d, s, n = [], [], [], [], [], [], []
         for t in batches:
             for r in t.to_pylist():
                 one.append(np.cumsum(unplanes(r["samples"], np.uint32), dtype=np.uint32))
                 many.append(unplanes(r["again"], np.uint32))
-                for to, name, kind in ((k, "skey", U64), (d, "sdoc", np.int64), (s, "slo", np.uint32), (n, "slen", np.uint32)):
+                for to, name, kind in ((k, "skey", U64), (k2, "skey2", U64), (d, "sdoc", np.int64), (s, "slo", np.uint32), (n, "slen", np.uint32)):
                     to.append(unplanes(r[name], kind))
         ones = np.sort(cat(one, np.uint32))
         again = np.r_[ones[1:][ones[1:] == ones[:-1]], cat(many, np.uint32)]
-        shift = np.uint32(32 - (FILTER_BITS - bits))
-        slots = np.zeros(1 << (FILTER_BITS - bits), np.uint8)
+        shift = np.uint32(32 - (filter_bits - bits))
+        slots = np.zeros(1 << (filter_bits - bits), np.uint8)
         slots[again >> shift] = 1
         bucket = int(key[0].as_py())
         yield _batch([(bucket, zlib.compress(np.packbits(slots).tobytes(), 1), None, None, None)], ["dbucket", "docs", "counts", "lo", "hi"], [_I, *[_B] * 4])
-        k, d, s, n = cat(k, U64), cat(d, np.int64), cat(s, np.uint32).astype(np.int64), cat(n, np.uint32)
-        order = np.lexsort((s, d, k))
-        k, d, s, n = k[order], d[order], s[order], n[order]
-        a, b = _runs(k)
+        k, k2, d, s, n = cat(k, U64), cat(k2, U64), cat(d, np.int64), cat(s, np.uint32).astype(np.int64), cat(n, np.uint32)
+        order = np.lexsort((s, d, k2, k))
+        k, k2, d, s, n = k[order], k2[order], d[order], s[order], n[order]
+        a, b = _runs(k, k2)
         first = np.repeat(a, b - a)
         later = (d != d[first]) | (s != s[first])
         if later.any():
@@ -245,50 +255,52 @@ def _merge_marks(key, batches):
 def _sort_pass(bits, dbits, width, verdicts):
     def run(batches):
         table = np.frombuffer(verdicts.value, np.uint8)
-        key, doc, pos = [], [], []
+        filter_bits = int(len(table) * 8).bit_length() - 1
+        key, key2, doc, pos = [], [], [], []
         for chunk, batch, row in _chunks(batches, width, sort=True):
             if chunk is not None:
                 n = len(chunk.ok)
-                till = _till(chunk.cover[_again(table, chunk.cover_keys)], n + width)
+                till = _till(chunk.cover[_again(table, filter_bits, chunk.cover_keys)], n + width)
                 may = chunk.ok & (till[COVER_MOD : COVER_MOD + n] > till[:n])
-                till = _till(chunk.sparse[~_again(table, chunk.sparse_keys)], n + width)
+                till = _till(chunk.sparse[~_again(table, filter_bits, chunk.sparse_keys)], n + width)
                 reach = width - SPARSE + 1
                 may &= till[reach : reach + n] == till[:n]
                 del till
                 _unset(may, chunk, batch, row)
                 here = np.flatnonzero(may)
                 key.append(chunk.roll.span(here, here + width))
+                key2.append(chunk.second.span(here, here + width))
                 doc.append(chunk.docs[chunk.row_of(here)])
                 pos.append(chunk.at[here])
                 continue
-            k, d, p = cat(key, U64), cat(doc, np.int64), cat(pos, np.int64)
-            key, doc, pos = [], [], []
+            k, k2, d, p = cat(key, U64), cat(key2, U64), cat(doc, np.int64), cat(pos, np.int64)
+            key, key2, doc, pos = [], [], [], []
             if not len(k):
                 continue
             order, ks, kb = _split(k, bits)
-            d, p = d[order], p[order]
+            k2, d, p = k2[order], d[order], p[order]
             del k, order
-            first = np.r_[True, ks[1:] != ks[:-1]]
+            first = np.r_[True, (ks[1:] != ks[:-1]) | (k2[1:] != k2[:-1])]
             leader = np.maximum.accumulate(np.where(first, np.arange(len(ks), dtype=np.int32), 0))
             later = (d != d[leader]) | (p != p[leader])
             del leader
-            rows = [(m[0], 1, None, *m[1:]) for m in _join_runs(d[later], p[later], dbits)]
+            rows = [(m[0], 1, None, None, *m[1:]) for m in _join_runs(d[later], p[later], dbits)]
             edges = np.r_[0, kb, len(ks)]
             for n in range(1 << bits):
                 lo, hi = edges[n], edges[n + 1]
                 keep = first[lo:hi]
-                kk, dd, pp = ks[lo:hi][keep], d[lo:hi][keep], p[lo:hi][keep]
+                kk, kk2, dd, pp = ks[lo:hi][keep], k2[lo:hi][keep], d[lo:hi][keep], p[lo:hi][keep]
                 if len(kk):
                     order = np.lexsort((pp, dd))
                     s, t = _runs(dd[order])
-                    rows.append((n, 0, planes(kk[order]), planes(dd[order][s]), planes((t - s).astype(np.uint32)), planes(pp[order].astype(np.uint32)), None))
-            yield _batch(rows, ["bucket", "kind", "key", "docs", "counts", "lo", "hi"], [_I, _I, *[_B] * 5])
+                    rows.append((n, 0, planes(kk[order]), planes(kk2[order]), planes(dd[order][s]), planes((t - s).astype(np.uint32)), planes(pp[order].astype(np.uint32)), None))
+            yield _batch(rows, ["bucket", "kind", "key", "key2", "docs", "counts", "lo", "hi"], [_I, _I, *[_B] * 6])
 
     return run
 
 
-def _again(table, keys):
-    slot = keys >> U64(64 - FILTER_BITS)
+def _again(table, filter_bits, keys):
+    slot = keys >> U64(64 - filter_bits)
     return (table[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & np.uint8(1) > 0
 
 
@@ -329,19 +341,20 @@ def _sort_bucket(dbits):
 
     @grouped
     def run(key, batches):
-        k, d, p, rows = [], [], [], []
+        k, k2, d, p, rows = [], [], [], [], []
         for t in batches:
             for r in t.to_pylist():
                 if r["kind"]:
                     rows.append((r["bucket"], r["docs"], r["counts"], r["lo"], r["hi"]))
                 else:
                     k.append(unplanes(r["key"], U64))
+                    k2.append(unplanes(r["key2"], U64))
                     d.append(np.repeat(unplanes(r["docs"], np.int64), unplanes(r["counts"], np.uint32)))
                     p.append(unplanes(r["lo"], np.uint32))
-        k, d, p = cat(k, U64), cat(d, np.int64), cat(p, np.uint32).astype(np.int64)
-        order = np.lexsort((p, d, k))
-        k, d, p = k[order], d[order], p[order]
-        a, b = _runs(k)
+        k, k2, d, p = cat(k, U64), cat(k2, U64), cat(d, np.int64), cat(p, np.uint32).astype(np.int64)
+        order = np.lexsort((p, d, k2, k))
+        k, k2, d, p = k[order], k2[order], d[order], p[order]
+        a, b = _runs(k, k2)
         first = np.repeat(a, b - a)
         later = (d != d[first]) | (p != p[first])
         rows += _join_runs(d[later], p[later], dbits)
@@ -407,12 +420,14 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
         raise ValueError("width must leave at least 17 bytes for a cover sample")
     whole = numbered(whole)
     docs = whole.select("number", "text")
-    bits, dbits = min(bucket_bits(spark, 2), FILTER_BITS - 6), bucket_bits(spark, 1)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    filter_bits = min(MOST_BITS, max(22, (total // 2).bit_length()))
+    bits, dbits = min(bucket_bits(spark, 2), filter_bits - 6), bucket_bits(spark, 1)
     found = docs.mapInArrow(_cover_pass(bits, width), FOUND)
-    step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, dbits), MARKS), "suffix-cover")
-    slices = step1.where("counts is null").select("dbucket", "docs").toPandas()  # 2**FILTER_BITS bits in all, compressed
-    size = (1 << (FILTER_BITS - bits)) >> 3
-    table = np.zeros((1 << FILTER_BITS) >> 3, np.uint8)
+    step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, dbits, filter_bits), MARKS), "suffix-cover")
+    slices = step1.where("counts is null").select("dbucket", "docs").toPandas()  # 2**MOST_BITS bits at most in all, compressed
+    size = (1 << (filter_bits - bits)) >> 3
+    table = np.zeros((1 << filter_bits) >> 3, np.uint8)
     for b, bits_of in zip(slices.dbucket, slices.docs):
         table[b * size : (b + 1) * size] = np.frombuffer(zlib.decompress(bytes(bits_of)), np.uint8)
     verdicts = spark.sparkContext.broadcast(table.tobytes())
