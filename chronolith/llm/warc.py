@@ -4,6 +4,9 @@ A record is its header lines, a blank line, the block, and two line ends; a text
 line ends is a record, so ``df.write.text`` writes archives with Spark's committers on any file system. The data source
 plans one partition per archive file (smaller ones are grouped), parses the header of each record first, and skips, by
 its length, the block of a record whose type or header fails a pushed-down predicate or whose payload isn't asked for.
+An archive may also be gzip with a member for each record (name ends in .gz); one archive is never split, as a payload
+may hold what looks like a record. A record without a valid Content-Length is an error that names the file and byte; a
+response without the blank line after its HTTP header has an empty payload.
 """
 
 from __future__ import annotations
@@ -81,26 +84,58 @@ class WarcReader(DataSourceReader):
         fs, _ = _file_system(self.root)
         for path in partition.paths:
             with fs.open_input_file(path) as raw:
-                yield from self.records(raw)
+                try:
+                    for member in _members(raw) if path.endswith(".gz") else [raw]:
+                        yield from self.records(member)
+                except ValueError as wrong:
+                    raise ValueError(f"{path}: {wrong}") from wrong
 
     def records(self, raw):
         at = 0
         with_payload = "payload" in self.columns
         while head := _head(raw, at):
             fields, start = head
-            length = int(fields["content-length"])
+            said = fields.get("content-length", "")
+            if not said.isdecimal():
+                raise ValueError(f"the record at byte {at} has no valid Content-Length")
+            length = int(said)
             row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
             for c in _NUMBERS:
-                row[c] = int(row[c]) if row[c] is not None else None
+                row[c] = int(row[c]) if row[c] is not None and re.fullmatch(r"-?\d+", row[c]) else None
             at = start + length + len(END)
             if all(row[c] is not None if values is None else row[c] in values for c, values in self.want):
                 row["payload"] = None
                 if with_payload and row["warc_type"] == "response":
-                    block = raw.read_at(length, start)
-                    row["payload"] = block[block.index(END.encode()) + len(END) :].decode("utf-8", "replace")
+                    _, _, payload = raw.read_at(length, start).partition(END.encode())
+                    row["payload"] = payload.decode("utf-8", "replace")
                 yield tuple(row[c] for c in self.columns)
 
 
+class _Held:
+    """A record in memory, read like a file."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def read_at(self, size: int, at: int) -> bytes:
+        return self.data[at : at + size]
+
+
+def _members(raw):
+    """The members of a gzip file, one after another."""
+    import zlib
+
+    unpack, out, rest = zlib.decompressobj(31), [], b""
+    while part := rest or raw.read(1 << 20):
+        out.append(unpack.decompress(part))
+        rest = unpack.unused_data
+        if unpack.eof:
+            yield _Held(b"".join(out))
+            unpack, out = zlib.decompressobj(31), []
+    if out:
+        raise ValueError("cut gzip member")
+
+
 def _head(raw, at: int):
     """(fields by lower-case name, where the block starts) of the record at ``at``; None at the end of the file."""
     size = 4096
@@ -141,6 +176,7 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The archives at ``path``. Predicates reach the reader by a setting of the session, which this call switches on."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # off by default, and refused by sources that push down
     schema = StructType([f for f in SCHEMA if columns is None or f.name in columns])
@@ -160,15 +196,15 @@ def write_warc(pages: DataFrame, path: str) -> None:
 
     Of records with equal payloads of at least MIN_REVISIT bytes that with the largest page_id is a response, the others
     revisit it (rows that repeat that page_id are responses too); smaller ones are all responses. A row with a null
-    page_id is a response and never revisited. Line ends in a url are percent-encoded; a null url has no header line.
+    page_id is a response and never revisited. Rows that share a page_id are judged by their own payloads. Line ends in a url are percent-encoded; a null url has no header line.
     """
     rows = columns_guarded(pages, {"page_id": "long", "url": "string", "html": "string"}).withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     # digests only: the payloads stay where they are until the join with the few digests that repeat
     ids = written(rows.select("page_id", "bytes", "sha1"), "warc-digests")
     again = ids.where((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "first")
-    revisits = written(ids.where((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).join(again, "sha1").where("page_id <> first").select("page_id", "first").distinct(), "warc-revisits")
-    rows = rows.join(revisits, "page_id", "left")
+    revisits = written(ids.where((F.col("bytes") >= MIN_REVISIT) & F.col("page_id").isNotNull()).join(again, "sha1").where("page_id <> first").select("page_id", "sha1", "first").distinct(), "warc-revisits")
+    rows = rows.join(revisits, ["page_id", "sha1"], "left")
     revisit = F.col("first").isNotNull()
     url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
@@ -196,15 +232,13 @@ def write_warc(pages: DataFrame, path: str) -> None:
 def op7_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    read = read_warc(spark, path, ["warc_type", "page_id", "payload_digest", "refers_to_page", "payload_length", "payload"])
-    response = F.col("warc_type") == "response"
-    return read.select(
-        "page_id",
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
-        F.when(response, F.sha1(F.col("payload").cast("binary"))).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        F.col("refers_to_page").alias("refers_to"),
-    )
+    told = ["warc_type", "page_id", "payload_digest", "refers_to_page", "payload_length"]
+    # each type by a predicate that the reader decides on headers; of revisits no block is read
+    responses = read_warc(spark, path, [*told, "payload"]).where("warc_type = 'response'")
+    revisits = read_warc(spark, path, told).where("warc_type = 'revisit'")
+    of_response = responses.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("payload_digest"), F.col("warc_type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+    of_revisit = revisits.select("page_id", F.col("payload_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), F.col("warc_type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+    return of_response.unionByName(of_revisit)
 
 
 ORACLE = """
