@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import columns_guarded
 
 SPACE = "▁"
-REMEMBERED = 400_000  # words (some 250 bytes each), and pairs of pieces, that a worker process remembers
+REMEMBERED, LONG = 400_000, 60  # words (some 250 bytes each; longer ones not), and pairs of pieces, that a worker process remembers
 
 
 class Model:
@@ -99,12 +99,12 @@ class Model:
         n, at, out = len(text), 0, []
         if not n:
             return out
-        open_places = (1 << (n + 1)) - 1
+        struck = bytearray(n // 8 + 1)  # a bit for each place; setting one doesn't copy the rest
         fits, shorter, longest = self.fits, self.shorter, self.longest
         token = longest(text, 0)
         while True:
             end = at + len(token)
-            if open_places >> end & 1:
+            if not struck[end >> 3] >> (end & 7) & 1:
                 fit = True
                 if out:
                     fit = fits.get((out[-1], token))
@@ -119,7 +119,7 @@ class Model:
                     continue
             token = shorter.get(token)
             while token is None:  # no match fits here: strike the place, step back, and try what is shorter there
-                open_places &= ~(1 << at)
+                struck[at >> 3] |= 1 << (at & 7)
                 last = out.pop()
                 at -= len(last)
                 token = shorter.get(last)
@@ -191,7 +191,8 @@ class _Words(dict):
         except KeyError:  # byte pieces; a word never splits a character, so they decode by themselves
             ids = self.model.word_ids(word)
             got = " ".join(map(str, ids)), (" " if word.startswith(SPACE) else "") + self.model.decode(ids)
-        self[word] = got
+        if len(word) <= LONG:
+            self[word] = got
         return got
 
 

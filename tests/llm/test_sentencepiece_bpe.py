@@ -33,6 +33,12 @@ def test_long_words():
         assert OWN.encode(word) == LIB.encode(word)
 
 
+def test_very_long_words():
+    """A word of 300,000 characters, and one that makes the search step back often."""
+    for word in ("ab" * 150_000, "intern" * 50_000):
+        assert OWN.encode(word) == LIB.encode(word)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
