@@ -17,13 +17,38 @@ def _bytes_of() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Fixed value: how the byte-level splitter of such files cuts a text into words.
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters whose classes every Unicode version agrees on: texts of these alone are split here.
+_PLAIN = r"[\t\n\r\x20-\x7e\xa0-\u024f]*"
+REMEMBERED, LONG = 400_000, 60  # words that a worker process remembers, some 200 bytes each; longer ones are not
+
+
+class _Ids(dict):
+    """word -> the bytes of its ids, by the library."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, word):
+        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONG:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class ByteBpe:
     """Ids of the tokenizers library for a byte-level BPE file, with its default options: special tokens are found in texts.
 
-    ``pattern`` isn't needed, as the file holds its own.
+    Words never share a token, so the library encodes each word once per worker process. Texts with special tokens, or
+    with characters that Unicode versions may class differently, go to the library whole, and so do files whose splitter
+    isn't the usual byte-level one. ``pattern`` isn't needed, as the file names its splitter.
     """
 
     def __init__(self, raw: bytes, pattern: str | None = None):
+        import regex
         from tokenizers import Tokenizer
 
         model = json.loads(raw)
@@ -37,8 +62,16 @@ class ByteBpe:
             if i not in added:
                 self.lengths[i] = len(bytes(table[c] for c in token))
         self.tokenizer = Tokenizer.from_str(raw.decode())
+        self.known = _Ids(self.tokenizer)
+        split = model.get("pre_tokenizer") or {}
+        usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("normalizer")
+        self.words = regex.compile(_WORDS).findall if usual else None
+        self.plain = regex.compile(_PLAIN).fullmatch
+        self.special = list(added.values())
 
     def encode(self, text: str) -> np.ndarray:
+        if self.words and self.plain(text) and not any(t in text for t in self.special):
+            return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), "<u4")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ends(self, text: str, place: np.ndarray) -> np.ndarray:
@@ -47,12 +80,11 @@ class ByteBpe:
         The library's offsets are characters, and tokens may split one; so byte lengths are summed up. Added tokens
         may take white space around them, so theirs come from the offsets.
         """
-        found = self.tokenizer.encode(text, add_special_tokens=False)
-        ids = np.array(found.ids, np.int64)
+        ids = self.encode(text).astype(np.int64)
         sizes = self.lengths[ids]
         special = np.flatnonzero(self.added[ids])
         if len(special):
-            bounds = np.array(found.offsets, np.int64)[special]
+            bounds = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64)[special]
             sizes[special] = place[bounds[:, 1]] - place[bounds[:, 0]]
         return np.cumsum(sizes)
 
