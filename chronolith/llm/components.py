@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import written
 
 
+def forest(links: np.ndarray, n: int) -> np.ndarray:
+    """Those of ``links`` (rows of two numbers below ``n``) that join what wasn't joined before."""
+    parent, keep = list(range(n)), []
+    for k, (a, b) in enumerate(links.tolist()):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        while parent[b] != b:
+            parent[b] = parent[parent[b]]
+            b = parent[b]
+        if a != b:
+            parent[b] = a
+            keep.append(k)
+    return links[keep].reshape(-1, 2)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long): the smallest node that links reach.
 

@@ -8,24 +8,27 @@ texts of up to 2**level characters, and of twice as many; so texts whose lengths
 share a scale. The likeness of two fingerprints is the share of equal digits at the scale they share (places past both
 ends left out), corrected for chance. Walks of all texts of a level run in step, as arrays.
 
-Near pairs are found by bit-sampled banding: digits of a band are a bucket key, and pairs that meet are verified.
+Near fingerprints are found by banding: sampled digits of a band are a bucket key. Buckets pass on chains of those that
+meet (no row per pair); a component of the chains meets once in a task, where likenesses verify what is near.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import columns_guarded, mix, shuffle_partitions, written
-from chronolith.llm.components import components
+from chronolith.llm.common import bucket_bits, cat, columns_guarded, grouped, mix, planes, shuffle_partitions, unplanes, written
+from chronolith.llm.components import components, forest
 
 DIGITS, LOWEST, SEED = 128, 5, 11
 GROUP_CHARS = 6 << 20  # characters of texts whose walks run together
-BLOCK = 512
+BLOCK, MISS = 2048, 0.01
 U64 = np.uint64
 _plans: dict[int, tuple[np.ndarray, int]] = {}
 
@@ -98,11 +101,7 @@ def _parts(f: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([int(x[:2], 16) for x in f]), a[:, 2:].reshape(len(f), 2, DIGITS)
 
 
-def likeness(f: list[str], g: list[str]) -> np.ndarray:
-    """Of pairs of fingerprints, 0 (nothing in common, or lengths too far apart) to 1 (equal)."""
-    if not f:
-        return np.empty(0)
-    (lf, df), (lg, dg) = _parts(f), _parts(g)
+def _like(lf, df, lg, dg) -> np.ndarray:
     a = np.where((lf < lg)[:, None], df[:, 1], df[:, 0])
     b = np.where((lg < lf)[:, None], dg[:, 1], dg[:, 0])
     some = (a != 48) | (b != 48)
@@ -111,6 +110,11 @@ def likeness(f: list[str], g: list[str]) -> np.ndarray:
     return np.where(np.abs(lf - lg) <= 1, np.clip((share - 1 / 15) / (1 - 1 / 15), 0, 1), 0.0)
 
 
+def likeness(f: list[str], g: list[str]) -> np.ndarray:
+    """Of pairs of fingerprints, 0 (nothing in common, or lengths too far apart) to 1 (equal)."""
+    return _like(*_parts(f), *_parts(g)) if f else np.empty(0)
+
+
 def fingerprint_texts(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_chars and fingerprint of the whole text; a null text is empty."""
 
@@ -162,88 +166,169 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     is the smallest; rows that share a doc_id follow each other by their text's hash, and equal rows follow each other.
     A single row is its own next. An empty table gives an empty one; other columns are ignored.
 
-    Texts are shuffled once, to ranges of doc_ids. What a range needs from the range before is one document, which is
-    sent to both: so nothing needs a global order in one task.
+    Texts are shuffled once, to ranges of doc_ids; a doc_id that many rows share is cut into ranges of text hashes. What a
+    range needs from the range before is one document, which is sent to both: so nothing needs a global order in one task.
     """
     spark = docs.sparkSession
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
-    order = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    ids = docs.select(order.cast("double").alias("x"))
+    order, low = F.coalesce("doc_id", F.lit(-(1 << 63))), -(1 << 63)
     ranges = 8 * shuffle_partitions(spark)
-    cuts = np.unique(np.array(ids.approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) or [], np.float64))
+    found = docs.select(order.cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    at = np.array([min(int(c), (1 << 63) - 1) for c in found or []], np.int64)
+    # cuts are pairs (doc_id, hash): a doc_id that is several quantiles is cut by hash as often
+    cuts, times = np.unique(at, return_counts=True)
+    steps = [[low + (j << 64) // n for j in range(n)] for n in times.tolist()]
+    first = np.cumsum(times) - times
 
     @F.pandas_udf("long")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(np.float64), "right"))
-
-    numbered = docs.withColumn("order", order).withColumn("part", part_of("order"))
-    ends = sorted(written(numbered.groupBy("part").agg(F.max("order").alias("last")), "fingerprint-ranges").collect())  # one row a range
-    gives = {last: ends[(i + 1) % len(ends)][0] for i, (_, last) in enumerate(ends)}
+    def part_of(key: pd.Series, digest: pd.Series) -> pd.Series:
+        k, h = key.to_numpy(np.int64), digest.to_numpy(np.int64)
+        place = np.searchsorted(cuts, k, "left")
+        part = np.r_[first, len(at)][place]
+        same = (place < len(cuts)) & (np.r_[cuts, 0][place] == k)
+        for i in np.unique(place[same]):
+            mine = same & (place == i)
+            part[mine] = first[i] + np.searchsorted(np.array(steps[i], np.int64), h[mine], "right")
+        return pd.Series(part)
+
+    numbered = docs.withColumns({"order": order, "hash": F.xxhash64("text")}).withColumn("part", part_of("order", "hash"))
+    ends = sorted(written(numbered.groupBy("part").agg(F.max(F.struct("order", "hash")).alias("last")), "fingerprint-ranges").select("part", "last.order", "last.hash").collect())  # one row a range
+    gives = {(o, h): ends[(i + 1) % len(ends)][0] for i, (_, o, h) in enumerate(ends)}
 
     @F.pandas_udf("array<long>")
-    def sent(part: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([[2 * p + 1] + ([2 * gives[k]] if k in gives else []) for p, k in zip(part.tolist(), key.tolist())])
+    def sent(part: pd.Series, key: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([[2 * p + 1] + ([2 * gives[k]] if k in gives else []) for p, *k in zip(part.tolist(), key.tolist(), digest.tolist()) for k in [tuple(k)]])
 
-    rows = numbered.select("doc_id", "text", "order", F.explode(sent("part", "order")).alias("to"))
-    rows = rows.select(F.shiftright("to", 1).alias("part"), F.pmod("to", F.lit(2)).cast("int").alias("own"), "doc_id", "text", "order")
-    rows = rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "own", "order", F.xxhash64("text"))
+    rows = numbered.select("doc_id", "text", "order", "hash", F.explode(sent("part", "order", "hash")).alias("to"))
+    rows = rows.select(F.shiftright("to", 1).alias("part"), F.pmod("to", F.lit(2)).cast("int").alias("own"), "doc_id", "text", "order", "hash")
+    rows = rows.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "own", "order", "hash")
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return rows.select("part", "own", "doc_id", "text").mapInPandas(_compare_pass, kinds)
 
 
-def _verify(threshold: float):
-    """One bucket, or a pair of blocks of it: links at or over ``threshold`` that connect what is connected here."""
+def band_shape(n: int, threshold: float) -> tuple[int, int]:
+    """(digits of a band, bands) for ``n`` fingerprints: strangers meet about once in all, a likeness at the threshold is missed with MISS."""
+    width = max(4, math.ceil(math.log(max(n, 2)) / math.log(15)) + 1)
+    share = threshold * 14 / 15 + 1 / 15
+    return width, math.ceil(math.log(MISS) / math.log1p(-(share**width)))
 
-    def run(pdf):
-        f, ids, part = pdf.fingerprint.tolist(), pdf.doc_id.to_numpy(), pdf.part.to_numpy()
-        out, joined = [], {i: i for i in range(len(f))}
 
-        def root(i):
-            while joined[i] != i:
-                i = joined[i]
-            return i
+def _band_pass(width: int, bands: int, bits: int):
+    """Rows (node, fingerprint) as one row for each bucket group: band keys and nodes."""
+    drawn = np.random.default_rng(SEED).choice(DIGITS, (bands, width))
 
-        for i in range(len(f)):
-            rest = [j for j in range(i + 1, len(f)) if (part[j] != part[i] or part.min() == part.max()) and root(i) != root(j)]
-            for j, near in zip(rest, likeness([f[i]] * len(rest), [f[j] for j in rest])):
-                if near >= threshold and root(i) != root(j):
-                    joined[root(j)] = root(i)
-                    out.append((ids[i], ids[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def run(batches):
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            level, digits = _parts(batch.column(1).to_pylist())
+            keys, who = [], []
+            for scale in (0, 1):
+                base = mix((level + scale).astype(U64) + U64(1))
+                for band in range(bands):
+                    some = digits[:, scale, drawn[band]]
+                    h = base + U64(band << 8)
+                    for i in range(width):
+                        h = mix(h * U64(0x9E3779B97F4A7C15) + some[:, i])
+                    real = np.flatnonzero((some != 48).any(axis=1))
+                    keys.append(h[real])
+                    who.append(node[real])
+            keys, who = cat(keys, U64), cat(who, np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, who = keys[order], who[order]
+            edges = np.searchsorted(keys, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits))
+            out = [(g, planes(keys[i:j]), planes(who[i:j])) for g, (i, j) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)])) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "nodes"])
 
     return run
 
 
-def near_duplicates(prints: DataFrame, threshold: float = 0.75, bands: int = 24, width: int = 6) -> DataFrame:
-    """Per row of ``prints`` (doc_id, fingerprint): doc_id and component_id, the smallest doc_id that links reach.
+@grouped
+def _chains(key, tables):
+    """Of the buckets of a group: a forest of chains of those that share a key."""
+    keys, node = [], []
+    for t in tables:
+        for r in t.to_pylist():
+            keys.append(unplanes(r["keys"], U64))
+            node.append(unplanes(r["nodes"], np.int64))
+    keys, node = cat(keys, U64), cat(node, np.int64)
+    order = np.lexsort((node, keys))
+    keys, node = keys[order], node[order]
+    met = np.flatnonzero(keys[1:] == keys[:-1])
+    names, ends = np.unique(np.r_[node[met], node[met + 1]], return_inverse=True)
+    links = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
+    yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def near_links(level: np.ndarray, digits: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join all fingerprints whose likeness reaches the threshold; those of the first probe's group don't probe."""
+    group, links = np.arange(len(level)), []
+    for i in range(len(level)):
+        if i and group[i] == group[0]:
+            continue
+        rest = np.flatnonzero(group != group[i])
+        if not len(rest):
+            break
+        near = rest[_like(np.repeat(level[i], len(rest)), np.broadcast_to(digits[i], (len(rest), 2, DIGITS)), level[rest], digits[rest]) >= threshold]
+        other, first = np.unique(group[near], return_index=True)
+        links += [(i, int(j)) for j in near[first]]
+        group[np.isin(group, other)] = group[i]
+    return links
 
-    Equal fingerprints are one class. Classes that agree on all ``width`` sampled digits of a band, at a scale they
-    share, are compared; likeness of at least ``threshold`` links them. A likeness of 0.75 is missed by all of 24 bands
-    of 6 with probability 0.009. Buckets are compared in blocks, so a hot one is spread over tasks. Null doc_ids or
-    fingerprints link with nothing; an empty table gives an empty one.
-    """
-    prints = columns_guarded(prints, {"doc_id": "long", "fingerprint": "string"})
-    classes = written(prints.dropna().groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")), "print-classes")
-    drawn = np.random.default_rng(SEED).choice(DIGITS, (bands, width))
 
-    @F.pandas_udf("array<string>")
-    def keys(f: pd.Series) -> pd.Series:
-        out = []
-        for x in f:
-            level, scales = int(x[:2], 16), (x[2 : 2 + DIGITS], x[2 + DIGITS :])
-            out.append([f"{level + s}/{b}/" + "".join(scale[i] for i in drawn[b]) for s, scale in enumerate(scales) for b in range(bands) if any(scale[i] != "0" for i in drawn[b])])
-        return pd.Series(out)
-
-    met = classes.select("doc_id", F.explode(keys("fingerprint")).alias("key"))
-    sizes = met.groupBy("key").count().where("count > 1")
-    met = met.join(sizes, "key").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    dealt = met.select("doc_id", "key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("doc_id", "key", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).join(classes, "doc_id")
-    links = written(dealt.groupBy("key", "p", "q").applyInPandas(_verify(threshold), "a long, b long").distinct(), "print-links")
-    comp = components(links).select(F.col("node").alias("rep"), "component")
-    known = classes.select("fingerprint", F.col("doc_id").alias("rep")).join(comp, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("found"))
-    return prints.join(known, "fingerprint", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
+def _verify(threshold: float):
+    """Whole small components, or one pair of blocks of a large one: links that join what is near."""
+
+    @grouped
+    def run(key, tables):
+        t = pa.concat_tables(tables)
+        node, comp = (t.column(c).to_numpy() for c in ("node", "comp"))
+        prints = t.column("fingerprint").to_pylist()
+        order = np.lexsort((node, comp))
+        start = np.flatnonzero(np.r_[True, comp[order][1:] != comp[order][:-1]])
+        a, b = [], []
+        for lo, hi in zip(start, np.r_[start[1:], len(order)]):
+            own = order[lo:hi]
+            links = near_links(*_parts([prints[i] for i in own]), threshold)
+            a += [int(node[own[i]]) for i, _ in links]
+            b += [int(node[own[j]]) for _, j in links]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def near_duplicates(prints: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Rows of ``prints`` (doc_id, fingerprint, ...) with component_id, the smallest doc_id that links reach.
+
+    Equal fingerprints are one class. Classes that agree on all sampled digits of a band, at a scale they share, may be
+    near; a likeness of at least ``threshold`` links them (one at the threshold is missed by all bands with probability
+    MISS). Components of more than BLOCK classes are compared in pairs of blocks. Null doc_ids or fingerprints link with
+    nothing and have their doc_id as component_id; an empty table gives an empty one.
+    """
+    spark = prints.sparkSession
+    prints = prints.withColumns({"_d1": F.xxhash64("fingerprint"), "_d2": F.xxhash64("fingerprint", F.lit(1))})
+    real = prints.where("doc_id is not null and fingerprint is not null")
+    classes = real.groupBy("_d1", "_d2").agg(F.min("doc_id").alias("least"), F.min("fingerprint").alias("fingerprint"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "print-classes")
+    width, bands = band_shape(classes.count(), threshold)
+    bits = bucket_bits(spark, 2)
+    dealt = classes.select("node", "fingerprint").mapInArrow(_band_pass(width, bands, bits), "bucket int, keys binary, nodes binary")
+    met = written(dealt.groupBy("bucket").applyInArrow(_chains, "a long, b long"), "print-chains")
+    member = components(met).withColumnRenamed("component", "comp")
+    placed = member.join(member.groupBy("comp").count(), "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = F.col("blocks") > 1
+    bins = max(1, math.ceil(member.count() / BLOCK), 2 * spark.sparkContext.defaultParallelism)
+    pair = (F.least("part", "other"), F.greatest("part", "other"))
+    placed = placed.select("node", "comp", F.when(large, F.xxhash64("comp", *pair)).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("cell"))
+    cells = placed.join(classes.select("node", "fingerprint"), "node")
+    links = written(cells.groupBy("cell").applyInArrow(_verify(threshold), "a long, b long"), "print-links")
+    joined = components(links).join(classes.select("node", "least"), "node")
+    found = joined.join(joined.groupBy("component").agg(F.min("least").alias("_found")), "component").select("node", "_found")
+    known = classes.join(found, "node", "left").select("_d1", "_d2", F.coalesce("_found", "least").alias("_found"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_found", "doc_id"))
+    return prints.join(known, ["_d1", "_d2"], "left").withColumn("component_id", component).drop("_d1", "_d2", "_found")
 
 
 def op6_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    prints = written(edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
+    return near_duplicates(prints)

@@ -41,7 +41,7 @@ from chronolith.llm.common import (
     words_of,
     written,
 )
-from chronolith.llm.components import components
+from chronolith.llm.components import components, forest
 
 BLOCK = 1 << 20  # n-grams of the sets that meet in a task
 CHUNK = 1 << 20
@@ -202,28 +202,12 @@ def _chains(percent):
         g, d, n = g[order], d[order], n[order]
         chained = np.flatnonzero((g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:]))
         names, ends = np.unique(np.r_[d[chained], d[chained + 1]], return_inverse=True)
-        links = _forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
+        links = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
         yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], _L) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _forest(links: np.ndarray, n: int) -> np.ndarray:
-    """Those of ``links`` between numbers below ``n`` that join what wasn't joined before."""
-    parent, keep = list(range(n)), []
-    for k, (a, b) in enumerate(links.tolist()):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        while parent[b] != b:
-            parent[b] = parent[parent[b]]
-            b = parent[b]
-        if a != b:
-            parent[b] = a
-            keep.append(k)
-    return links[keep].reshape(-1, 2)
-
-
 def _tokens_pass(width):
     def run(batches):
         for batch in batches:

@@ -67,10 +67,55 @@ def test_edges_and_near_duplicates(spark):
     rows = [(10 * i + j, b if j == 0 else b[: 200 * j] + "#" + b[200 * j :]) for i, b in enumerate(base) for j in range(6)]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, part int").repartition(3)
     check(rows, edit_fingerprints(df).collect())
-    got = {r.doc_id: r.component_id for r in near_duplicates(fingerprint_texts(df), 0.4).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(fingerprint_texts(df), 0.4).select("doc_id", "component_id").collect()}
     assert all(v // 10 == d // 10 for d, v in got.items())
     assert sum(v == d // 10 * 10 for d, v in got.items()) >= 20
     odd = spark.createDataFrame([(1, "same"), (1, "same"), (None, None), (2, "")], "doc_id long, text string")
     assert edit_fingerprints(odd).count() == 4
     assert edit_fingerprints(odd.limit(0)).count() == 0
     assert near_duplicates(fingerprint_texts(odd.limit(0))).count() == 0
+
+
+def reached(prints, links):
+    """{doc_id: smallest doc_id that links reach}, by brute force."""
+    least = {d: d for d in prints}
+    for _ in prints:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_recall_at_the_default_threshold(spark, monkeypatch):
+    """All pairs by brute force; once in one block, once in many."""
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefghij é中") for _ in range(n))
+    texts = []
+    for _ in range(40):
+        base = word(rnd.randrange(100, 1500))
+        for _ in range(8):
+            t = base
+            for _ in range(rnd.randrange(0, 4)):
+                at = rnd.randrange(len(t))
+                t = t[:at] + rnd.choice(["", "x", "yz"]) + t[at + rnd.randrange(0, 2) :]
+            texts.append(t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = fingerprints(texts)
+    links = [(i, j) for i in range(len(texts)) for j, near in enumerate(likeness([prints[i]] * i, prints[:i])) if near >= 0.75]
+    want = reached(range(len(texts)), links)
+    for block in (2048, 40):
+        monkeypatch.setattr("chronolith.llm.edit_fingerprint.BLOCK", block)
+        got = {r.doc_id: r.component_id for r in near_duplicates(fingerprint_texts(df)).collect()}
+        kept = sum(got[a] == got[b] for a, b in links)
+        assert len(links) > 150 and kept >= 0.97 * len(links)
+        assert all(want[d] == want[c] for d, c in got.items())  # nothing is linked that isn't near
+
+
+def test_a_doc_id_that_most_rows_share(spark):
+    """Rows of one doc_id, or of none, follow each other by hash through several ranges, each with one next document."""
+    rnd = random.Random(13)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i} " + "".join(rnd.choice("abc ") for _ in range(90))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = sorted((d or 0, hashlib.sha256(edited(t, order[i - 1][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in edit_fingerprints(df).collect()) == want
