@@ -24,14 +24,22 @@ def validate(df: DataFrame, spec: Series) -> None:
         raise OrderError(f"{len(bad)} or more rows out of order, such as {bad[0].asDict()}")
 
 
-def write(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> None:
-    """Ordered files in one folder a segment. Ranges of (segment, key, time) spread a hot key over many tasks."""
+def _ranged(df: DataFrame, spec: Series, segments: Segments) -> DataFrame:
+    """Rows with their ``segment``, ordered in ranges of (segment, key, time), which spread a hot key over many tasks."""
     low, _ = segments.columns(F.col(spec.end))
     rows = spec.rows(df).withColumn("segment", F.date_format(low, "yyyy-MM-dd'T'HHmmss"))
-    ranged = rows.repartitionByRange("segment", spec.key, spec.end).sortWithinPartitions("segment", spec.key, spec.end, spec.seq)
+    return rows.repartitionByRange("segment", spec.key, spec.end).sortWithinPartitions("segment", spec.key, spec.end, spec.seq)
+
+
+def _save(ranged: DataFrame, path: str, mode: str) -> None:
     ranged.write.mode(mode).partitionBy("segment").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
 
 
+def write(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> None:
+    """Ordered files in one folder a segment."""
+    _save(_ranged(df, spec, segments), path, mode)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -68,9 +76,9 @@ def until(df: DataFrame, spec: Series, limit) -> DataFrame:
 
 def write_counted(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> dict:
     """``write``, and what it wrote: rows, first and last time, counted while writing."""
-    seen = Observation()
-    counted = spec.rows(df).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
-    write(counted, spec, segments, path, mode)
+    seen = Observation()  # behind the ranges, as finding their bounds reads the rows, too
+    counted = _ranged(df, spec, segments).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
+    _save(counted, path, mode)
     return seen.get
 
 
