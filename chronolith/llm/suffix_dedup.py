@@ -1,27 +1,25 @@
-"""Removal of repeated byte strings by blockwise suffix sorting with a difference cover.
-
-Every suffix is judged by its first ``width`` bytes, which count as equal if two independent 64-bit fingerprints are: at
-10**13 windows a wrong tie is expected once in 10**12 runs. The steps:
-
-1. *Cover sample.* Positions whose remainder modulo 57 lies in a perfect difference cover are sampled. For any two
-   positions there is an offset below 57 at which both are sampled, so two equal strings of 100 bytes share an equal
-   44-byte string at that sample. A second, sparser sample is taken where the next 16 bytes say so; equal strings have
-   all of it in common. Sample strings are ranked bucket by bucket into "occurs once" and "occurs again"; the verdicts
-   go into a table of fixed size. In the same pass the text is cut where its content says so, and a cut
-   piece (with the bytes that its last window needs) that equals an earlier one is settled whole: long ties, as of
-   copied documents, never reach the sort.
-2. *Buckets.* A suffix can tie over ``width`` bytes only if a cover sample and all of the second sample within them
-   occur again. Those suffixes
-   alone are sorted, one bucket of key range at a time, by the 128-bit fingerprint of the first ``width`` bytes and then
-   position; all but the first of a tie are repeats. Within a map task ties are resolved before the shuffle.
+"""Removal of repeated byte strings by blockwise sorting of cover-sample suffixes.
+
+A string of ``width`` bytes is a repeat if it also starts earlier. The steps:
+
+1. *Filter.* Positions whose remainder modulo 57 lies in a perfect difference cover are sampled. For any two positions
+   there is an offset below 57 at which both are sampled, so two equal strings of 100 bytes hold an equal 44-byte sample
+   at an offset that they share. A second, sparser sample is taken where the next 16 bytes say so; equal strings have all
+   of it in common. Hashes of sample strings, dealt by bucket, tell which occur again; these verdicts go into a table of
+   bits. In the same pass the text is cut where its content says so, and a cut piece (with the bytes that its last window
+   needs) that equals an earlier one, by two independent 64-bit hashes, is settled whole: copied documents end here.
+2. *Buckets.* A window can be a repeat only if a cover sample and all of the second sample within it occur again. The
+   cover samples of such windows are dealt out with the 56 bytes before and after them. One bucket at a time, samples are
+   sorted by their bytes, which ranks them; occurrences of one rank are sorted by the bytes before, read backwards, and by
+   the bytes after. Two windows that hold samples of one rank at offset k are equal if k bytes before and 56 - k bytes
+   after agree: for each k, all but the first of such a group are repeats. So every tie is settled by bytes, and none is
+   longer than a rank and 56 bytes. Within a map task the same is done before the shuffle, and an occurrence that comes
+   first at no offset stays there.
 3. The repeats of each document are merged to runs and cut out.
 
-The order of the buckets is that of fingerprints, not of bytes, and a cover sample's rank is only whether it occurs again:
-the ranks that would settle long ties by bytes need the first 57 bytes and eight ranks of every suffix in the shuffle.
-
 Memory: a task holds one bucket, or 3 to 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
 verdicts has a bit for two bytes of text, and 2**MOST_BITS at most, so that it can be broadcast (128 MB); if it fills up,
-more suffixes are sorted and results stay the same.
+more samples are sorted and results stay the same.
 """
 
 from __future__ import annotations
@@ -40,6 +38,7 @@ from chronolith.llm.common import (
     cat,
     chunks_of,
     grouped,
+    mapped,
     mix,
     numbered,
     planes,
@@ -53,22 +52,23 @@ COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 SPARSE = 32  # bytes of a string of the second sample
 MOST_BITS = 30
 CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 8 << 20, 3 << 20, 4 << 20
+REACH = COVER_MOD - 1
 _COVERED = np.zeros(COVER_MOD, bool)
 _COVERED[list(COVER)] = True
 U64 = np.uint64
 
 MARKS = "dbucket int, docs binary, counts binary, lo binary, hi binary"
 FOUND = "bucket int, samples binary, again binary, skey binary, skey2 binary, sdoc binary, slo binary, slen binary"
-SORTED = "bucket int, kind int, key binary, key2 binary, docs binary, counts binary, lo binary, hi binary"
+SORTED = "bucket int, kind int, around binary, before binary, after binary, docs binary, counts binary, lo binary, hi binary"
 
 
 class _Chunk:
     """Some whole texts, or one piece of a long one, with the positions that the steps need."""
 
     def __init__(self, data, offsets, docs, base, width):
-        self.docs, self.offsets, self.width, self.sample = docs, offsets, width, width - COVER_MOD + 1
+        self.data, self.docs, self.offsets, self.width, self.sample = data, docs, offsets, width, width - COVER_MOD + 1
         self.lens = np.diff(offsets)
-        self.roll, self.second = Rolling(data), Rolling(data, 1)
+        self.roll = Rolling(data)
         n = len(data)
         self.at = np.arange(n) - np.repeat(offsets[:-1], self.lens) + base  # position within the document
         left = np.repeat(offsets[1:], self.lens) - np.arange(n)
@@ -86,6 +86,16 @@ class _Chunk:
     def row_of(self, positions):
         return np.searchsorted(self.offsets, positions, "right") - 1
 
+    def around(self, positions):
+        """(matrix of samples with REACH bytes on either side, how many of these lie in the text before and after)."""
+        row = self.row_of(positions)
+        before = np.minimum(REACH, positions - self.offsets[row])
+        after = np.minimum(REACH, self.offsets[row + 1] - positions - self.sample)
+        wide = np.zeros(len(self.data) + 2 * REACH + self.sample, np.uint8)
+        wide[REACH : REACH + len(self.data)] = self.data
+        shown = np.lib.stride_tricks.sliding_window_view(wide, 2 * REACH + self.sample)[positions]
+        return shown, before.astype(np.uint8), after.astype(np.uint8)
+
     def segments(self):
         """(start, end) of runs of window starts between cuts that depend on the next 16 bytes alone."""
         n = len(self.ok)
@@ -172,7 +182,7 @@ def _cover_pass(bits, width):
                 start, end = chunk.segments()
                 if len(start):
                     got["k"].append(chunk.roll.span(start, end + width - 1))
-                    got["k2"].append(chunk.second.span(start, end + width - 1))
+                    got["k2"].append(Rolling(chunk.data, 1).span(start, end + width - 1))
                     got["d"].append(chunk.docs[chunk.row_of(start)])
                     got["s"].append(chunk.at[start])
                     got["n"].append(end - start)
@@ -252,49 +262,96 @@ def _merge_marks(key, batches):
     yield _batch(rows, ["doc_id", "lo", "hi"], [_L, _B, _B])
 
 
+def _nested(rank, strings):
+    """A function of a depth: numbers that are equal for equal ``rank`` and equal first bytes of ``strings`` to that depth."""
+    whole = np.empty((len(rank), 4 + strings.shape[1]), np.uint8)
+    whole[:, :4] = rank.astype(">u4").view(np.uint8).reshape(-1, 4)
+    whole[:, 4:] = strings
+    order = np.argsort(whole.view(f"S{whole.shape[1]}").ravel(), kind="stable")
+    differ = whole[order[1:]] != whole[order[:-1]]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), whole.shape[1]) - 4  # negative between ranks
+
+    def numbers(depth):
+        out = np.empty(len(rank), np.int64)
+        out[order] = np.cumsum(np.r_[0, shared < depth])
+        return out
+
+    return numbers
+
+
+def settle(shown, before, after, doc, pos, sample):
+    """(runs of repeated windows as doc, lo, hi; which occurrences come first at some offset).
+
+    ``shown`` holds samples with REACH bytes on either side, of which ``before`` and ``after`` are text.
+    """
+    text = np.ascontiguousarray(shown[:, REACH : REACH + sample]).view(f"S{sample}").ravel()
+    order = np.argsort(text, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.r_[True, text[order[1:]] != text[order[:-1]]])[: len(order)]
+    leads = np.bincount(rank, minlength=1)[rank] == 1
+    some = np.flatnonzero(~leads)
+    some = some[np.lexsort((pos[some], doc[some]))]  # so that of equals the first comes first
+    if not len(some):
+        return (doc[:0], pos[:0], pos[:0]), leads
+    rank, d, p, before, after = rank[some], doc[some], pos[some], before[some].astype(np.int64), after[some].astype(np.int64)
+    left, right = _nested(rank, shown[some, REACH - 1 :: -1]), _nested(rank, shown[some, REACH + sample :])
+    repeat = np.zeros((len(some), REACH + 3), np.int8)
+    for k in range(REACH + 1):
+        here = np.flatnonzero((before >= k) & (after >= REACH - k))
+        if len(here):
+            _, at, group = np.unique(left(k)[here] * len(some) + right(REACH - k)[here], return_index=True, return_inverse=True)
+            first = here[at][group]
+            later = (d[here] != d[first]) | (p[here] != p[first])
+            repeat[here, k + 1] = later
+            leads[some[here[~later]]] = True
+    step = np.diff(repeat, axis=1)
+    who, low = np.nonzero(step == 1)
+    _, high = np.nonzero(step == -1)
+    return (d[who], p[who] - high + 1, p[who] - low + 1), leads
+
+
 def _sort_pass(bits, dbits, width, verdicts):
+    names = ["bucket", "kind", "around", "before", "after", "docs", "counts", "lo", "hi"]
+
     def run(batches):
         table = np.frombuffer(verdicts.value, np.uint8)
         filter_bits = int(len(table) * 8).bit_length() - 1
-        key, key2, doc, pos = [], [], [], []
+        got = [[] for _ in range(6)]
         for chunk, batch, row in _chunks(batches, width, sort=True):
             if chunk is not None:
                 n = len(chunk.ok)
-                till = _till(chunk.cover[_again(table, filter_bits, chunk.cover_keys)], n + width)
+                again = _again(table, filter_bits, chunk.cover_keys)
+                till = _till(chunk.cover[again], n + width)
                 may = chunk.ok & (till[COVER_MOD : COVER_MOD + n] > till[:n])
                 till = _till(chunk.sparse[~_again(table, filter_bits, chunk.sparse_keys)], n + width)
                 reach = width - SPARSE + 1
                 may &= till[reach : reach + n] == till[:n]
                 del till
                 _unset(may, chunk, batch, row)
-                here = np.flatnonzero(may)
-                key.append(chunk.roll.span(here, here + width))
-                key2.append(chunk.second.span(here, here + width))
-                doc.append(chunk.docs[chunk.row_of(here)])
-                pos.append(chunk.at[here])
+                # samples that occur again and lie in such a window at an offset of at most REACH
+                till = _till(np.flatnonzero(may), n + 1)
+                again &= till[chunk.cover + 1] > till[np.maximum(chunk.cover - REACH, 0)]
+                here = chunk.cover[again]
+                for to, part in zip(got, (chunk.cover_keys[again], *chunk.around(here), chunk.docs[chunk.row_of(here)], chunk.at[here])):
+                    to.append(part)
                 continue
-            k, k2, d, p = cat(key, U64), cat(key2, U64), cat(doc, np.int64), cat(pos, np.int64)
-            key, key2, doc, pos = [], [], [], []
-            if not len(k):
+            if not sum(map(len, got[0])):
+                got = [[] for _ in range(6)]
                 continue
-            order, ks, kb = _split(k, bits)
-            k2, d, p = k2[order], d[order], p[order]
-            del k, order
-            first = np.r_[True, (ks[1:] != ks[:-1]) | (k2[1:] != k2[:-1])]
-            leader = np.maximum.accumulate(np.where(first, np.arange(len(ks), dtype=np.int32), 0))
-            later = (d != d[leader]) | (p != p[leader])
-            del leader
-            rows = [(m[0], 1, None, None, *m[1:]) for m in _join_runs(d[later], p[later], dbits)]
-            edges = np.r_[0, kb, len(ks)]
-            for n in range(1 << bits):
-                lo, hi = edges[n], edges[n + 1]
-                keep = first[lo:hi]
-                kk, kk2, dd, pp = ks[lo:hi][keep], k2[lo:hi][keep], d[lo:hi][keep], p[lo:hi][keep]
-                if len(kk):
-                    order = np.lexsort((pp, dd))
-                    s, t = _runs(dd[order])
-                    rows.append((n, 0, planes(kk[order]), planes(kk2[order]), planes(dd[order][s]), planes((t - s).astype(np.uint32)), planes(pp[order].astype(np.uint32)), None))
-            yield _batch(rows, ["bucket", "kind", "key", "key2", "docs", "counts", "lo", "hi"], [_I, _I, *[_B] * 6])
+            key, shown, before, after, d, p = (np.concatenate(g) for g in got)
+            got = [[] for _ in range(6)]
+            repeats, leads = settle(shown, before, after, d, p, width - COVER_MOD + 1)
+            rows = [(m[0], 1, None, None, None, *m[1:]) for m in _pack_marks(*repeats, dbits)] if len(repeats[0]) else []
+            leads = np.flatnonzero(leads)
+            order, _, edges = _split(key[leads], bits)
+            order = leads[order]
+            for n, (lo, hi) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(order)])):
+                if hi > lo:
+                    own = order[lo:hi]
+                    own = own[np.lexsort((p[own], d[own]))]
+                    s, t = _runs(d[own])
+                    rows.append((n, 0, shown[own].tobytes(), before[own].tobytes(), after[own].tobytes(), planes(d[own][s]), planes((t - s).astype(np.uint32)), planes(p[own].astype(np.uint32)), None))
+            yield _batch(rows, names, [_I, _I, *[_B] * 7])
 
     return run
 
@@ -325,39 +382,27 @@ def _unset(may, chunk, batch, row):
                     may[o + lo : o + hi] = False
 
 
-def _join_runs(d, p, dbits):
-    """Single window starts as runs, packed."""
-    if not len(d):
-        return
-    order = np.lexsort((p, d))
-    d, p = d[order], p[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)]
-    lo, hi = p[new], p[np.r_[new[1:], True]] + 1
-    yield from _pack_marks(d[new], lo, hi, dbits)
-
-
-def _sort_bucket(dbits):
-    """One bucket of suffixes, sorted: all but the first of a tie are marked."""
+def _sort_bucket(dbits, width):
+    """One bucket of cover samples, sorted: marks of the windows that repeat earlier ones."""
+    sample = width - COVER_MOD + 1
 
     @grouped
     def run(key, batches):
-        k, k2, d, p, rows = [], [], [], [], []
+        shown, before, after, d, p, rows = [], [], [], [], [], []
         for t in batches:
             for r in t.to_pylist():
                 if r["kind"]:
                     rows.append((r["bucket"], r["docs"], r["counts"], r["lo"], r["hi"]))
                 else:
-                    k.append(unplanes(r["key"], U64))
-                    k2.append(unplanes(r["key2"], U64))
+                    shown.append(np.frombuffer(r["around"], np.uint8))
+                    before.append(np.frombuffer(r["before"], np.uint8))
+                    after.append(np.frombuffer(r["after"], np.uint8))
                     d.append(np.repeat(unplanes(r["docs"], np.int64), unplanes(r["counts"], np.uint32)))
                     p.append(unplanes(r["lo"], np.uint32))
-        k, k2, d, p = cat(k, U64), cat(k2, U64), cat(d, np.int64), cat(p, np.uint32).astype(np.int64)
-        order = np.lexsort((p, d, k2, k))
-        k, k2, d, p = k[order], k2[order], d[order], p[order]
-        a, b = _runs(k, k2)
-        first = np.repeat(a, b - a)
-        later = (d != d[first]) | (p != p[first])
-        rows += _join_runs(d[later], p[later], dbits)
+        if shown:
+            shown = cat(shown, np.uint8).reshape(-1, 2 * REACH + sample)
+            repeats, _ = settle(shown, cat(before, np.uint8), cat(after, np.uint8), cat(d, np.int64), cat(p, np.uint32).astype(np.int64), sample)
+            rows += list(_pack_marks(*repeats, dbits)) if len(repeats[0]) else []
         yield _batch(rows, ["dbucket", "docs", "counts", "lo", "hi"], [_I, *[_B] * 4])
 
     return run
@@ -423,7 +468,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     filter_bits = min(MOST_BITS, max(22, (total // 2).bit_length()))
     bits, dbits = min(bucket_bits(spark, 2), filter_bits - 6), bucket_bits(spark, 1)
-    found = docs.mapInArrow(_cover_pass(bits, width), FOUND)
+    found = docs.mapInArrow(mapped(_cover_pass(bits, width)), FOUND)
     step1 = written(found.groupBy("bucket").applyInArrow(_cover_bucket(bits, dbits, filter_bits), MARKS), "suffix-cover")
     slices = step1.where("counts is null").select("dbucket", "docs").toPandas()  # 2**MOST_BITS bits at most in all, compressed
     size = (1 << (filter_bits - bits)) >> 3
@@ -435,11 +480,11 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     marked = step1.where("counts is not null")
     merged = "doc_id long, lo binary, hi binary"
     early = written(marked.groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-early")
-    ordered = _with_marks(docs, early).mapInArrow(_sort_pass(bits, dbits, width, verdicts), SORTED)
-    step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits), MARKS)
+    ordered = _with_marks(docs, early).mapInArrow(mapped(_sort_pass(bits, dbits, width, verdicts)), SORTED)
+    step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits, width), MARKS)
     marks = written(marked.unionByName(step2).groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-marks")
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[2:-1])
-    return _with_marks(whole, marks).mapInArrow(_cut(width), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary" + more)
+    return _with_marks(whole, marks).mapInArrow(mapped(_cut(width)), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary" + more)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from chronolith.llm.suffix_dedup import op4_suffix_dedup, suffix_dedup
+from chronolith.llm.suffix_dedup import PIECE, _Chunk, op4_suffix_dedup, settle, suffix_dedup
 
 
 def brute(rows, width=100):
@@ -66,3 +69,41 @@ def test_texts_without_or_with_one_doc_id_are_apart(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
         got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.starts), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup(df).collect()]
         assert sorted(map(str, got)) == sorted(str((d, *want[i])) for i, (d, _) in enumerate(ordered))
+
+
+def test_a_text_of_several_pieces(spark):
+    """A text over PIECE bytes, with repeats over the ends of pieces, and null bytes."""
+    rnd = random.Random(21)
+    long = bytearray(rnd.randbytes(PIECE + 300_000).translate(bytes(range(97, 113)) * 16))
+    long[PIECE - 700 : PIECE + 500] = long[1000:2200]
+    long[PIECE - 40_000 : PIECE - 39_800] = b"\0" * 200
+    rows = [(1, long.decode()), (2, "q" + long[PIECE - 300 : PIECE + 200].decode() + "q"), (3, "q" * 99), (4, "\0" * 150)]
+    got = {r.doc_id: (r.n_removed, list(zip(r.starts, r.ends))) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = PIECE - 700, PIECE + 500
+    while long[a - 1] == long[1000 - (PIECE - 700 - a) - 1]:
+        a -= 1
+    while long[b] == long[2200 + b - PIECE - 500]:
+        b += 1
+    nulls = (PIECE - 40_000 + 1, PIECE - 39_800)  # the second of the equal strings on
+    assert got[1] == (b - a + 199, sorted([(a, b), nulls]))
+    assert got[2] == (500, [(1, 501)]) and got[3] == (0, []) and got[4] == (150, [(0, 150)])
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 330), st.binary(max_size=120)), min_size=2, max_size=7), st.sampled_from([b"ab", b"abcdefgh", b"\0x"]), st.integers(0, 999))
+def test_samples_settle_every_tie(parts, letters, seed):
+    rnd = random.Random(seed)
+    base = bytes(rnd.choice(letters) for _ in range(420))
+    docs = [more[: len(more) // 2] + base[at : at + n] + more[len(more) // 2 :] for at, n, more in parts]
+    data = np.frombuffer(b"".join(docs), np.uint8)
+    chunk = _Chunk(data, np.cumsum([0, *map(len, docs)]), np.arange(len(docs)), 0, 100)
+    (doc, lo, hi), leads = settle(*chunk.around(chunk.cover), chunk.docs[chunk.row_of(chunk.cover)], chunk.at[chunk.cover], 44)
+    seen, want = set(), set()
+    for i, text in enumerate(docs):
+        for p in range(len(text) - 99):
+            if text[p : p + 100] in seen:
+                want.add((i, p))
+            seen.add(text[p : p + 100])
+    assert {(int(d), p) for d, a, b in zip(doc, lo, hi) for p in range(a, b)} == want
+    # occurrences that come first nowhere may stay away: what the others tell is the same to a text that comes later
+    assert leads.any() or not len(leads)
