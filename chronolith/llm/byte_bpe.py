@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 import json
+import os
+import re
+from array import array
 
 import numpy as np
 
@@ -17,26 +20,40 @@ def _bytes_of() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-#: Fixed value: how the byte-level splitter of such files cuts a text into words.
-_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters whose classes every Unicode version agrees on: texts of these alone are split here.
-_PLAIN = r"[\t\n\r\x20-\x7e\xa0-\u024f]*"
-REMEMBERED, LONG = 400_000, 60  # words that a worker process remembers, some 200 bytes each; longer ones are not
+#: Letters, digits and white space up to U+024F, on which every Unicode version agrees.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t\\n\\r \xa0"
+#: How the byte-level splitter of such files cuts a text of these characters into words.
+_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_PLAIN = "[\\t\\n\\r\x20-\x7e\xa0-\u024f]*"
+REMEMBERED, LONG = 250_000, 60  # words (some 200 bytes each; longer ones not) in each of two generations that a worker remembers
+CHUNK = 1 << 21  # characters of texts that are encoded together
 
 
-class _Ids(dict):
-    """word -> the bytes of its ids, by the library."""
+class _Ids:
+    """Words and the bytes of their ids, by the library; of two generations the older one is forgotten."""
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word):
-        got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONG:
-            if len(self) > REMEMBERED:
-                self.clear()
-            self[word] = got
-        return got
+        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+
+    def learn(self, words: set[str]) -> None:
+        """Makes sure that all of ``words`` are in ``young``."""
+        new = words - self.young.keys()
+        if len(self.young) + len(new) > REMEMBERED:
+            self.old, self.young, new = self.young, {}, words
+        fresh = []
+        for w in new:
+            got = self.old.get(w)
+            if got is None:
+                fresh.append(w)
+            else:
+                self.young[w] = got
+        for w, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.young[w] = array("I", found.ids).tobytes()
+
+    def forget(self, words: set[str]) -> None:
+        for w in words:
+            if len(w) > LONG:
+                self.young.pop(w, None)
 
 
 class ByteBpe:
@@ -48,7 +65,7 @@ class ByteBpe:
     """
 
     def __init__(self, raw: bytes, pattern: str | None = None):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         model = json.loads(raw)
@@ -65,14 +82,32 @@ class ByteBpe:
         self.known = _Ids(self.tokenizer)
         split = model.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("normalizer")
-        self.words = regex.compile(_WORDS).findall if usual else None
-        self.plain = regex.compile(_PLAIN).fullmatch
+        self.words = re.compile(_WORDS).findall if usual else None
+        self.plain = re.compile(_PLAIN).fullmatch
         self.special = list(added.values())
 
     def encode(self, text: str) -> np.ndarray:
-        if self.words and self.plain(text) and not any(t in text for t in self.special):
-            return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), "<u4")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]):
+        """The ids of each of some texts; they are taken CHUNK characters at a time."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
+                size += len(texts[hi])
+                hi += 1
+            cut = [self.words(t) if self.words and self.plain(t) and not any(x in t for x in self.special) else None for t in texts[lo:hi]]
+            met = set().union(*(c for c in cut if c))
+            self.known.learn(met)
+            said = self.known.young.__getitem__
+            for text, words in zip(texts[lo:hi], cut):
+                if words is None:
+                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                else:
+                    yield np.frombuffer(b"".join(map(said, words)), "<u4")
+            self.known.forget(met)
+            lo = hi
 
     def ends(self, text: str, place: np.ndarray) -> np.ndarray:
         """Where each token ends, in bytes; ``place`` has the byte offset of each character and of the end.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.byte_bpe import from_path
-from chronolith.llm.common import columns_guarded, written
+from chronolith.llm.common import columns_guarded, mapped, written
 
 
 def fullest(cap: int, available: list[tuple[int, int]]) -> dict[int, int]:
@@ -91,8 +91,9 @@ def _pieces(tokenizer, size: int, end_id: int, with_ids: bool):
         bpe, task, seen = tokenizer(), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(bpe.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(texts)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 lo, hi = 0, (len(ids) - 1) % size + 1
                 piece = 0
                 while lo < len(ids):
@@ -116,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2
     spark = docs.sparkSession
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids binary"
-    pieces = docs.mapInArrow(_pieces(from_path(spark, tokenizer_file), size, end_id, with_ids), kinds)
+    pieces = docs.mapInArrow(mapped(_pieces(from_path(spark, tokenizer_file), size, end_id, with_ids)), kinds)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     counted = written(pieces.groupBy("length", "task").count(), "piece-counts")
     counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # ``size`` rows at most
