@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 import zlib
@@ -128,11 +130,29 @@ def grouped(make):
     """For applyInArrow: ``make(key, [table])`` yields record batches, at least one."""
 
     def run(key, table):
-        return pa.Table.from_batches(list(make(key, [table])))
+        out = pa.Table.from_batches(list(make(key, [table])))
+        give_back()
+        return out
 
     return run
 
 
+def mapped(make):
+    """For mapInArrow: ``make(batches)``, and then freed memory goes back to the system."""
+
+    def run(batches):
+        yield from make(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Workers are used again by later stages; what the allocator keeps after large arrays would add up in an executor."""
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- hashing
 
 #: Bases of rolling hashes: odd, so they have inverses modulo 2**64.

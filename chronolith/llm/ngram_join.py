@@ -31,6 +31,7 @@ from chronolith.llm.common import (
     chunks_of,
     columns_guarded,
     grouped,
+    mapped,
     mix,
     numbered,
     planes,
@@ -415,7 +416,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = numbered(columns_guarded(docs, {"doc_id": "long", "text": "string"}))
-    rows = written(docs.select("number", "text", "doc_id").mapInArrow(_digest_pass(width), "doc_id long, number long, n long, d1 long, d2 long"), "ngram-digests")
+    rows = written(docs.select("number", "text", "doc_id").mapInArrow(mapped(_digest_pass(width)), "doc_id long, number long, n long, d1 long, d2 long"), "ngram-digests")
     real = rows.where("n > 0 and doc_id is not null")
     classes = written(real.groupBy("n", "d1", "d2").agg(F.min("number").alias("rep"), F.min("doc_id").alias("least")), "ngram-classes")
     # a row goes on if it is its set's first: copies are left out by number
@@ -424,14 +425,14 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     if not real.groupBy("number").count().where("count > 1").isEmpty():  # equal rows would stand for two documents
         reps = reps.dropDuplicates(["number"])
     bits, dbits = bucket_bits(spark, 2), bucket_bits(spark, 1)
-    keys = reps.mapInArrow(_keys_pass(width, bits), "bucket int, keys binary, docs binary, counts binary, sizes binary")
+    keys = reps.mapInArrow(mapped(_keys_pass(width, bits)), "bucket int, keys binary, docs binary, counts binary, sizes binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys(dbits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
     prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary")
     chains = written(prefixes.groupBy("bucket").applyInArrow(_chains(percent), "a long, b long"), "ngram-chains")
     sized = classes.select(F.col("rep").alias("node"), "n")
     member = written(components(chains).select("node", F.col("component").alias("comp")).join(sized, "node"), "ngram-candidates")
     needed = small_enough(member.select(F.col("node").alias("number")))
-    sets = written(reps.join(needed, "number", "left_semi").mapInArrow(_tokens_pass(width), "node long, grams binary"), "ngram-sets")
+    sets = written(reps.join(needed, "number", "left_semi").mapInArrow(mapped(_tokens_pass(width)), "node long, grams binary"), "ngram-sets")
     linked = components(_in_blocks(member, sets, percent)).select(F.col("node").alias("rep"), "component")
     known = written(classes.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "ngram-known")
     reach = known.groupBy("component").agg(F.min("least").alias("found"))

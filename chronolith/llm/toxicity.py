@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from chronolith.llm.common import bounded_share, chunks_of, columns_guarded, mix, text_buffers, words_of, written
+from chronolith.llm.common import bounded_share, chunks_of, columns_guarded, give_back, mapped, mix, text_buffers, words_of, written
 
 BITS, TRAIN_ROWS, UPDATES = 18, 16_384, 100_000
 ALPHA, BETA, L1, L2 = 10.0, 1.0, 1.5, 0.1
@@ -75,23 +75,26 @@ def ftrl_pass(z: np.ndarray, n: np.ndarray, rows) -> None:
 
 def _train(table: pa.Table) -> pa.Table:
     """Weights from rows (label, nth, slots); the slots stay in Arrow's buffers, so a task holds the sample once."""
-    data, offsets = text_buffers(table.column("slots"))
-    data = data.view(np.int32)
-    offsets = offsets // 4
+    rows = []
+    for part in table.column("slots").chunks:
+        data, offsets = text_buffers(part)
+        rows += np.split(data.view(np.int32), offsets[1:-1] // 4) if len(part) else []
     label, nth = table.column("label").to_numpy(), table.column("nth").to_numpy()
     order = np.lexsort((label, nth))
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(max(6, min(16, UPDATES // len(order)))):
-        ftrl_pass(z, n, ((label[i], data[offsets[i] : offsets[i + 1]]) for i in order))
+        ftrl_pass(z, n, ((label[i], rows[i]) for i in order))
     w = weights_of(z, n)
     at = np.flatnonzero(w)
+    del rows
+    give_back()
     return pa.table({"slot": pa.array(at, pa.int32()), "weight": pa.array(w[at])})
 
 
 def fit(labelled: DataFrame) -> np.ndarray | None:
     """Weights learnt from ``labelled`` (doc_id, text, label 0/1), a bounded sample; None if it is empty."""
     rows = labelled.select(F.col("label").cast("double"), "text", F.xxhash64("doc_id", "text").alias("nth"))
-    data = written(rows.mapInArrow(_feature_pass, "label double, nth long, slots binary"), "toxic-features")
+    data = written(rows.mapInArrow(mapped(_feature_pass), "label double, nth long, slots binary"), "toxic-features")
     if data.isEmpty():
         return None
     learnt = data.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_train, "slot int, weight double").toPandas()  # 2**BITS rows at most
@@ -126,7 +129,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     w = weights if weights is not None else np.zeros(1)
     at = np.flatnonzero(w[:-1])
     shared = docs.sparkSession.sparkContext.broadcast((at, w[at], float(w[-1]), weights is not None))
-    return docs.mapInArrow(_score_pass(shared), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(mapped(_score_pass(shared)), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id"):
