@@ -7,7 +7,6 @@ may be null or repeated.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +63,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 100 bytes that occurred before; bytes of characters that a cut split go, too."""
     out = suffix_dedup(docs, carry=("lang", "source"))
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = out.withColumn("text", decoded("kept"))
-    return out.select("doc_id", "text", F.col("carried_lang").alias("lang"), F.col("carried_source").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    return out.select("doc_id", F.col("kept_text").alias("text"), F.col("carried_lang").alias("lang"), F.col("carried_source").alias("source"), F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
