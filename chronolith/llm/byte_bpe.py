@@ -109,13 +109,13 @@ class ByteBpe:
             self.known.forget(met)
             lo = hi
 
-    def ends(self, text: str, place: np.ndarray) -> np.ndarray:
-        """Where each token ends, in bytes; ``place`` has the byte offset of each character and of the end.
+    def ends(self, text: str, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where each of the ``ids`` of a text ends, in bytes; ``place`` has the byte offset of each character and of the end.
 
         The library's offsets are characters, and tokens may split one; so byte lengths are summed up. Added tokens
         may take white space around them, so theirs come from the offsets.
         """
-        ids = self.encode(text).astype(np.int64)
+        ids = ids.astype(np.int64)
         sizes = self.lengths[ids]
         special = np.flatnonzero(self.added[ids])
         if len(special):

@@ -113,7 +113,7 @@ def _keys_pass(width, bits):
                         docs.append(i)
                         sets.append(s)
                         held += len(s)
-                if held > 1_000_000:
+                if held > 600_000:
                     yield flush(docs, sets)
                     docs, sets, held = [], [], 0
         yield flush(docs, sets)

@@ -17,7 +17,7 @@ A string of ``width`` bytes is a repeat if it also starts earlier. The steps:
    first at no offset stays there.
 3. The repeats of each document are merged to runs and cut out.
 
-Memory: a task holds one bucket, or 3 to 8 MB of text at a time; a longer text is taken in overlapping pieces. The table of
+Memory: a task holds one bucket, or 2 to 5 MB of text at a time; a longer text is taken in overlapping pieces. The table of
 verdicts has a bit for two bytes of text, and 2**MOST_BITS at most, so that it can be broadcast (128 MB); if it fills up,
 more samples are sorted and results stay the same.
 """
@@ -51,7 +51,7 @@ COVER_MOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 SPARSE = 32  # bytes of a string of the second sample
 MOST_BITS = 30
-CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 8 << 20, 3 << 20, 4 << 20
+CHUNK, FLUSH, SORT_FLUSH, PIECE = 1 << 19, 5 << 20, 2 << 20, 4 << 20
 REACH = COVER_MOD - 1
 _COVERED = np.zeros(COVER_MOD, bool)
 _COVERED[list(COVER)] = True
@@ -421,7 +421,7 @@ def _cut(width):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            n_bytes, n_removed, starts, ends, kept = [], [], [], [], []
+            n_bytes, n_removed, starts, ends, kept, shown = [], [], [], [], [], []
             for r in range(batch.num_rows):
                 a, b = int(offsets[r]), int(offsets[r + 1])
                 text, lo = data[a:b], batch.column(2)[r]
@@ -437,20 +437,22 @@ def _cut(width):
                 else:
                     lo = hi = np.empty(0, np.int64)
                     kept.append(text.tobytes())
+                shown.append(kept[-1].decode("utf-8", "ignore"))
                 n_bytes.append(b - a)
                 n_removed.append(int((hi - lo).sum()))
                 starts.append(lo)
                 ends.append(hi)
             listed = pa.list_(_L)
             carried = list(zip(batch.schema.names, batch.columns))[4:]
-            columns = [batch.column(0), pa.array(n_bytes, _L), pa.array(n_removed, _L), pa.array(starts, listed), pa.array(ends, listed), pa.array(kept, _B), *[c for _, c in carried]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept", *[n for n, _ in carried]])
+            columns = [batch.column(0), pa.array(n_bytes, _L), pa.array(n_removed, _L), pa.array(starts, listed), pa.array(ends, listed), pa.array(kept, _B), pa.array(shown, pa.string()), *[c for _, c in carried]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept", "kept_text", *[n for n, _ in carried]])
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, starts and ends of the removed runs (bytes), kept (binary).
+    """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, starts and ends of the removed runs (bytes), kept (binary),
+    and kept_text, without the bytes of characters that a cut has split.
 
     A byte goes if a ``width``-byte string that covers it also starts earlier: in a smaller doc_id, or earlier in the
     same document. A null text is empty; a null doc_id comes before all others. Different texts that share a doc_id, and
@@ -484,7 +486,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, carry: tuple[str, ...] = ())
     step2 = ordered.groupBy("bucket").applyInArrow(_sort_bucket(dbits, width), MARKS)
     marks = written(marked.unionByName(step2).groupBy("dbucket").applyInArrow(_merge_marks, merged), "suffix-marks")
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in whole.schema.fields[2:-1])
-    return _with_marks(whole, marks).mapInArrow(mapped(_cut(width)), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary" + more)
+    return _with_marks(whole, marks).mapInArrow(mapped(_cut(width)), "doc_id long, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary, kept_text string" + more)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -56,8 +56,8 @@ def _char_to_byte(raw: np.ndarray) -> np.ndarray:
 def token_counts(docs: DataFrame, tokenizer_file: str, rule: str = "first", sections: str | None = None) -> DataFrame:
     """Per section of a row of ``docs`` (doc_id, text[, sections]): doc_id, section, start, end, n_tokens, n_crossing.
 
-    ``sections`` names an array<struct<start long, end long>> column of character spans, disjoint; spans are cut to the
-    text, and empty or null ones count nothing. Without it sections are the lines, each with its newline. ``section``
+    ``sections`` names an array<struct<start long, end long>> column of character spans, which are cut to the text; one
+    that starts within an earlier one begins where that ends, and empty or null ones are left out. Without it sections are the lines, each with its newline. ``section``
     numbers them in the order of their starts, from 0. Each document also has the row section = -1 for the whole text,
     which is all that a null or empty text has. Rows stay apart when repeated; an empty table gives an empty one.
     """
@@ -72,11 +72,11 @@ def token_counts(docs: DataFrame, tokenizer_file: str, rule: str = "first", sect
         for batch in batches:
             out = [[] for _ in names]
             spans = batch.column(2).to_pylist() if sections else None
-            for r, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                text = text or ""
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for r, (doc, text, ids) in enumerate(zip(batch.column(0).to_pylist(), texts, bpe.encode_all(texts))):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 place = _char_to_byte(raw)
-                ends = bpe.ends(text, place)
+                ends = bpe.ends(text, place, ids)
                 if spans is None:
                     cuts = np.flatnonzero(raw == 10) + 1
                     edges = np.unique(np.r_[0, cuts, len(raw)])
@@ -86,6 +86,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, rule: str = "first", sect
                     n = len(place) - 1
                     fixed = sorted((max(0, s["start"]), min(n, s["end"])) for s in spans[r] or [] if s and s["start"] is not None and s["end"] is not None and s["end"] > s["start"] and s["start"] < n and s["end"] > 0)
                     first, last = (np.array([f[i] for f in fixed], np.int64) for i in (0, 1))
+                    first = np.maximum(first, np.r_[0, np.maximum.accumulate(last)[:-1]]) if len(first) else first
+                    first, last = first[first < last], last[first < last]
                     lo, hi = place[first], place[last]
                 counted, crossing = allocate(ends, lo, hi, rule)
                 for to, value in zip(out, ([doc] * (len(lo) + 1), range(-1, len(lo)), [0, *first.tolist()], [len(place) - 1, *last.tolist()], [len(ends), *counted.tolist()], [0, *crossing.tolist()])):

@@ -88,3 +88,9 @@ def test_special_tokens_and_long_white_space(spark):
         for i, (lo, hi) in enumerate(lines(text)):
             want[doc, i] = sum(lo <= a < hi for a, _ in e.offsets)
     assert {(r.doc_id, r.section): r.n_tokens for r in token_counts(df, PATH).collect()} == want
+
+
+def test_sections_that_overlap(spark):
+    """The part that two sections share belongs to the one that starts first; a section within another is left out."""
+    df = spark.createDataFrame([(4, "abcdefghij", [(3, 9), (0, 6), (2, 4)])], "doc_id long, text string, spans array<struct<start:int,end:int>>")
+    assert sorted((r.section, r.start, r.end) for r in token_counts(df, PATH, "most", "spans").collect()) == [(-1, 0, 10), (0, 0, 6), (1, 6, 9)]
