@@ -235,7 +235,10 @@ def violations(df: DataFrame, spec: Series, chunk: int = 1_000_000) -> DataFrame
     return checked.where((F.col(spec.begin) > F.col(spec.end)) | (F.col(spec.begin) < F.col("previous_end"))).drop("_k", "_b", "_before", "_carried")
 
 
-def series_states(df: DataFrame, spec: Series) -> DataFrame:
-    """Per key: rows, violations, and whether the series is empty or inconsistent."""
+def series_states(df: DataFrame, spec: Series, keys: DataFrame | None = None) -> DataFrame:
+    """Per key (of ``keys``, if given, with or without rows): rows, violations, whether the series is empty or inconsistent."""
     bad = violations(df, spec).groupBy(spec.key).agg(F.count("*").alias("violations"))
-    return counts(df, spec).join(bad, spec.key, "left").select(spec.key, "n", F.coalesce("violations", F.lit(0)).alias("violations"), F.col("violations").isNotNull().alias("inconsistent"))
+    held = counts(df, spec)
+    held = held if keys is None else keys.select(spec.key).distinct().join(held, spec.key, "left")
+    n, wrong = (F.coalesce(c, F.lit(0)) for c in ("n", "violations"))
+    return held.join(bad, spec.key, "left").select(spec.key, n.alias("n"), wrong.alias("violations"), (n == 0).alias("empty"), (wrong > 0).alias("inconsistent"))

@@ -222,9 +222,16 @@ def ts_violations(spark, sf_dir):
     return series.violations(flipped(spark, sf_dir), FLIPPED).select("user_id", "event_id", "ts", "previous_end")
 
 
-@query("ts_states", f"with {VIOLATIONS} select user_id, count(*) as n, count(*) filter (ts < previous_end) as violations, count(*) filter (ts < previous_end) > 0 as inconsistent from v group by user_id")
+@query(
+    "ts_states",
+    f"with {VIOLATIONS}, k as (select distinct user_id from events union select distinct user_id + 100000 from events) "
+    "select k.user_id, count(v.user_id) as n, count(*) filter (ts < previous_end) as violations, count(v.user_id) = 0 as empty, count(*) filter (ts < previous_end) > 0 as inconsistent from k left join v on v.user_id = k.user_id group by k.user_id",
+)
 def ts_states(spark, sf_dir):
-    return series.series_states(flipped(spark, sf_dir), FLIPPED)
+    """Of all users, and of as many that have no rows."""
+    rows = flipped(spark, sf_dir)
+    asked = rows.select("user_id").unionByName(rows.select((F.col("user_id") + 100_000).alias("user_id")))
+    return series.series_states(rows, FLIPPED, asked)
 
 
 @query("ts_delete", "select user_id, ts, event_id, value from events where user_id not in (1, 2, 3)")
