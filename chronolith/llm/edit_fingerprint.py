@@ -29,6 +29,9 @@ from chronolith.llm.components import components, forest
 DIGITS, LOWEST, SEED = 128, 5, 11
 GROUP_CHARS = 6 << 20  # characters of texts whose walks run together
 BLOCK, MISS = 2048, 0.01
+CHANCE = 0.15  # that a digit of two unrelated texts agrees: by its value, or as both stand on a common letter
+#: Shares of a walk that every text of a level, and of the level below, still crosses: only those digits make bands.
+CROSSED = (0.44, 0.22)
 U64 = np.uint64
 _plans: dict[int, tuple[np.ndarray, int]] = {}
 
@@ -208,14 +211,15 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
 def band_shape(n: int, threshold: float) -> tuple[int, int]:
     """(digits of a band, bands) for ``n`` fingerprints: strangers meet about once in all, a likeness at the threshold is missed with MISS."""
-    width = max(4, math.ceil(math.log(max(n, 2)) / math.log(15)) + 1)
+    width = max(4, math.ceil(math.log(max(n, 2)) / -math.log(CHANCE)) + 2)
     share = threshold * 14 / 15 + 1 / 15
     return width, math.ceil(math.log(MISS) / math.log1p(-(share**width)))
 
 
 def _band_pass(width: int, bands: int, bits: int):
     """Rows (node, fingerprint) as one row for each bucket group: band keys and nodes."""
-    drawn = np.random.default_rng(SEED).choice(DIGITS, (bands, width))
+    rnd = np.random.default_rng(SEED)
+    drawn = [np.array([rnd.choice(int(DIGITS * share), width, replace=False) for _ in range(bands)]) for share in CROSSED]
 
     def run(batches):
         for batch in batches:
@@ -225,11 +229,11 @@ def _band_pass(width: int, bands: int, bits: int):
             for scale in (0, 1):
                 base = mix((level + scale).astype(U64) + U64(1))
                 for band in range(bands):
-                    some = digits[:, scale, drawn[band]]
+                    some = digits[:, scale, drawn[scale][band]]
                     h = base + U64(band << 8)
                     for i in range(width):
                         h = mix(h * U64(0x9E3779B97F4A7C15) + some[:, i])
-                    real = np.flatnonzero((some != 48).any(axis=1))
+                    real = np.flatnonzero((some != 48).all(axis=1))
                     keys.append(h[real])
                     who.append(node[real])
             keys, who = cat(keys, U64), cat(who, np.int64)
@@ -300,8 +304,9 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Rows of ``prints`` (doc_id, fingerprint, ...) with component_id, the smallest doc_id that links reach.
 
     Equal fingerprints are one class. Classes that agree on all sampled digits of a band, at a scale they share, may be
-    near; a likeness of at least ``threshold`` links them (one at the threshold is missed by all bands with probability
-    MISS). Components of more than BLOCK classes are compared in pairs of blocks. Null doc_ids or fingerprints link with
+    near; a likeness of at least ``threshold`` links them (one at the threshold, spread evenly over the texts, is missed by
+    all bands with probability MISS). Bands lie in the part of the walk that all texts of a level cross; texts of less
+    than half the lowest level's length link only if their fingerprints are equal. Components of more than BLOCK classes are compared in pairs of blocks. Null doc_ids or fingerprints link with
     nothing and have their doc_id as component_id; an empty table gives an empty one.
     """
     spark = prints.sparkSession
@@ -329,6 +334,11 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.75) -> DataFrame:
     return prints.join(known, ["_d1", "_d2"], "left").withColumn("component_id", component).drop("_d1", "_d2", "_found")
 
 
+def near_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """The banding and its verification over all documents."""
+    prints = written(fingerprint_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
+    return near_duplicates(prints).select("doc_id", "n_chars", "component_id")
+
+
 def op6_edit_fingerprints(spark, sf_dir: str) -> DataFrame:
-    prints = written(edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
-    return near_duplicates(prints)
+    return edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -13,6 +13,7 @@ def queries():
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_importance_resampling": quality.op5_importance_resampling,
         "op6_edit_fingerprints": edit_fingerprint.op6_edit_fingerprints,
+        "near_fingerprints": edit_fingerprint.near_fingerprints,
         "op7_warc": warc.op7_warc,
         "op8_sentencepiece": sentencepiece_bpe.op8_sentencepiece,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
