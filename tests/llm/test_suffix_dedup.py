@@ -111,7 +111,8 @@ def test_samples_settle_every_tie(parts, letters, seed):
 
 def test_columns_that_go_along(spark):
     """Names that the operator uses itself don't clash."""
-    t = "".join(random.Random(2).choice("abcdef ") for _ in range(300))
+    rnd = random.Random(2)
+    t = "".join(rnd.choice("abcdef ") for _ in range(300))
     df = spark.createDataFrame([(1, t, "a", 7, b"x"), (2, t, "b", 8, b"y"), (2, t + "z", None, 9, None)], "doc_id long, text string, number string, lo long, kept binary")
     got = sorted((r.carried_lo, r.carried_number or "", r.n_removed, bytes(r.carried_kept or b"")) for r in suffix_dedup(df, carry=("number", "lo", "kept")).collect())
     assert got == [(7, "a", 0, b"x"), (8, "b", 300, b"y"), (9, "", 300, b"")]
