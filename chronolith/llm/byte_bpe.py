@@ -32,13 +32,13 @@ CHUNK = 1 << 21  # characters of texts that are encoded together
 class _Ids:
     """Words and the bytes of their ids, by the library; of two generations the older one is forgotten."""
 
-    def __init__(self, tokenizer):
-        self.tokenizer, self.young, self.old = tokenizer, {}, {}
+    def __init__(self, tokenizer, remembered: int):
+        self.tokenizer, self.remembered, self.young, self.old = tokenizer, remembered, {}, {}
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that all of ``words`` are in ``young``."""
         new = words - self.young.keys()
-        if len(self.young) + len(new) > REMEMBERED:
+        if len(self.young) + len(new) > self.remembered:
             self.old, self.young, new = self.young, {}, words
         fresh = []
         for w in new:
@@ -64,7 +64,7 @@ class ByteBpe:
     isn't the usual byte-level one. ``pattern`` isn't needed, as the file names its splitter.
     """
 
-    def __init__(self, raw: bytes, pattern: str | None = None):
+    def __init__(self, raw: bytes, pattern: str | None = None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
@@ -79,7 +79,7 @@ class ByteBpe:
             if i not in added:
                 self.lengths[i] = len(bytes(table[c] for c in token))
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.known = _Ids(self.tokenizer)
+        self.known = _Ids(self.tokenizer, remembered)
         split = model.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("normalizer")
         self.words = re.compile(_WORDS).findall if usual else None
@@ -125,11 +125,14 @@ class ByteBpe:
 
 
 @functools.lru_cache(2)
-def _known(raw: bytes) -> ByteBpe:
-    return ByteBpe(raw)
+def _known(raw: bytes, remembered: int) -> ByteBpe:
+    return ByteBpe(raw, remembered=remembered)
 
 
-def from_path(spark, path: str):
-    """A function that gives, on executors, the tokenizer of ``path`` (read by the driver, some megabytes)."""
+def from_path(spark, path: str, remembered: int = REMEMBERED):
+    """A function that gives, on executors, the tokenizer of ``path`` (read by the driver, some megabytes).
+
+    A worker remembers up to twice ``remembered`` words: more of them take memory and save encoding.
+    """
     shared = spark.sparkContext.broadcast(open(path, "rb").read())
-    return lambda: _known(shared.value)
+    return lambda: _known(shared.value, remembered)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.llm.byte_bpe import from_path
+from chronolith.llm.byte_bpe import REMEMBERED, from_path
 from chronolith.llm.common import columns_guarded, mapped, written
 
 
@@ -106,18 +106,19 @@ def _pieces(tokenizer, size: int, end_id: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Per piece of a row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and then ``end_id``; a null or empty text is ``end_id`` alone. Documents of more than ``size``
     ids are cut into pieces of ``size``, of which the first may be shorter; others stay whole. Sequences hold at most
     ``size`` ids and have no gaps. Repeated rows are packed each; a null doc_id stays null; an empty table gives an empty
-    one; other columns are ignored. ``with_ids`` adds the ids (binary, little-endian unsigned 32-bit).
+    one; other columns are ignored. ``with_ids`` adds the ids (binary, little-endian unsigned 32-bit). ``remembered`` is how many
+    words a worker remembers, twice at most (200 bytes each).
     """
     spark = docs.sparkSession
     docs = columns_guarded(docs, {"doc_id": "long", "text": "string"})
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids binary"
-    pieces = docs.mapInArrow(mapped(_pieces(from_path(spark, tokenizer_file), size, end_id, with_ids)), kinds)
+    pieces = docs.mapInArrow(mapped(_pieces(from_path(spark, tokenizer_file, remembered), size, end_id, with_ids)), kinds)
     pieces = written(pieces if with_ids else pieces.drop("ids"), "pieces")
     counted = written(pieces.groupBy("length", "task").count(), "piece-counts")
     counts = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # ``size`` rows at most
@@ -145,4 +146,4 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 1024, end_id: int = 2
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), remembered=600_000)
