@@ -200,7 +200,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def sent(part: pd.Series, key: pd.Series, digest: pd.Series) -> pd.Series:
-        return pd.Series([[2 * p + 1] + ([2 * gives[k]] if k in gives else []) for p, *k in zip(part.tolist(), key.tolist(), digest.tolist()) for k in [tuple(k)]])
+        return pd.Series([[2 * p + 1] + ([2 * gives[k]] if k in gives else []) for p, k in zip(part.tolist(), zip(key.tolist(), digest.tolist()))])
 
     rows = numbered.select("doc_id", "text", "order", "hash", F.explode(sent("part", "order", "hash")).alias("to"))
     rows = rows.select(F.shiftright("to", 1).alias("part"), F.pmod("to", F.lit(2)).cast("int").alias("own"), "doc_id", "text", "order", "hash")
