@@ -391,7 +391,7 @@ LIVE = (
     "d as (select key, seq, date_trunc('day', ts) > lag(date_trunc('day', ts)) over (partition by key order by seq) as rolled from c where status = 'accepted') "
     "select c.key, c.seq, c.ts as end_ts, c.value, c.status, coalesce(d.rolled, false) as rolled_over from c left join d on d.key = c.key and d.seq = c.seq"
 )
-LANDED = 4  # files that arrive one after another
+LANDED = 2  # files that arrive one after another
 
 
 @query("live_ingest", LIVE)
