@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.functions.segments import Segments
@@ -24,10 +24,14 @@ def validate(df: DataFrame, spec: Series) -> None:
         raise OrderError(f"{len(bad)} or more rows out of order, such as {bad[0].asDict()}")
 
 
-def _ranged(df: DataFrame, spec: Series, segments: Segments) -> DataFrame:
+def segment_name(segments: Segments, at: Column) -> Column:
+    """The folder's name of the segment of a time; names sort as segments do."""
+    return F.date_format(segments.columns(at)[0], "yyyy-MM-dd'T'HHmmss")
+
+
+def ranged(df: DataFrame, spec: Series, segments: Segments) -> DataFrame:
     """Rows with their ``segment``, ordered in ranges of (segment, key, time), which spread a hot key over many tasks."""
-    low, _ = segments.columns(F.col(spec.end))
-    rows = spec.rows(df).withColumn("segment", F.date_format(low, "yyyy-MM-dd'T'HHmmss"))
+    rows = spec.rows(df).withColumn("segment", segment_name(segments, F.col(spec.end)))
     return rows.repartitionByRange("segment", spec.key, spec.end).sortWithinPartitions("segment", spec.key, spec.end, spec.seq)
 
 
@@ -37,7 +41,7 @@ def _save(ranged: DataFrame, path: str, mode: str) -> None:
 
 def write(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> None:
     """Ordered files in one folder a segment."""
-    _save(_ranged(df, spec, segments), path, mode)
+    _save(ranged(df, spec, segments), path, mode)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +81,7 @@ def until(df: DataFrame, spec: Series, limit) -> DataFrame:
 def write_counted(df: DataFrame, spec: Series, segments: Segments, path: str, mode: str = "append") -> dict:
     """``write``, and what it wrote: rows, first and last time, counted while writing."""
     seen = Observation()  # behind the ranges, as finding their bounds reads the rows, too
-    counted = _ranged(df, spec, segments).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
+    counted = ranged(df, spec, segments).observe(seen, F.count(F.lit(1)).alias("rows"), F.min(spec.end).alias("first"), F.max(spec.end).alias("last"))
     _save(counted, path, mode)
     return seen.get
 
