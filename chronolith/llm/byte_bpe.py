@@ -23,10 +23,10 @@ def _bytes_of() -> dict[str, int]:
 #: Letters, digits and white space up to U+024F, on which every Unicode version agrees.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t\\n\\r \xa0"
 #: How the byte-level splitter of such files cuts a text of these characters into words.
-_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_WORDS = f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _PLAIN = "[\\t\\n\\r\x20-\x7e\xa0-\u024f]*"
 REMEMBERED, LONG = 250_000, 60  # words (some 200 bytes each; longer ones not) in each of two generations that a worker remembers
-CHUNK = 1 << 21  # characters of texts that are encoded together
+CHUNK = 1 << 22  # characters of texts that are encoded together
 
 
 class _Ids:
@@ -35,9 +35,9 @@ class _Ids:
     def __init__(self, tokenizer, remembered: int):
         self.tokenizer, self.remembered, self.young, self.old = tokenizer, remembered, {}, {}
 
-    def learn(self, words: set[str]) -> None:
-        """Makes sure that all of ``words`` are in ``young``."""
-        new = words - self.young.keys()
+    def learn(self, words: set[str]) -> list[str]:
+        """Makes sure that all of ``words`` are in ``young``; those that were encoded for it."""
+        new = words.difference(self.young)
         if len(self.young) + len(new) > self.remembered:
             self.old, self.young, new = self.young, {}, words
         fresh = []
@@ -49,9 +49,11 @@ class _Ids:
                 self.young[w] = got
         for w, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             self.young[w] = array("I", found.ids).tobytes()
+        return fresh
 
-    def forget(self, words: set[str]) -> None:
-        for w in words:
+    def forget(self, fresh: list[str]) -> None:
+        """Long words aren't remembered."""
+        for w in fresh:
             if len(w) > LONG:
                 self.young.pop(w, None)
 
@@ -99,14 +101,14 @@ class ByteBpe:
                 hi += 1
             cut = [self.words(t) if self.words and self.plain(t) and not any(x in t for x in self.special) else None for t in texts[lo:hi]]
             met = set().union(*(c for c in cut if c))
-            self.known.learn(met)
+            fresh = self.known.learn(met)
             said = self.known.young.__getitem__
             for text, words in zip(texts[lo:hi], cut):
                 if words is None:
                     yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 else:
                     yield np.frombuffer(b"".join(map(said, words)), "<u4")
-            self.known.forget(met)
+            self.known.forget(fresh)
             lo = hi
 
     def ends(self, text: str, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
