@@ -24,16 +24,21 @@ def _bytes_of() -> dict[str, int]:
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\\t\\n\\r \xa0"
 #: How the byte-level splitter of such files cuts a text of these characters into words.
 _WORDS = f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+_SPACED = re.compile(f" [^{_S}]").match
 _PLAIN = "[\\t\\n\\r\x20-\x7e\xa0-\u024f]*"
 REMEMBERED, LONG = 250_000, 60  # words (some 200 bytes each; longer ones not) in each of two generations that a worker remembers
 CHUNK = 1 << 22  # characters of texts that are encoded together
 
 
 class _Ids:
-    """Words and the bytes of their ids, by the library; of two generations the older one is forgotten."""
+    """Words and the bytes of their ids, by the library; of two generations the older one is forgotten.
 
-    def __init__(self, tokenizer, remembered: int):
-        self.tokenizer, self.remembered, self.young, self.old = tokenizer, remembered, {}, {}
+    Words that begin with a space are encoded as one text: a space starts a new word, whatever comes before it. The ids of
+    each are told by their ``lengths`` in bytes.
+    """
+
+    def __init__(self, tokenizer, remembered: int, lengths: np.ndarray):
+        self.tokenizer, self.remembered, self.lengths, self.young, self.old = tokenizer, remembered, lengths, {}, {}
 
     def learn(self, words: set[str]) -> list[str]:
         """Makes sure that all of ``words`` are in ``young``; those that were encoded for it."""
@@ -47,10 +52,27 @@ class _Ids:
                 fresh.append(w)
             else:
                 self.young[w] = got
-        for w, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+        spaced = [w for w in fresh if _SPACED(w)]
+        self._learn_together(spaced)
+        rest = [w for w in fresh if not _SPACED(w)]
+        for w, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
             self.young[w] = array("I", found.ids).tobytes()
         return fresh
 
+    def _learn_together(self, words: list[str]) -> None:
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(w.encode()) for w in words])
+        till = np.cumsum(self.lengths[ids])
+        at = np.searchsorted(till, ends)
+        if till[-1] != ends[-1] or (till[at] != ends).any():
+            raise ValueError("a token that reaches over words")
+        raw, lo = ids.tobytes(), 0
+        for w, hi in zip(words, ((at + 1) * 4).tolist()):
+            self.young[w] = raw[lo:hi]
+            lo = hi
+
     def forget(self, fresh: list[str]) -> None:
         """Long words aren't remembered."""
         for w in fresh:
@@ -81,7 +103,7 @@ class ByteBpe:
             if i not in added:
                 self.lengths[i] = len(bytes(table[c] for c in token))
         self.tokenizer = Tokenizer.from_str(raw.decode())
-        self.known = _Ids(self.tokenizer, remembered)
+        self.known = _Ids(self.tokenizer, remembered, self.lengths)
         split = model.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("normalizer")
         self.words = re.compile(_WORDS).findall if usual else None
