@@ -38,18 +38,18 @@ def _encoded(tokenizer, end_id: int):
     def batch_of(docs: list, part: int, start: int, ids: list[np.ndarray]) -> pa.RecordBatch:
         lengths = np.array([len(i) for i in ids], np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.full(len(docs), part, np.int32)), pa.array(start + offsets[:-1]), pa.array(lengths), lists], names)
 
     def run(batches):
-        bpe, part, start = tokenizer(), TaskContext.get().partitionId(), 0
+        bpe, part, start, end = tokenizer(), TaskContext.get().partitionId(), 0, np.array([end_id], np.uint32)
         docs, held, size = [], [], 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(texts)):
                 docs.append(doc)
-                held.append(np.append(ids, np.uint32(end_id)))
-                size += len(held[-1])
+                held.append(np.concatenate((ids, end)))
+                size += len(ids) + 1
                 if size >= BATCH_IDS:
                     yield batch_of(docs, part, start, held)
                     docs, held, start, size = [], [], start + size, 0
@@ -88,8 +88,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 def read_tokens(spark: SparkSession, path: str, which: Column | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of what ``write_tokens`` wrote; ``start`` counts the ids of all documents before.
 
-    ``which``, a condition on doc_id, is pushed down: parts whose doc_ids it can't meet are left out by the manifest,
-    stripes and groups of rows by their indexes and Bloom filters. Columns that aren't used aren't read.
+    ``which``, a condition on doc_id, is pushed down: files, stripes and groups of rows whose doc_ids can't meet it are left
+    out by their indexes and Bloom filters. Columns that aren't used aren't read.
     """
     rows = spark.read.schema(STORED).orc(f"{path}/documents")
     bases = spark.read.schema("part int, base long").orc(f"{path}/{MANIFEST}")
@@ -117,7 +117,7 @@ def checksums(rows: DataFrame, ids: str = "ids") -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
-            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            flat, at = lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
             crcs = [zlib.crc32(flat[a:b].data) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], pa.array(crcs, pa.int64())], [*[f.name for f in kept], "ids_crc32"])
 

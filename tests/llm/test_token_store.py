@@ -69,7 +69,7 @@ def test_files_have_stripes_indexes_and_bloom_filters(spark, stored):
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(f"{stored[0]}/documents")
-    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    files = sorted((f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")), key=lambda p: p.getName())
     assert len(files) == 3
     last = -1
     for f in files:
