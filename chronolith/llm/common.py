@@ -202,6 +202,48 @@ class Rolling:
         return mix((self.c[width:] - self.c[:n]) * self.q[:n]) if n > 0 else np.empty(0, np.uint64)
 
 
+_P31 = (1 << 31) - 1
+#: Bases of polynomials modulo 2**31 - 1.
+_PRIME_BASES = (0x4C957F2D, 0x2545F491)
+_prime_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**31 - 1."""
+    if which not in _prime_tables or len(_prime_tables[which][0]) < n + 1:
+        made = []
+        for base in (_PRIME_BASES[which], pow(_PRIME_BASES[which], -1, _P31)):
+            a = np.ones(1, np.uint64)
+            while len(a) < max(n + 1, 1 << 16):
+                a = np.concatenate([a, a * np.uint64(pow(base, len(a), _P31)) % np.uint64(_P31)])
+            made.append(a)
+        _prime_tables[which] = (made[0], made[1])
+    return _prime_tables[which]
+
+
+class PrimeRolling:
+    """62-bit hashes of spans by two polynomials modulo the prime 2**31 - 1.
+
+    Modulo a power of two, some texts collide for every base (those in which two words follow one another as in the
+    Thue-Morse sequence); modulo a prime they don't. So what is decided by hashes alone takes these beside ``Rolling``'s.
+    """
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.tables = []
+        for which in range(2):
+            p, q = _prime_powers(n, which)
+            c = np.zeros(n + 1, np.uint64)
+            terms = (data.astype(np.uint64) + np.uint64(1)) * p[:n]  # below 2**40
+            np.cumsum((terms & np.uint64(_P31)) + (terms >> np.uint64(31)), out=c[1:])  # below 2**64 for 2**32 bytes
+            self.tables.append((c, q))
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        prime = np.uint64(_P31)
+        high, low = ((c[end] - c[start]) % prime * q[start] % prime for c, q in self.tables)
+        return (high << np.uint64(31)) | low
+
+
 # ---------------------------------------------------------------- texts as bytes
 
 
@@ -238,8 +280,12 @@ _KIND[_SPACE] = 0
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = 1
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, signs_apart: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of each word of the rows in order; A-Z count as a-z. ``signs_apart``: runs of signs are words of their own."""
+def words_of(data: np.ndarray, offsets: np.ndarray, signs_apart: bool = False, telling: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word of the rows in order; A-Z count as a-z. ``signs_apart``: runs of signs are words of their own.
+
+    ``telling``: hashes for those who take words of equal hashes as equal. Each byte is spread together with its place in the word
+    before they are added up, so no structure of a word can make hashes meet.
+    """
     if not len(data):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     kind = _KIND[data] if signs_apart else (~_SPACE[data]).astype(np.uint8)
@@ -251,7 +297,19 @@ def words_of(data: np.ndarray, offsets: np.ndarray, signs_apart: bool = False) -
     start, end = edges[:-1], edges[1:]
     real = kind[start] > 0
     start, end = start[real], end[real]
-    return Rolling(_LOWER[data]).span(start, end), np.searchsorted(offsets, start, "right") - 1
+    rows = np.searchsorted(offsets, start, "right") - 1
+    if not telling:
+        return Rolling(_LOWER[data]).span(start, end), rows
+    if not len(start):
+        return np.empty(0, np.uint64), rows
+    place = np.arange(len(data), dtype=np.uint64)
+    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data)))).astype(np.uint64)
+    place <<= np.uint64(8)
+    place |= _LOWER[data]
+    place += np.uint64(1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(place), out=total[1:])
+    return mix(total[end] - total[start] + (end - start).astype(np.uint64)), rows
 
 
 _K = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
@@ -302,7 +360,14 @@ def counts_summed(rows: DataFrame, slots: int, block_bits: int = 14) -> dict[str
     return out
 
 
-def bounded_share(rows: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
-    """``rows`` if they are at most ``bound``, else those whose hash falls into a share that holds about ``bound`` of them."""
+def bounded_share(rows: DataFrame, bound: int, key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``rows`` if they are at most ``bound``, else those that are different in ``key`` and whose hash falls into a share.
+
+    The share is smaller than ``bound`` by four times its spread, so that more of them are next to impossible.
+    """
     n = rows.count()
-    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+    if n <= bound:
+        return rows
+    rows = rows.dropDuplicates([*key])
+    n, aim = rows.count(), max(bound / 4, bound - 4 * bound**0.5)
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < int((1 << 30) * aim / n))

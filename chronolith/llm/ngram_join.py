@@ -56,7 +56,7 @@ def _sets(batch, width):
     data, offsets = text_buffers(batch.column(1))
     for lo, hi in chunks_of(offsets, CHUNK):
         o = offsets[lo : hi + 1] - offsets[lo]
-        words, rows = words_of(data[offsets[lo] : offsets[hi]], o)
+        words, rows = words_of(data[offsets[lo] : offsets[hi]], o, telling=True)
         yield ids[lo:hi], shingles_of(words, rows, hi - lo, width)
 
 

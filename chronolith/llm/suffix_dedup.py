@@ -7,7 +7,8 @@ A string of ``width`` bytes is a repeat if it also starts earlier. The steps:
    at an offset that they share. A second, sparser sample is taken where the next 16 bytes say so; equal strings have all
    of it in common. Hashes of sample strings, dealt by bucket, tell which occur again; these verdicts go into a table of
    bits. In the same pass the text is cut where its content says so, and a cut piece (with the bytes that its last window
-   needs) that equals an earlier one, by two independent 64-bit hashes, is settled whole: copied documents end here.
+   needs) that equals an earlier one, by a 64-bit and a 62-bit hash of different kinds, is settled whole: copied documents
+   end here.
 2. *Buckets.* A window can be a repeat only if a cover sample and all of the second sample within it occur again. The
    cover samples of such windows are dealt out with the 56 bytes before and after them. One bucket at a time, samples are
    sorted by their bytes, which ranks them; occurrences of one rank are sorted by the bytes before, read backwards, and by
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import (
     BROADCAST_BYTES,
+    PrimeRolling,
     Rolling,
     bucket_bits,
     cat,
@@ -182,7 +184,7 @@ def _cover_pass(bits, width):
                 start, end = chunk.segments()
                 if len(start):
                     got["k"].append(chunk.roll.span(start, end + width - 1))
-                    got["k2"].append(Rolling(chunk.data, 1).span(start, end + width - 1))
+                    got["k2"].append(PrimeRolling(chunk.data).span(start, end + width - 1))
                     got["d"].append(chunk.docs[chunk.row_of(start)])
                     got["s"].append(chunk.at[start])
                     got["n"].append(end - start)

@@ -3,7 +3,7 @@
 Features are the distinct hashed words, pairs of neighbours and pairs with one word between, in 2**BITS slots; each
 of a text's n distinct features has the value n ** -0.25, so that long texts dilute a word less than unit vectors would. The optimiser keeps a rate per coordinate, and its L1 term leaves at zero every feature
 that few documents speak for, so the weights are a small sparse vector that is broadcast. The optimiser is sequential:
-it runs in one task over at most about TRAIN_ROWS labelled rows (a documented bound; the share is drawn by hash), small
+it runs in one task over at most TRAIN_ROWS labelled rows (a documented bound; the share is drawn by hash), small
 samples more often than large ones. Features are extracted, and all texts scored, in parallel passes.
 """
 
@@ -150,7 +150,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_r
     known = columns_guarded(labels, {"doc_id": "long", "toxic": "int"}).where("doc_id is not null and toxic is not null").where(~held_out())
     known = written(known.groupBy("doc_id").agg(F.max("toxic").alias("label")), "toxic-labels")
     sample = bounded_share(known, train_rows)
-    labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # ``train_rows`` ids, about
+    labelled = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")  # ``train_rows`` ids at most
+    labelled = bounded_share(labelled, train_rows, ("doc_id", "text"))  # and rows: many may share an id
     scored = score_texts(whole, fit(labelled))
     return scored.select("doc_id", "text", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[f"carried_{c}" for c in carry])
 

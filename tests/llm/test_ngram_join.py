@@ -111,3 +111,25 @@ def test_texts_of_one_doc_id_and_long_ones(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join(df).collect())
     size = lambda w: len(shingles(" ".join(w)))
     assert got == sorted([(1, 76, 1), (2, 76, 1), (1, 76, 1), (3, 75, 1), (7, size(c), 7), (8, size(c[:-900]), 7), (9, 66, 9), (0, 76, 0)])
+
+
+def test_words_that_powers_of_two_cannot_tell_apart(spark):
+    """One word in the Thue-Morse order of two letters, and with the letters exchanged; also within longer texts."""
+    order = "".join("ab"[bin(i).count("1") % 2] for i in range(2_048))
+    other = order.translate(str.maketrans("ab", "ba"))
+    rows = [(1, order), (2, other), (3, f"x {order} y z w v u"), (4, f"x {other} y z w v u"), (5, order.upper())]
+    got = {r.doc_id: r.component_id for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=" \tabABé", max_size=40), max_size=6))
+def test_telling_hashes_are_equal_for_equal_words_only(texts):
+    from chronolith.llm.common import words_of
+
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    hashes, rows = words_of(data, np.cumsum([0, *map(len, raw)]), telling=True)
+    words = [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))]
+    assert [i for i, _ in words] == rows.tolist()
+    assert len(set(zip(hashes.tolist(), (w for _, w in words)))) == len(set(hashes.tolist())) == len({w for _, w in words})

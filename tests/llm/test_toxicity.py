@@ -33,3 +33,17 @@ def test_edges(spark):
     assert len(out) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert all(r.score == 0 for r in toxicity(docs, labels.limit(0)).collect())
     assert toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """One labelled doc_id that 15,000 rows share."""
+    from pyspark.sql import functions as F
+
+    from chronolith.llm import toxicity as T
+
+    seen = []
+    real = T.fit
+    monkeypatch.setattr(T, "fit", lambda labelled: seen.append(labelled.count()) or real(labelled))
+    docs = spark.range(15_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert T.toxicity(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), train_rows=40).count() == 15_000
+    assert 0 < seen[0] <= 40
