@@ -171,3 +171,35 @@ def unexpired(rows: DataFrame, created: str, now: Column, every: str) -> DataFra
 def younger_than(rows: DataFrame, created: str, now: Column, seconds: int) -> DataFrame:
     """Rows not older than a fixed duration."""
     return rows.where(F.timestamp_diff("SECOND", F.col(created).cast("timestamp"), now.cast("timestamp")) <= seconds)
+
+
+def contains_values(rows: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Distinct asked values (null included) with ``there``: whether any key has the value."""
+    asked = values.select(value).distinct()
+    held = rows.select(F.col(value).alias("_held")).distinct().withColumn("_there", F.lit(True))
+    return asked.join(held, F.col(value).eqNullSafe(F.col("_held")), "left").select(value, F.coalesce("_there", F.lit(False)).alias("there"))
+
+
+def remove_if(rows: DataFrame, expected: DataFrame, table: Table, value: str) -> DataFrame:
+    """Without the keys of ``expected`` whose stored value is the one named there."""
+    gone = expected.select(*[F.col(k).alias(f"_{k}") for k in table.keys], F.col(value).alias("_expected"))
+    on = F.col(value).eqNullSafe(F.col("_expected"))
+    for k in table.keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(gone, on, "left_anti")
+
+
+def compute(rows: DataFrame, keys: DataFrame, table: Table, value: str, new: Callable[[Column, Column], Column]) -> DataFrame:
+    """The table after a new value is made for each asked key; a null one removes the key, or leaves it out.
+
+    ``new`` gets the stored value (null without one) and whether the key is stored. ``rows`` holds keys and value only.
+    """
+    asked = keys.select(*[F.col(k).alias(f"_{k}") for k in table.keys]).distinct().withColumn("_asked", F.lit(True))
+    on = F.lit(True)
+    for k in table.keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    both = rows.withColumn("_stored", F.lit(True)).join(asked, on, "full")
+    stored, named = F.coalesce("_stored", F.lit(False)), F.coalesce("_asked", F.lit(False))
+    made = F.when(named, new(F.col(value), stored)).otherwise(F.col(value))
+    key_columns = [F.when(stored, F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in table.keys]
+    return both.select(*key_columns, made.alias(value), named.alias("_made")).where(F.col(value).isNotNull() | ~F.col("_made")).drop("_made")

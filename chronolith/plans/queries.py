@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions import arrays
+from chronolith.functions import arrays, bitmaps
 from chronolith.functions.segments import Segments
 from chronolith.operators import range_table as rt
 from chronolith.operators import relational as rel
-from chronolith.operators import segmented, series
+from chronolith.operators import segmented, series, staging
 from chronolith.operators.series import Series
-from chronolith.sources import store
+from chronolith.sources import bucketed, store
 from chronolith.sources.scratch import scratch
+from chronolith.sources.segment_store import SegmentStore
 from chronolith.streaming import live
+from chronolith.streaming.rollover import Rollover
 
 EVENTS = Series(key="user_id", end="ts", seq="event_id")
 ORDERS = Series(key="o_custkey", end="o_orderdate", seq="o_orderkey", bucket="year")
@@ -92,9 +95,9 @@ def ts_range(spark, sf_dir):
     return series.range_rows(events(spark, sf_dir), EVENTS, LOW, HIGH)
 
 
-@query("ts_range_reverse", f"select user_id, ts, event_id, value from events where ts {BETWEEN}")
+@query("ts_range_reverse", f"select user_id, ts, event_id, value, row_number() over (order by user_id, ts desc, event_id desc) - 1 as nth from events where ts {BETWEEN}")
 def ts_range_reverse(spark, sf_dir):
-    return series.range_rows(events(spark, sf_dir), EVENTS, LOW, HIGH, reverse=True)
+    return store.with_places(series.range_rows(events(spark, sf_dir), EVENTS, LOW, HIGH, reverse=True), "nth")
 
 
 @query("ts_full_scan", "select user_id, ts, event_id, value from events where ts is not null and user_id is not null")
@@ -394,17 +397,22 @@ LIVE = (
 LANDED = 2  # files that arrive one after another
 
 
-@query("live_ingest", LIVE)
-def live_ingest(spark, sf_dir):
+def _ingested(spark, sf_dir) -> DataFrame:
+    """The stream of the events' statuses."""
     source = flipped(spark, sf_dir).withColumn("start", F.when(F.col("event_id") % 97 == 0, F.timestamp_add("SECOND", F.lit(1), F.col("ts"))).otherwise(F.col("ts")))
-    landing, out, state = (scratch(spark, name) for name in ("landing", "live", "live-state"))
+    landing = scratch(spark, "landing")
     top = source.agg(F.max("seq")).first()[0] or 0
     for i in range(LANDED):  # each trigger takes one file, so a state call sees a slice of a key's rows
         part = source.where((F.col("seq") * LANDED >= (top + 1) * i) & (F.col("seq") * LANDED < (top + 1) * (i + 1)))
         part.coalesce(1).write.mode("append").parquet(landing)
     stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    rows = live.live_ingest(stream, Series(key="user_id", end="ts", seq="seq", start="start"), Segments("day"), "value")
-    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return live.live_ingest(stream, Series(key="user_id", end="ts", seq="seq", start="start"), Segments("day"), "value")
+
+
+@query("live_ingest", LIVE)
+def live_ingest(spark, sf_dir):
+    out, state = (scratch(spark, name) for name in ("live", "live-state"))
+    _ingested(spark, sf_dir).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select("key", "seq", F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "value", "status", "rolled_over")
 
 
@@ -446,9 +454,7 @@ def collection_reverse(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     for part in (rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1")):
         store.append_rows(part, path, "o_orderkey")
-    # the place in the backward order, as ids of the negated number
-    back = store.iterate(spark, path, "o_orderkey", reverse=True)
-    return rel.with_ids(back.withColumn("key", -F.col("o_orderkey")), ["key"], "nth", 1).select("o_orderkey", "o_totalprice", "nth")
+    return store.with_places(store.iterate(spark, path, "o_orderkey", reverse=True), "nth", 1)
 
 
 @query(
@@ -462,6 +468,37 @@ def arrays_typed(spark, sf_dir):
     return made.select("l_orderkey", F.array_join(arrays.set_bits(F.col("flags")).cast("array<string>"), ",").alias("bits"), F.size(arrays.set_bits(F.col("flags"))).cast("long").alias("n"), arrays.get(three, 2).alias("second"))
 
 
+def _order_sets(spark, sf_dir) -> list[DataFrame]:
+    """Per supplier the orders with a returned line, and those with a line that isn't the first."""
+    rows = table(spark, sf_dir, "lineitem")
+    return [bitmaps.build(rows.where(test), ["l_suppkey"], "l_orderkey") for test in ("l_returnflag = 'R'", "l_linenumber > 1")]
+
+
+BITMAPS = "with a as (select distinct l_suppkey, l_orderkey from lineitem where l_returnflag = 'R'), b as (select distinct l_suppkey, l_orderkey from lineitem where l_linenumber > 1) "
+
+
+@query(
+    "bitmap_counts",
+    BITMAPS + "select l_suppkey, count(*) filter (k = 1) as returned, count(*) filter (k = 2) as later, count(*) filter (k = 3) as both, count(*) filter (k = 4) as either from ("
+    "select l_suppkey, 1 as k from a union all select l_suppkey, 2 from b union all select l_suppkey, 3 from a join b using (l_suppkey, l_orderkey) union all select l_suppkey, 4 from (select * from a union select * from b)) group by l_suppkey",
+)
+def bitmap_counts(spark, sf_dir):
+    a, b = _order_sets(spark, sf_dir)
+    key = ["l_suppkey"]
+    named = {"returned": a, "later": b, "both": bitmaps.intersection([a, b], key), "either": bitmaps.union([a, b], key)}
+    sized = [bitmaps.sizes(held, key).select("l_suppkey", F.lit(name).alias("which"), "n") for name, held in named.items()]
+    together = sized[0].unionByName(sized[1]).unionByName(sized[2]).unionByName(sized[3])
+    return together.groupBy("l_suppkey").agg(*[F.coalesce(F.sum(F.when(F.col("which") == name, F.col("n"))), F.lit(0)).alias(name) for name in named])
+
+
+@query("bitmap_members", BITMAPS + "select l_suppkey, l_orderkey, true as both from a join b using (l_suppkey, l_orderkey) union all select l_suppkey, l_orderkey, false from (select * from a except select * from b)")
+def bitmap_members(spark, sf_dir):
+    a, b = _order_sets(spark, sf_dir)
+    key = ["l_suppkey"]
+    met = bitmaps.members(bitmaps.intersection([a, b], key), key, "l_orderkey").withColumn("both", F.lit(True))
+    return met.unionByName(bitmaps.difference(a, b, key, "l_orderkey").withColumn("both", F.lit(False)))
+
+
 @query("store_round_trip", "select o_custkey, o_orderdate, o_orderkey, o_totalprice from orders")
 def store_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
@@ -470,6 +507,109 @@ def store_round_trip(spark, sf_dir):
     return store.read(spark, path).drop("segment")
 
 
+def event_store(spark, rows: DataFrame) -> SegmentStore:
+    made = SegmentStore(scratch(spark, "segments"), EVENTS, Segments("day"), "user_id long, ts timestamp_ntz, event_id long, value double")
+    made.write(rows)
+    return made
+
+
+#: Up to LOW, then up to HIGH with values larger by 1, then all with values larger by 2.
+UPDATED = (
+    f"with a as (select user_id, max(ts) as at from events where ts <= timestamp '{LOW}' group by user_id), b as (select user_id, max(ts) as at from events where ts <= timestamp '{HIGH}' group by user_id), "
+    f"u as (select e.user_id, e.ts, e.event_id, case when b.at is null or e.ts >= b.at then value + 2 when a.at is null or e.ts >= a.at then value + 1 else value end as value "
+    "from events e left join a on a.user_id = e.user_id left join b on b.user_id = e.user_id) "
+)
+
+
+def _updated(spark, sf_dir) -> SegmentStore:
+    rows = events(spark, sf_dir)
+    made = event_store(spark, store.until(rows, EVENTS, F.lit(LOW).cast("timestamp_ntz")))
+    made.update(store.until(rows, EVENTS, F.lit(HIGH).cast("timestamp_ntz")).withColumn("value", F.col("value") + 1))
+    made.update(rows.withColumn("value", F.col("value") + 2))
+    return made
+
+
+@query("store_update", UPDATED + "select user_id, ts, event_id, value, cast(date_trunc('day', ts) as timestamp) as day from u")
+def store_update(spark, sf_dir):
+    return _updated(spark, sf_dir).rows(spark).select("user_id", "ts", "event_id", "value", F.to_timestamp_ntz("segment", F.lit("yyyy-MM-dd'T'HHmmss")).alias("day"))
+
+
+@query(
+    "store_summary",
+    UPDATED + "select user_id, cast(date_trunc('day', ts) as timestamp) as segment_from, count(*) as n, min(ts) as low, max(ts) as high, "
+    "arg_min(value, struct_pack(a := ts, b := event_id)) as first_value, arg_max(value, struct_pack(a := ts, b := event_id)) as last_value from u group by all",
+)
+def store_summary(spark, sf_dir):
+    """After two updates, the summary is that of all rows."""
+    return _updated(spark, sf_dir).summary(spark).select("user_id", "segment_from", "n", "low", "high", F.col("first.value").alias("first_value"), F.col("last.value").alias("last_value"))
+
+
+#: Users with the customer keys of some orders go, and then all from the hundredth on.
+DELETED = "from events where user_id not in (select o_custkey from orders where o_orderkey % 40 = 0) and user_id < 100"
+
+
+@query("store_delete", "select user_id, ts, event_id, value " + DELETED)
+def store_delete(spark, sf_dir):
+    made = event_store(spark, events(spark, sf_dir))
+    made.delete(table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("user_id")))
+    made.delete(events(spark, sf_dir).where("user_id >= 100"))
+    return made.rows(spark).drop("segment")
+
+
+@query("store_counts", f"select user_id, count(*) as n from events where ts {BETWEEN} group by user_id")
+def store_counts(spark, sf_dir):
+    """The ends of the range lie within days, which are read; the days between are counted by the summary."""
+    return event_store(spark, events(spark, sf_dir)).counts(spark, LOW, HIGH)
+
+
+@query("store_edges", SQL["ts_edges"])
+def store_edges(spark, sf_dir):
+    return event_store(spark, events(spark, sf_dir)).edges(spark, ROW)
+
+
+@query("store_preceding", SQL["seg_counts"])
+def store_preceding(spark, sf_dir):
+    return event_store(spark, events(spark, sf_dir)).segment_counts(spark)
+
+
+@query("store_latest", SQL["ts_latest"])
+def store_latest(spark, sf_dir):
+    return event_store(spark, events(spark, sf_dir)).latest(probes(spark, sf_dir), "user_id", "at", ROW).select("probe_id", "user_id", *ROW)
+
+
+@query("store_latest_few", LOCATED.replace("from events), c as", "from events where event_id % 5 = 0 and ts between timestamp '2024-01-11' and timestamp '2024-01-12'), c as") + FETCHED + LATEST)
+def store_latest_few(spark, sf_dir):
+    """Probes of one day's events, at times a half day before: two folders of rows are read."""
+    asked = table(spark, sf_dir, "events").where("event_id % 5 = 0 and ts between timestamp_ntz '2024-01-11' and timestamp_ntz '2024-01-12'")
+    asked = asked.select(F.col("event_id").alias("probe_id"), "user_id", F.expr("ts - interval 12 hours").alias("at"))
+    return event_store(spark, events(spark, sf_dir)).latest(asked, "user_id", "at", ROW).select("probe_id", "user_id", *ROW)
+
+
+ROLLED = LIVE.replace("select c.key, c.seq, c.ts as end_ts", "select c.key, c.seq, c.ts as end_ts, date_trunc('day', c.ts) as day", 1)
+
+
+def _rolled(spark, sf_dir) -> Rollover:
+    """The live ingest's rows, two micro-batches, into history, status and live tables."""
+    sink = Rollover(scratch(spark, "rollover"))
+    _ingested(spark, sf_dir).writeStream.foreachBatch(sink.persist).option("checkpointLocation", scratch(spark, "live-state")).trigger(availableNow=True).start().awaitTermination()
+    return sink
+
+
+@query("live_rollover_history", f"with r as ({ROLLED}), n as (select key, max(day) as newest from r where status = 'accepted' group by key) select r.key, r.seq, r.end_ts, r.value, case when day < newest then 'history' else 'live' end as place from r join n on n.key = r.key where status = 'accepted'")
+def live_rollover_history(spark, sf_dir):
+    sink = _rolled(spark, sf_dir)
+    cols = ["key", "seq", "end_ts", "value"]
+    return sink.history(spark).select(*cols, F.lit("history").alias("place")).unionByName(sink.live(spark).select(*cols, F.lit("live").alias("place")))
+
+
+@query("live_rollover_status", f"with r as ({ROLLED}) select key, cast(day as timestamp) as segment_from, count(*) as n, min(end_ts) as first_ts, max(end_ts) as last_ts, 'COMPLETE' as status from r where status = 'accepted' group by key, day")
+def live_rollover_status(spark, sf_dir):
+    """After the stream's end, with the last open segments closed, too."""
+    sink = _rolled(spark, sf_dir)
+    sink.finish(spark)
+    return sink.status(spark).drop("batch", "segment")
+
+
 # ---------------------------------------------------------------- ordered tables and maps
 
 LINES = rt.Table("l_orderkey", "l_linenumber")
@@ -500,6 +640,25 @@ def rt_get(spark, sf_dir):
     return rt.get(lines(spark, sf_dir), keys, LINES)
 
 
+@query("rt_get_bucketed", SQL["rt_get"])
+def rt_get_bucketed(spark, sf_dir):
+    """Lines stored in 16 buckets by order: the orders asked for are dealt to them."""
+    name = f"lines_{uuid.uuid4().hex}"
+    bucketed.save(lines(spark, sf_dir), name, ["l_orderkey"], 16, ["l_orderkey", "l_linenumber"], scratch(spark, "lines"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    return bucketed.get(spark, name, asked, LINES.keys)
+
+
+@query("rt_join_bucketed", "select o_orderkey, count(l_linenumber) as n, max(l_extendedprice) as most from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
+def rt_join_bucketed(spark, sf_dir):
+    """Neither table is shuffled, for the join or for the groups."""
+    made = [f"{t}_{uuid.uuid4().hex}" for t in ("orders", "lines")]
+    bucketed.save(table(spark, sf_dir, "orders").select("o_orderkey"), made[0], ["o_orderkey"], 16, path=scratch(spark, "orders"))
+    bucketed.save(lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey"), made[1], ["o_orderkey"], 16, path=scratch(spark, "lines"))
+    met = bucketed.joined(spark, made[1], spark.table(made[0]), ["o_orderkey"], "left")
+    return met.groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n"), F.max("l_extendedprice").alias("most"))
+
+
 @query("rt_delete", PRICE + " where (l_orderkey, l_linenumber) not in (select o_orderkey, 1 from orders)")
 def rt_delete(spark, sf_dir):
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
@@ -566,6 +725,33 @@ def rt_replace_if(spark, sf_dir):
     return rt.replace_if(rows.select("c_custkey", "c_acctbal"), new, rt.Table("c_custkey"), "c_acctbal", "seen")
 
 
+@query("rt_contains_values", "select o_orderpriority || case when o_orderkey % 2 = 0 then '' else '?' end as o_orderpriority, o_orderkey % 2 = 0 as there from orders group by all")
+def rt_contains_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    asked = rows.select(F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "").otherwise("?")).alias("o_orderpriority"))
+    return rt.contains_values(rows, asked, "o_orderpriority")
+
+
+@query("rt_remove_if", "select c_custkey, c_acctbal from customer where not (c_nationkey % 2 = 0 and c_custkey % 3 = 0)")
+def rt_remove_if(spark, sf_dir):
+    """Every third customer is to go, if the balance is the one named: that of even nations is, others' is a wrong one."""
+    rows = table(spark, sf_dir, "customer")
+    expected = rows.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, F.col("c_acctbal")).otherwise(F.lit(1e9)).alias("c_acctbal"))
+    return rt.remove_if(rows.select("c_custkey", "c_acctbal"), expected, rt.Table("c_custkey"), "c_acctbal")
+
+
+@query(
+    "rt_compute",
+    "select c_custkey, case when c_custkey in (select o_custkey + 50 from orders) then c_acctbal * 2 else c_acctbal end as c_acctbal from customer where not (c_custkey in (select o_custkey + 50 from orders) and c_acctbal < 0) "
+    "union all select distinct o_custkey + 50, 1.0 from orders where o_custkey + 50 not in (select c_custkey from customer)",
+)
+def rt_compute(spark, sf_dir):
+    """Asked customers' balances are doubled, negative ones removed, and unknown customers get one."""
+    keys = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 50).alias("c_custkey"))
+    new = lambda old, stored: F.when(~stored, F.lit(1.0)).when(old >= 0, old * 2)
+    return rt.compute(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), keys, rt.Table("c_custkey"), "c_acctbal", new)
+
+
 @query("rt_append_only", "select c_custkey, c_acctbal from customer union all select c_custkey + 1000000, c_acctbal from customer")
 def rt_append_only(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
@@ -597,9 +783,11 @@ def rt_range(spark, sf_dir):
     return rt.range_of(lines(spark, sf_dir), LINES, 7, 1, 3)
 
 
-@query("rt_range_reverse", PRICE + " where l_linenumber >= 2")
+@query("rt_range_reverse", "select l_orderkey, l_linenumber, l_extendedprice, rank() over (order by l_orderkey, l_linenumber desc) - 1 as nth from lineitem where l_linenumber >= 2")
 def rt_range_reverse(spark, sf_dir):
-    return rt.range_of(lines(spark, sf_dir), LINES, low=2, reverse=True)
+    """Of equal keys, the place of the first."""
+    placed = store.with_places(rt.range_of(lines(spark, sf_dir), LINES, low=2, reverse=True), "nth")
+    return placed.withColumn("nth", F.min("nth").over(Window.partitionBy("l_orderkey", "l_linenumber")))
 
 
 @query("rt_delete_range", PRICE + " where not (l_orderkey = 7 and l_linenumber >= 2)")
@@ -684,6 +872,36 @@ def rel_bulk_insert(spark, sf_dir):
     return spark.read.parquet(path).withColumn("inserted", F.lit(n).cast("long"))
 
 
+@query("rel_stage_csv", "select count(*) filter (c_custkey % 10 not in (3, 7, 9)) as staged, count(*) filter (c_custkey % 10 in (3, 7)) as malformed, count(*) filter (c_custkey % 10 = 9) as missing, count(*) filter (c_custkey % 10 not in (3, 7, 9)) as inserted, coalesce(sum(c_custkey) filter (c_custkey % 10 not in (3, 7, 9)), 0) as keys from customer")
+def rel_stage_csv(spark, sf_dir):
+    """Customers as lines of text; some have no number for a balance, some end too early, and some have no name."""
+    rows = table(spark, sf_dir, "customer")
+    last = F.col("c_custkey") % 10
+    balance = F.when(last == 3, "none").otherwise(F.col("c_acctbal").cast("string"))
+    name = F.when(last == 9, "").otherwise(F.col("c_name"))
+    line = F.when(last == 7, F.col("c_custkey").cast("string")).otherwise(F.concat_ws(",", "c_custkey", name, balance))
+    csv, path = scratch(spark, "csv"), scratch(spark, "loaded")
+    rows.select(line.alias("value")).write.text(csv)
+    staged, rejected = staging.stage_csv(spark, csv, "c_custkey long, c_name string, c_acctbal double", ["c_custkey", "c_name"])
+    staging.insert_unique(staged, path, ["c_custkey"])
+    kept = spark.read.parquet(path).agg(F.count("*").alias("inserted"), F.coalesce(F.sum("c_custkey"), F.lit(0)).alias("keys"))
+    seen = rejected.agg(F.count_if(F.col("reason") == "malformed").alias("malformed"), F.count_if(F.col("reason") == "missing").alias("missing"))
+    return staged.agg(F.count("*").alias("staged")).join(seen).join(kept)  # one row each
+
+
+@query("rel_insert_unique", "select c_custkey, c_name, (select count(*) from customer) as inserted, true as refused from customer")
+def rel_insert_unique(spark, sf_dir):
+    """Customers in two batches; a third one, with a key that is stored, is refused and leaves the table alone."""
+    rows, path = table(spark, sf_dir, "customer").select("c_custkey", "c_name"), scratch(spark, "unique")
+    n = sum(staging.insert_unique(rows.where(F.col("c_custkey") % 2 == i), path, ["c_custkey"]) for i in range(2))
+    try:
+        staging.insert_unique(rows.withColumn("c_custkey", F.when(F.col("c_custkey") == 1, 1).otherwise(-F.col("c_custkey"))), path, ["c_custkey"])
+        refused = False
+    except staging.NotUnique:
+        refused = True
+    return spark.read.parquet(path).withColumns({"inserted": F.lit(n).cast("long"), "refused": F.lit(refused)})
+
+
 @query("rel_find_by_ids", "select * from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
 def rel_find_by_ids(spark, sf_dir):
     ids = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.functions.segments import Segments
 from chronolith.operators.series import Series, violations
+from chronolith.sources.scratch import scratch
 
 #: Rows of a file at most.
 ROWS_PER_FILE = 1_000_000
@@ -115,3 +116,18 @@ def iterate(spark: SparkSession, path: str, seq: str, reverse: bool = False) ->
 def without_series(df: DataFrame, spec: Series, keys: list) -> DataFrame:
     """All but the series of these keys."""
     return df.where(~F.coalesce(F.col(spec.key).isin(keys), F.lit(False)))
+
+
+def with_places(ordered: DataFrame, name: str, first: int = 0) -> DataFrame:
+    """``ordered`` with ``name``, each row's place in the order in which it comes, from ``first``.
+
+    The rows are written as they come, with the number of their task; tasks are counted and rows numbered within them.
+    """
+    spark = ordered.sparkSession
+    path = scratch(spark, "places")
+    ordered.select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_nth")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = rows.groupBy("_task").agg(F.count("*").alias("_c"))  # one row a task
+    before = sizes.select("_task", F.coalesce(F.sum("_c").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1)) + first  # Spark's ids have the task above 33 bits
+    return rows.join(F.broadcast(before), "_task").withColumn(name, place).drop("_task", "_nth", "_before")

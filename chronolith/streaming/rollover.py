@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chronolith.sources import files
 
-STATUS = "key {key}, segment_from timestamp_ntz, n long, first_ts timestamp_ntz, last_ts timestamp_ntz, status string, batch long"
+STATUS = "key {key}, segment_from timestamp_ntz, n long, first_ts timestamp_ntz, last_ts timestamp_ntz, status string, segment string, batch long"
 #: The batch id of ``finish``, beyond all of a stream.
 LAST = (1 << 62) - 1
 
@@ -48,7 +48,7 @@ class Rollover:
         return self._table(spark, "history", self._rows)
 
     def status(self, spark: SparkSession) -> DataFrame:
-        """(key, segment_from, n, first_ts, last_ts, status, batch) of closed segments."""
+        """(key, segment_from, n, first_ts, last_ts, status, segment, batch) of closed segments."""
         return self._table(spark, "status", STATUS.format(key=self.key))
 
     def rejected(self, spark: SparkSession) -> DataFrame:
@@ -124,7 +124,7 @@ class Rollover:
         left.write.mode("overwrite").parquet(f"{self.path}/open/batch={batch_id}")
 
     def _closed_before(self, spark: SparkSession, names: list[str], batch_id: int) -> DataFrame:
-        base, schema = f"{self.path}/status", f"{STATUS.format(key=self.key)}, segment string"
+        base, schema = f"{self.path}/status", STATUS.format(key=self.key)
         paths = [p for p in (f"{base}/segment={n}" for n in names) if files.exists(spark, p)]
         held = spark.read.schema(schema).option("basePath", base).parquet(*paths) if paths else spark.createDataFrame([], schema)
         return held.where(F.col("batch") < batch_id).select("key", "segment_from")
