@@ -27,7 +27,7 @@ _WORDS = f" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?
 _SPACED = re.compile(f" [^{_S}]").match
 _PLAIN = "[\\t\\n\\r\x20-\x7e\xa0-\u024f]*"
 REMEMBERED, LONG = 250_000, 60  # words (some 200 bytes each; longer ones not) in each of two generations that a worker remembers
-CHUNK = 1 << 22  # characters of texts that are encoded together
+CHUNK = 1 << 21  # characters of texts that are encoded together, by a worker that remembers REMEMBERED words; in proportion by others
 
 
 class _Ids:
@@ -104,6 +104,7 @@ class ByteBpe:
                 self.lengths[i] = len(bytes(table[c] for c in token))
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.known = _Ids(self.tokenizer, remembered, self.lengths)
+        self.chunk = CHUNK * remembered // REMEMBERED
         split = model.get("pre_tokenizer") or {}
         usual = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and not model.get("normalizer")
         self.words = re.compile(_WORDS).findall if usual else None
@@ -114,11 +115,11 @@ class ByteBpe:
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: list[str]):
-        """The ids of each of some texts; they are taken CHUNK characters at a time."""
+        """The ids of each of some texts; they are taken ``chunk`` characters at a time."""
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHUNK):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= self.chunk):
                 size += len(texts[hi])
                 hi += 1
             cut = [self.words(t) if self.words and self.plain(t) and not any(x in t for x in self.special) else None for t in texts[lo:hi]]

@@ -209,13 +209,15 @@ _prime_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _prime_powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**31 - 1."""
+    """Powers of a base and of its inverse modulo 2**31 - 1, four bytes each, as workers keep them."""
     if which not in _prime_tables or len(_prime_tables[which][0]) < n + 1:
-        made = []
+        size, made = max(n + 1, 1 << 16), []
         for base in (_PRIME_BASES[which], pow(_PRIME_BASES[which], -1, _P31)):
-            a = np.ones(1, np.uint64)
-            while len(a) < max(n + 1, 1 << 16):
-                a = np.concatenate([a, a * np.uint64(pow(base, len(a), _P31)) % np.uint64(_P31)])
+            a, k = np.ones(size, np.uint32), 1
+            while k < size:
+                more = min(k, size - k)
+                a[k : k + more] = a[:more] * np.uint64(pow(base, k, _P31)) % np.uint64(_P31)
+                k += more
             made.append(a)
         _prime_tables[which] = (made[0], made[1])
     return _prime_tables[which]

@@ -139,3 +139,13 @@ def test_texts_that_powers_of_two_cannot_tell_apart(spark):
     assert Rolling(a).span(*whole) == Rolling(b).span(*whole) and PrimeRolling(a).span(*whole) != PrimeRolling(b).span(*whole)
     rows = [(1, one), (2, two)]
     assert found(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_prime_hashes_are_polynomials_of_the_span():
+    from chronolith.llm import common
+
+    data = np.random.default_rng(1).integers(0, 256, 70_000).astype(np.uint8)
+    prime, roll = (1 << 31) - 1, common.PrimeRolling(data)
+    for s, e in ((0, 1), (0, 10), (17, 400), (69_000, 70_000)):
+        high, low = (sum((x + 1) * pow(base, k, prime) for k, x in enumerate(data[s:e].tolist())) % prime for base in common._PRIME_BASES)
+        assert int(roll.span(np.array([s]), np.array([e]))[0]) == high << 31 | low
