@@ -18,6 +18,7 @@ from chronolith.sources import bucketed, store
 from chronolith.sources.scratch import scratch
 from chronolith.sources.segment_store import SegmentStore
 from chronolith.streaming import live
+from chronolith.streaming.ingest import Ingest, expired
 from chronolith.streaming.rollover import Rollover
 
 EVENTS = Series(key="user_id", end="ts", seq="event_id")
@@ -397,25 +398,50 @@ LIVE = (
 LANDED = 2  # files that arrive one after another
 
 
-def _ingested(spark, sf_dir) -> DataFrame:
-    """The stream of the events' statuses."""
+ARRIVING = Series(key="user_id", end="ts", seq="seq", start="start")
+
+
+def _arriving(spark, sf_dir) -> DataFrame:
+    """The stream of the events, in the order of ``seq``."""
     source = flipped(spark, sf_dir).withColumn("start", F.when(F.col("event_id") % 97 == 0, F.timestamp_add("SECOND", F.lit(1), F.col("ts"))).otherwise(F.col("ts")))
     landing = scratch(spark, "landing")
     top = source.agg(F.max("seq")).first()[0] or 0
     for i in range(LANDED):  # each trigger takes one file, so a state call sees a slice of a key's rows
         part = source.where((F.col("seq") * LANDED >= (top + 1) * i) & (F.col("seq") * LANDED < (top + 1) * (i + 1)))
         part.coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    return live.live_ingest(stream, Series(key="user_id", end="ts", seq="seq", start="start"), Segments("day"), "value")
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+def _run(stream: DataFrame, persist) -> None:
+    stream.writeStream.foreachBatch(persist).option("checkpointLocation", scratch(stream.sparkSession, "live-state")).trigger(availableNow=True).start().awaitTermination()
+
+
+def _ingest(spark, sf_dir, then=None) -> Ingest:
+    sink = Ingest(scratch(spark, "ingest"), ARRIVING, Segments("day"), "value", then=then)
+    _run(_arriving(spark, sf_dir), sink.persist)
+    return sink
 
 
 @query("live_ingest", LIVE)
 def live_ingest(spark, sf_dir):
+    return _ingest(spark, sf_dir).rows(spark).select("key", "seq", "end_ts", "value", "status", "rolled_over")
+
+
+@query("live_ingest_stateful", LIVE)
+def live_ingest_stateful(spark, sf_dir):
+    """The same by the engine's own state, as a stream that other streaming operators can follow."""
     out, state = (scratch(spark, name) for name in ("live", "live-state"))
-    _ingested(spark, sf_dir).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    rows = live.live_ingest(_arriving(spark, sf_dir), ARRIVING, Segments("day"), "value")
+    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select("key", "seq", F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "value", "status", "rolled_over")
 
 
+@query("live_expired", f"with r as ({LIVE}) select key, max(end_ts) as last_end, cast(date_trunc('day', max(end_ts)) as timestamp) as segment_from, max(end_ts) < timestamp '2024-01-30' as expired from r where status = 'accepted' group by key")
+def live_expired(spark, sf_dir):
+    """States of the keys, and whether they are older than two days at the first of February."""
+    return expired(_ingest(spark, sf_dir).states(spark), F.lit(datetime(2024, 2, 1)).cast("timestamp_ntz"), 2 * 86_400)
+
+
 def _two_tables(spark, sf_dir):
     """History, and a live table whose values are larger by 1."""
     rows = events(spark, sf_dir)
@@ -591,7 +617,7 @@ ROLLED = LIVE.replace("select c.key, c.seq, c.ts as end_ts", "select c.key, c.se
 def _rolled(spark, sf_dir) -> Rollover:
     """The live ingest's rows, two micro-batches, into history, status and live tables."""
     sink = Rollover(scratch(spark, "rollover"))
-    _ingested(spark, sf_dir).writeStream.foreachBatch(sink.persist).option("checkpointLocation", scratch(spark, "live-state")).trigger(availableNow=True).start().awaitTermination()
+    _ingest(spark, sf_dir, sink.persist)
     return sink
 
 
