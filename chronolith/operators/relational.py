@@ -65,6 +65,24 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return rows.withColumn("row_number", F.row_number().over(W.orderBy(*order)) - 1 + number * size)  # ``size`` rows
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], after: dict | None, size: int) -> DataFrame:
+    """The ``size`` rows that follow the row ``after`` (its order columns; None: from the start), in order.
+
+    ``order`` names columns that tell rows apart and aren't null, each with whether it descends. Nothing before the page is
+    sorted or counted: the bound of the first column reaches the scan, and each task keeps ``size`` rows.
+    """
+    rows = df
+    if after is not None:
+        beyond = lambda c, falls: F.col(c) < F.lit(after[c]) if falls else F.col(c) > F.lit(after[c])
+        follows = F.lit(False)
+        for c, falls in reversed(order):
+            follows = beyond(c, falls) | ((F.col(c) == F.lit(after[c])) & follows)
+        first, falls = order[0]
+        bound = F.col(first) <= F.lit(after[first]) if falls else F.col(first) >= F.lit(after[first])
+        rows = rows.where(bound & follows)
+    return rows.orderBy(*[F.desc(c) if falls else F.asc(c) for c, falls in order]).limit(size)
+
+
 def with_total(paged: DataFrame, df: DataFrame) -> DataFrame:
     """A page with ``total``, the number of all rows."""
     return paged.crossJoin(F.broadcast(df.agg(F.count("*").alias("total"))))  # one row

@@ -464,6 +464,34 @@ def update_resume(spark, sf_dir):
     return store.resumed(store.until(stored, EVENTS, F.lit(LOW).cast("timestamp_ntz")), source, EVENTS)
 
 
+@query("update_load", SQL["update_resume"])
+def update_load(spark, sf_dir):
+    """The source is asked for rows from each key's resume point on."""
+    stored, source = _two_tables(spark, sf_dir)
+
+    def load(points):
+        asked = source.join(points, "user_id", "left")
+        return asked.where(F.col("resume_at").isNull() | (F.col("ts") >= F.col("resume_at"))).drop("resume_at")
+
+    return store.update(store.until(stored, EVENTS, F.lit(LOW).cast("timestamp_ntz")), load, EVENTS)
+
+
+@query("live_rollover_guard", f"select exists (select 1 from events where ts >= timestamp '{LOW}') as refused, count(*) filter (ts < timestamp '{LOW}') as history, count(*) filter (ts >= timestamp '{LOW}') as live from events")
+def live_rollover_guard(spark, sf_dir):
+    """History that reaches into the live segment is refused; history that ends before it is taken."""
+    rows = events(spark, sf_dir)
+    before = rows.where(F.col("ts") < F.lit(LOW).cast("timestamp_ntz"))
+    live.check_rollover(before, EVENTS, LOW)
+    try:
+        live.check_rollover(rows, EVENTS, LOW)
+        refused = False
+    except ValueError:
+        refused = True
+    whole = live.unified(before, rows, "ts", F.lit(LOW).cast("timestamp_ntz"))
+    old = F.col("ts") < F.lit(LOW).cast("timestamp_ntz")
+    return whole.agg(F.count_if(old).alias("history"), F.count_if(~old).alias("live")).withColumn("refused", F.lit(refused))
+
+
 @query("update_progress", f"select user_id, count(*) as rows, min(ts) as first, max(ts) as last, least(100.0, greatest(0.0, round(100.0 * date_sub('second', timestamp '{LOW}', max(ts)) / date_sub('second', timestamp '{LOW}', timestamp '{HIGH}'), 6))) as percent from events group by user_id")
 def update_progress(spark, sf_dir):
     return store.progress(events(spark, sf_dir), EVENTS, LOW, HIGH)
@@ -784,6 +812,18 @@ def rt_append_only(spark, sf_dir):
     return rt.append_only(rows, rows.withColumn("c_custkey", F.col("c_custkey") + 1_000_000), rt.Table("c_custkey"))
 
 
+@query("rt_append_refused", "select c_custkey, c_acctbal, exists (select 1 from customer where c_custkey = 7) as refused from customer")
+def rt_append_refused(spark, sf_dir):
+    """A batch of new keys but for one that is there already."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    new = rows.withColumn("c_custkey", F.when(F.col("c_custkey") == 7, 7).otherwise(-F.col("c_custkey") - 1))
+    try:
+        held, refused = rt.append_only(rows, new, rt.Table("c_custkey")), False
+    except ValueError:
+        held, refused = rows, True
+    return held.withColumn("refused", F.lit(refused))
+
+
 @query("rt_remove_all", PRICE + " where not (l_linenumber > 3 or l_orderkey % 5 = 0)")
 def rt_remove_all(spark, sf_dir):
     return rt.remove_all(lines(spark, sf_dir), F.expr("l_linenumber > 3 or l_orderkey % 5 = 0"))
@@ -804,6 +844,14 @@ def rt_purge(spark, sf_dir):
     return rt.purge(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", F.lit(datetime(2024, 1, 20)), 25 * 86_400)
 
 
+@query("rt_purge_ages", "select d.days, event_id from events, (values (5), (19), (20), (40)) as d(days) where (select min(ts) from events) >= timestamp '2024-01-20' - to_days(d.days)")
+def rt_purge_ages(spark, sf_dir):
+    """A table that expires as a whole after 5, 19, 20 and 40 days; its first row is 18 to 19 days old."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts")
+    kept = [rt.purge(rows, "ts", F.lit(datetime(2024, 1, 20)), days * 86_400).select(F.lit(days).alias("days"), "event_id") for days in (5, 19, 20, 40)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2]).unionByName(kept[3])
+
+
 @query("rt_range", PRICE + " where l_orderkey = 7 and l_linenumber between 1 and 3")
 def rt_range(spark, sf_dir):
     return rt.range_of(lines(spark, sf_dir), LINES, 7, 1, 3)
@@ -850,6 +898,14 @@ def rel_page(spark, sf_dir):
     return rel.with_total(rel.page(table(spark, sf_dir, "orders"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2, 50), table(spark, sf_dir, "orders"))
 
 
+@query("rel_page_after", "with t as (select *, row_number() over (order by o_totalprice desc, o_orderkey) as n from orders) select o_orderkey, o_totalprice from t where n between 41 and 80")
+def rel_page_after(spark, sf_dir):
+    """The second page of 40, from the last row of the first one on."""
+    rows, order = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [("o_totalprice", True), ("o_orderkey", False)]
+    first = rel.page_after(rows, order, None, 40).orderBy(F.asc("o_totalprice"), F.desc("o_orderkey")).first()
+    return rel.page_after(rows, order, first.asDict() if first else None, 40)
+
+
 @query("rel_find_all", "select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' order by c_custkey limit 20 offset 5")
 def rel_find_all(spark, sf_dir):
     return rel.find_all(table(spark, sf_dir, "customer"), {"c_mktsegment": "BUILDING"}, [F.col("c_custkey")], 5, 20).select("c_custkey", "c_name")
