@@ -53,6 +53,15 @@ def _bucket(spec: Series, ts: Column) -> Column:
     return bucket_of(spec.bucket, ts)
 
 
+def _dealt(both: DataFrame, bucket: str | int | None) -> DataFrame:
+    """Rows and probes with key and bucket (a null time's comes first) as structs.
+
+    A struct with a null in it equals another one, so a plain join on both keeps nulls and the partitioning of the windows.
+    """
+    t = F.col("_t")
+    return both.withColumns({"_k": F.struct("_k"), "_b": F.struct(t.isNotNull().alias("_timed"), bucket_of(bucket, t).alias("_at"))})
+
+
 def _bases(counts: DataFrame) -> DataFrame:
     """(_k, _b, _c rows) with ``_base``, the rows of the key in earlier buckets, and ``_n``, all its rows."""
     before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -74,7 +83,7 @@ def locate(df: DataFrame, spec: Series, probes: DataFrame, key: str, at: str) ->
     rows = spec.rows(df).select(F.col(spec.key).alias("_k"), F.col(spec.end).alias("_t"), F.lit(1).alias("_row"))
     kept = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
     asked = probes.select(F.col(key).alias("_k"), ts.alias("_t"), F.lit(0).alias("_row"), kept.alias("_probe"))
-    both = rows.unionByName(asked, allowMissingColumns=True).withColumn("_b", _bucket(spec, F.col("_t")))
+    both = _dealt(rows.unionByName(asked, allowMissingColumns=True), spec.bucket)
     bases = _bases(both.groupBy("_k", "_b").agg(F.sum("_row").alias("_c")))
     in_bucket = W.partitionBy("_k", "_b").orderBy("_t")
     counted = both.withColumns(
@@ -84,7 +93,7 @@ def locate(df: DataFrame, spec: Series, probes: DataFrame, key: str, at: str) ->
         }
     ).where("_row = 0")
     other = bases.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "_base", "_n")
-    found = counted.join(other, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    found = counted.join(other, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")))
     timeless = F.col("_t").isNull()
     le = F.when(timeless, F.col("_n")).otherwise(F.col("_base") + F.col("_le"))
     lt = F.when(timeless, F.col("_n")).otherwise(F.col("_base") + F.col("_le") - F.col("_eq"))
@@ -105,17 +114,17 @@ def as_of(rows: DataFrame, probes: DataFrame, on: tuple[str, str, str], at: tupl
     kept = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
     known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_t"), F.col(tie).alias("_s"), F.lit(0).alias("_asks"), F.struct(*columns).alias("_row"))
     asked = probes.select(F.col(at[0]).alias("_k"), F.col(at[1]).alias("_t"), F.lit(1).alias("_asks"), kept.alias("_probe"))
-    both = known.unionByName(asked, allowMissingColumns=True).withColumn("_b", bucket_of(bucket, F.col("_t")))
+    both = _dealt(known.unionByName(asked, allowMissingColumns=True), bucket)
     rank = F.when(F.col("_asks") == 0, F.struct(F.col("_t").isNotNull(), "_t", "_s"))
     ends = both.groupBy("_k", "_b").agg(F.min_by("_row", rank).alias("_low"), F.max_by("_row", rank).alias("_high"))
-    up, down = W.partitionBy("_k").orderBy(F.asc_nulls_first("_b")), W.partitionBy("_k").orderBy(F.desc_nulls_last("_b"))
+    up, down = W.partitionBy("_k").orderBy(F.asc("_b")), W.partitionBy("_k").orderBy(F.desc("_b"))
     whole = (W.unboundedPreceding, W.unboundedFollowing)
     carried = F.last("_low" if forward else "_high", True).over((down if forward else up).rowsBetween(W.unboundedPreceding, -1))
     least, most = F.first("_low", True).over(up.rowsBetween(*whole)), F.last("_high", True).over(up.rowsBetween(*whole))
     outer = ends.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), carried.alias("_carried"), least.alias("_least"), most.alias("_most"))
     near = W.partitionBy("_k", "_b").orderBy(*([F.desc_nulls_last("_t"), "_asks", F.desc("_s")] if forward else [F.asc_nulls_first("_t"), "_asks", "_s"]))
     seen = both.withColumn("_near", F.last("_row", True).over(near.rowsBetween(W.unboundedPreceding, W.currentRow))).where("_asks = 1")
-    found = seen.join(outer, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    found = seen.join(outer, (F.col("_k") == F.col("_k2")) & (F.col("_b") == F.col("_b2")))
     row = F.coalesce("_near", "_carried", *(["_most" if forward else "_least"] if fallback else []))
     row = F.when(F.col("_t").isNull(), F.col("_most")).otherwise(row)
     return found.withColumn("_got", row).select("_probe.*", *[F.col(f"_got.{c}").alias(c) for c in columns])
