@@ -12,6 +12,7 @@ from chronolith.session import local_session
 HEADLINE = [
     "ts_full_scan", "ts_range", "ts_range_reverse", "ts_latest", "ts_latest_index", "ts_at_index", "ts_count", "ts_previous", "ts_next_3",
     "ts_edges", "ts_states", "hist_previous_values", "seg_days_10", "seg_counts", "seg_of_position", "live_ingest", "update_resume",
+    "store_update", "store_counts", "store_latest", "store_latest_few", "live_rollover_history", "rt_get_bucketed", "bitmap_counts",
     "store_round_trip", "rt_apply_changes", "rt_put", "rt_get", "rel_page", "rel_save_all", "bench_ordered_scan", "bench_point_lookups", "bench_latest_as_of",
 ]
 
