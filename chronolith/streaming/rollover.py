@@ -87,7 +87,7 @@ class Rollover:
         plain.write.mode("overwrite").parquet(f"{self.path}/arrived/batch={batch_id}")
         arrived = spark.read.schema(plain.schema).parquet(f"{self.path}/arrived/batch={batch_id}").withColumn("batch", F.lit(batch_id))
         names = [part.split()[0] for part in self._rows.split(", ")]
-        self._write(arrived.where("status = 'accepted'").select(*names), "live", ["segment", "batch"])
+        self._write(arrived.where("status = 'accepted'").select(*names).hint("rebalance", "segment"), "live", ["segment", "batch"])
         self._write(arrived.where("status <> 'accepted'").select(*[c for c in names if c != "segment"], "status"), "rejected", ["batch"])
         before = max((i for i in snapshots if i < batch_id), default=None)
         self._roll(spark, batch_id, before, arrived.where("status = 'accepted'").select("key", "segment_from", "segment").distinct())
@@ -119,7 +119,7 @@ class Rollover:
             moved = rows.withColumn("batch", F.lit(batch_id).cast("long"))
             self._write(moved.select(*[part.split()[0] for part in self._rows.split(", ")]).repartitionByRange("segment", "key", "end_ts").sortWithinPartitions("segment", "key", "end_ts", "seq"), "history", ["segment", "batch"])
             done = rows.groupBy("key", "segment_from", "segment").agg(F.count("*").alias("n"), F.min("end_ts").alias("first_ts"), F.max("end_ts").alias("last_ts"))
-            self._write(done.withColumns({"status": F.lit("COMPLETE"), "batch": F.lit(batch_id).cast("long")}), "status", ["segment", "batch"])
+            self._write(done.withColumns({"status": F.lit("COMPLETE"), "batch": F.lit(batch_id).cast("long")}).hint("rebalance", "segment"), "status", ["segment", "batch"])
         left = known.limit(0) if seen is None else newest.select("key", F.col("_newest").alias("segment_from"), F.col("_segment").alias("segment"))
         left.write.mode("overwrite").parquet(f"{self.path}/open/batch={batch_id}")
 
