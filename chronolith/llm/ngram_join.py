@@ -6,9 +6,10 @@
    (frequency class, n-gram), so n-grams of one set only come first. A wrongly shared 40-bit key adds a candidate, no more.
 3. If two sets of sizes a and b are similar, they share at least one of the first a - ceil(0.75 a) + 1 n-grams of the
    order, and at least 0.75 a of each set's n-grams are shared ones; other sets leave here. The shared part of each
-   prefix is dealt out by n-gram. The sets of one n-gram's list, ordered by size, are chained where the next size is in
-   reach; a bucket of lists passes on a forest of its chains. So two similar sets always end up in one component of the
-   chains, and nothing is written for each pair.
+   prefix is dealt out by n-gram, with the number of n-grams from it to the end of the order. If it is the first that two
+   sets share, they overlap by no more than the smaller of the two numbers. The sets of one n-gram's list, ordered by
+   size, are chained where that bound and the sizes allow it; a bucket of lists passes on a forest of its chains. So two
+   similar sets always end up in one component of the chains, and nothing is written for each pair.
 4. Each set goes once to its component (small ones share a task), where the sets, in one order (most frequent n-grams
    first), form a trie. It is traversed for one probe at a time: sets below a node share the overlap so far, a subtree is
    left where the n-grams that remain can't reach the bound, or where all its sets are in the probe's group already. The
@@ -154,8 +155,8 @@ def _shared_keys(dbits):
 
 
 def _prefixes(percent, bits):
-    """Of one bucket of documents: the shared part of their prefixes, by n-gram, packed."""
-    names = ["bucket", "grams", "docs", "sizes"]
+    """Of one bucket of documents: the shared part of their prefixes, by n-gram, packed, with what remains from there."""
+    names = ["bucket", "grams", "docs", "sizes", "rests"]
 
     @grouped
     def run(key, batches):
@@ -178,31 +179,56 @@ def _prefixes(percent, bits):
         need = -(-percent * n // 100)
         # one n-gram of slack, should two of a set have fallen on one key
         keep = (shared + 1 >= need) & (place < n - need + 2)
-        g, d, n = g[keep], d[keep], n[keep]
+        g, d, n, left = g[keep], d[keep], n[keep], (n - place)[keep]
         home = (mix(g) >> U64(64 - bits)).astype(np.int64)
         order = np.argsort(home, kind="stable")
-        g, d, n, home = (a[order] for a in (g, d, n, home))
-        rows = [(int(home[lo]), planes(g[lo:hi]), planes(d[lo:hi]), planes(n[lo:hi].astype(np.uint32))) for lo, hi in zip(*_runs(home))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (_I, *[_B] * 3))], names)
+        g, d, n, left, home = (a[order] for a in (g, d, n.astype(np.uint32), left.astype(np.uint32), home))
+        rows = [(int(home[lo]), *(planes(a[lo:hi]) for a in (g, d, n, left))) for lo, hi in zip(*_runs(home))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (_I, *[_B] * 4))], names)
 
     return run
 
 
+def chained(g: np.ndarray, n: np.ndarray, left: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places that join what may be similar in lists sorted by (n-gram, size), at most one for each place.
+
+    A set of size a with ``left`` n-grams from here on can only be similar to sets of up to most = left * (100 + percent) /
+    percent - a; sets may be similar if neither is larger than the other's most. Of the smaller sets within its most, each
+    set takes the one with the largest most, if that reaches it. Any other smaller set that may be similar to it may be
+    similar to the one taken, too: both are of its size at most, and the most of both reaches it. So the pairs join just
+    what pairs of all that may be similar would join.
+    """
+    at, wide = np.arange(len(g)), U64(32)
+    most = np.clip(left * (100 + percent) // percent - n, 0, (1 << 32) - 1)
+    start, end = _runs(g)
+    long = end - start
+    run = np.repeat(np.arange(len(start)), long).astype(U64) << wide
+    top = run | most.astype(U64)
+    best = np.maximum.accumulate(top)
+    holder = np.maximum.accumulate(np.where(np.r_[True, best[1:] > best[:-1]], at, 0)) if len(g) else at
+    until = np.minimum(at, np.searchsorted(run | n.astype(U64), top, "right"))
+    some = np.flatnonzero(until > np.repeat(start, long))
+    taken = holder[until[some] - 1]
+    near = most[taken] >= n[some]
+    return taken[near], some[near]
+
+
 def _chains(percent):
     """Of one bucket of n-grams: a forest of the chains of its lists."""
 
     @grouped
     def run(key, batches):
-        cols = [[], [], []]
+        cols = [[], [], [], []]
         for t in batches:
             for r in t.to_pylist():
-                for to, name, kind in zip(cols, ("grams", "docs", "sizes"), (U64, np.int64, np.uint32)):
+                for to, name, kind in zip(cols, ("grams", "docs", "sizes", "rests"), (U64, np.int64, np.uint32, np.uint32)):
                     to.append(unplanes(r[name], kind))
-        g, d, n = cat(cols[0], U64), cat(cols[1], np.int64), cat(cols[2], np.uint32).astype(np.int64)
+        g, d, n, left = cat(cols[0], U64), cat(cols[1], np.int64), cat(cols[2], np.uint32), cat(cols[3], np.uint32)
         order = np.lexsort((d, n, g))
-        g, d, n = g[order], d[order], n[order]
-        chained = np.flatnonzero((g[1:] == g[:-1]) & (100 * n[:-1] >= percent * n[1:]))
-        names, ends = np.unique(np.r_[d[chained], d[chained + 1]], return_inverse=True)
+        g, d, n, left = g[order], d[order], n[order].astype(np.int64), left[order].astype(np.int64)
+        one, two = chained(g, n, left, percent)
+        one, two = d[one], d[two]
+        names, ends = np.unique(np.r_[one, two][np.tile(one != two, 2)], return_inverse=True)
         links = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
         yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], _L) for i in (0, 1)], ["a", "b"])
 
@@ -264,10 +290,11 @@ class Trie:
         self.first = np.cumsum(counts) - counts
         self.children, self.counts = np.array([c for n in nodes for c in n[6]], np.int64), counts
         self.leaf = counts == 0
+        self.inside = np.zeros(int(self.tokens.max(initial=0)) + 1, bool)  # the probe's numbers, while one is on its way
 
     def near(self, probe: np.ndarray, size: int, percent: int, done) -> np.ndarray:
-        """Places of the sequences whose sets are similar to the ``probe`` of a set of ``size``; ``done(nodes)`` are left out."""
-        inside = np.zeros(int(max(self.tokens.max(initial=0), probe.max(initial=0))) + 1, bool)
+        """Places of the sequences whose sets are similar to the ``probe``, one of them, of a set of ``size``; ``done(nodes)`` are left out."""
+        inside = self.inside
         inside[probe] = True
         nodes, overlap, found = self.roots, np.zeros(len(self.roots), np.int64), []
         while len(nodes):
@@ -289,6 +316,7 @@ class Trie:
             stop = np.cumsum(counts)
             place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.first[nodes] - stop + counts, counts)
             nodes, overlap = self.children[place], np.repeat(overlap, counts)
+        inside[probe] = False
         return cat(found, np.int64)
 
 
@@ -313,16 +341,18 @@ def trie_links(sets: list[np.ndarray], percent: int, labels: np.ndarray | None =
     group = np.unique(labels, return_inverse=True)[1] if labels is not None else np.arange(n)
     links: list[tuple[int, int]] = []
     anchor = int(np.flatnonzero(group == np.bincount(group).argmax())[0]) if labels is not None else -1
+    there = None  # the group of each place, and where its run of places of one group ends
     for i in np.argsort(-central, kind="stable").tolist() if n > 1 else []:
         if anchor < 0:
             anchor = i  # probes, and gathers the group whose other sets needn't
         elif group[i] == group[anchor]:
             continue
-        if (group == group[0]).all():
-            break
-        there = group[trie.order]
-        change = np.flatnonzero(np.r_[there[1:] != there[:-1], True])
-        until = change[np.searchsorted(change, np.arange(n))] + 1
+        if there is None:
+            if (group == group[0]).all():
+                break
+            there = group[trie.order]
+            change = np.flatnonzero(np.r_[there[1:] != there[:-1], True])
+            until = change[np.searchsorted(change, np.arange(n))] + 1
         mine = group[i]
         hit = trie.order[trie.near(sequences[i], int(sizes[i]), percent, lambda k: (there[trie.lo[k]] == mine) & (until[trie.lo[k]] >= trie.hi[k]))]
         hit = hit[group[hit] != mine]
@@ -330,6 +360,7 @@ def trie_links(sets: list[np.ndarray], percent: int, labels: np.ndarray | None =
             other, first = np.unique(group[hit], return_index=True)
             links += [(i, int(j)) for j in hit[first]]
             group[np.isin(group, other)] = mine
+            there = None
     return links, group, central
 
 
@@ -427,7 +458,7 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     bits, dbits = bucket_bits(spark, 2), bucket_bits(spark, 1)
     keys = reps.mapInArrow(mapped(_keys_pass(width, bits)), "bucket int, keys binary, docs binary, counts binary, sizes binary")
     shared = keys.groupBy("bucket").applyInArrow(_shared_keys(dbits), "dbucket int, grams binary, kinds binary, docs binary, counts binary, sizes binary")
-    prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary")
+    prefixes = shared.groupBy("dbucket").applyInArrow(_prefixes(percent, bits), "bucket int, grams binary, docs binary, sizes binary, rests binary")
     chains = written(prefixes.groupBy("bucket").applyInArrow(_chains(percent), "a long, b long"), "ngram-chains")
     sized = classes.select(F.col("rep").alias("node"), "n")
     member = written(components(chains).select("node", F.col("component").alias("comp")).join(sized, "node"), "ngram-candidates")

@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronolith.llm.ngram_join import ngram_join, op10_ngram_join, trie_links
+from chronolith.llm.ngram_join import chained, ngram_join, op10_ngram_join, trie_links
 
 
 def shingles(text):
@@ -133,3 +134,37 @@ def test_telling_hashes_are_equal_for_equal_words_only(texts):
     words = [(i, w) for i, t in enumerate(texts) for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))]
     assert [i for i, _ in words] == rows.tolist()
     assert len(set(zip(hashes.tolist(), (w for _, w in words)))) == len(set(hashes.tolist())) == len({w for _, w in words})
+
+
+def test_chains_join_what_may_be_similar_and_no_more():
+    """Against all pairs of a list."""
+    rnd = random.Random(31)
+    for _ in range(300):
+        rows = sorted((rnd.randrange(3), n := rnd.randrange(1, 40), rnd.randrange(max(1, n - 12), n + 1)) for _ in range(rnd.randrange(0, 30)))
+        g, n, left = (np.array([r[k] for r in rows], t) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+        pairs = [(i, j) for j in range(len(rows)) for i in range(j) if g[i] == g[j] and 75 * (n[i] + n[j]) <= 175 * min(left[i], left[j])]
+        got = list(zip(*(a.tolist() for a in chained(g, n, left, 75))))
+        assert set(got) <= set(pairs) and len(got) < max(1, len(rows))
+
+        def groups(links):
+            name = list(range(len(rows)))
+            for a, b in links:
+                name = [name[a] if x == name[b] else x for x in name]
+            return [name.index(x) for x in name]
+
+        assert groups(got) == groups(pairs)
+
+
+@pytest.mark.parametrize("own", [24, 10])
+def test_documents_of_one_template(spark, own, monkeypatch):
+    """Many documents that share most words of a template: with 24 own words of 120 none are similar, with 10 all are."""
+    import chronolith.llm.ngram_join as m
+
+    rnd = random.Random(7)
+    template = [f"t{i}" for i in range(120 - own)]
+    rows = [(i, " ".join(template + [f"w{rnd.randrange(10**9)}" for _ in range(own)])) for i in range(400)]
+    seen = []
+    monkeypatch.setattr(m, "_in_blocks", lambda member, *rest, old=m._in_blocks: (seen.append(member.count()), old(member, *rest))[1])
+    got = sorted(map(tuple, ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
+    assert seen == [0 if own == 24 else 400]  # documents that can't be similar aren't compared
