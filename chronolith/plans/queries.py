@@ -16,6 +16,7 @@ from chronolith.operators import segmented, series, staging
 from chronolith.operators.series import Series
 from chronolith.sources import bucketed, store
 from chronolith.sources.scratch import scratch
+from chronolith.sources.segment_source import Segment, read_segments, stored_segments
 from chronolith.sources.segment_store import SegmentStore
 from chronolith.streaming import live
 from chronolith.streaming.ingest import Ingest, expired
@@ -639,6 +640,15 @@ def store_latest_few(spark, sf_dir):
     return event_store(spark, events(spark, sf_dir)).latest(asked, "user_id", "at", ROW).select("probe_id", "user_id", *ROW)
 
 
+@query("seg_source", f"select user_id, ts, event_id, value from events where ts {BETWEEN}")
+def seg_source(spark, sf_dir):
+    """Segments loaded one by one, only those that the asked times lie in."""
+    made = event_store(spark, events(spark, sf_dir))
+    days = made.summary(spark).select("segment", "segment_from", "segment_to").distinct().collect()  # one row a folder
+    load = stored_segments(f"{made.path}/rows", made.columns)
+    return read_segments(spark, [Segment(*d) for d in sorted(days)], load, made.schema, "ts").where(F.col("ts").between(F.lit(LOW).cast("timestamp_ntz"), F.lit(HIGH).cast("timestamp_ntz")))
+
+
 ROLLED = LIVE.replace("select c.key, c.seq, c.ts as end_ts", "select c.key, c.seq, c.ts as end_ts, date_trunc('day', c.ts) as day", 1)
 
 
