@@ -155,11 +155,15 @@ def get_or_load(rows: DataFrame, keys: DataFrame, table: Table, load: Callable[[
     return rows.unionByName(load(absent).where(F.col(value).isNotNull()))
 
 
+def _not_older(at: Column, now: Column, seconds: int) -> Column:
+    """Whether ``at`` lies at most ``seconds`` before ``now``, to the microsecond."""
+    return F.timestamp_diff("MICROSECOND", at.cast("timestamp"), now.cast("timestamp")) <= seconds * 1_000_000
+
+
 def purge(rows: DataFrame, created: str, now: Column, seconds: int) -> DataFrame:
     """All rows, or none once the table's first row is older than ``seconds``: a table that expires as a whole."""
     first = rows.agg(F.min(created).alias("_first"))
-    age = F.timestamp_diff("SECOND", F.col("_first").cast("timestamp"), now.cast("timestamp"))
-    expired = first.where(age <= seconds).isEmpty()
+    expired = first.where(_not_older(F.col("_first"), now, seconds)).isEmpty()
     return rows.limit(0) if expired else rows
 
 
@@ -170,7 +174,7 @@ def unexpired(rows: DataFrame, created: str, now: Column, every: str) -> DataFra
 
 def younger_than(rows: DataFrame, created: str, now: Column, seconds: int) -> DataFrame:
     """Rows not older than a fixed duration."""
-    return rows.where(F.timestamp_diff("SECOND", F.col(created).cast("timestamp"), now.cast("timestamp")) <= seconds)
+    return rows.where(_not_older(F.col(created), now, seconds))
 
 
 def contains_values(rows: DataFrame, values: DataFrame, value: str) -> DataFrame:

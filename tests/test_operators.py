@@ -52,6 +52,13 @@ def test_purge(spark):
     assert [rt.purge(rows, "at", now, d * 86_400).count() for d in (9, 10)] == [0, 2]
 
 
+def test_age_is_not_cut_to_seconds(spark):
+    rows = spark.createDataFrame([(T0 - timedelta(microseconds=us),) for us in (0, 1, 500_000, 999_999)], "at timestamp")
+    now = F.lit(T0 + timedelta(days=5))
+    assert [r["at"] for r in rt.younger_than(rows, "at", now, 5 * 86_400).collect()] == [T0]
+    assert rt.purge(rows, "at", now, 5 * 86_400).count() == 0 and rt.purge(rows.where(F.col("at") == F.lit(T0)), "at", now, 5 * 86_400).count() == 1
+
+
 def test_latest_with_ties_and_a_key_of_many_buckets(spark):
     """Against a loop; one key has rows in many days, with days between that hold probes only."""
     rows = [("a", T0 + timedelta(hours=7 * (i // 2)), i) for i in range(200)] + [("b", T0, 1000)]
