@@ -34,6 +34,18 @@ def test_bitmaps_against_sets(spark):
     assert named(got(bitmaps.difference(df["a"], df["b"], ["k"], "i"))) == named(keyed(lambda a, b: a - b))
 
 
+def test_bitmaps_of_sparse_sets_are_no_larger_than_their_numbers(spark):
+    """And hold the least and the greatest numbers there are."""
+    rows = spark.range(2_000).select((F.col("id") % 50).alias("k"), (F.col("id") * 1_000_003).alias("i"))
+    sets = bitmaps.build(rows, ["k"], "i")
+    assert dict(sets.dtypes)["bits"] == "bigint" and sets.count() <= 2_000
+    ends = [-(1 << 63), -(1 << 63) + 1, -65, -64, -63, -1, 0, 63, 64, (1 << 63) - 1]
+    made = bitmaps.build(spark.createDataFrame([(1, i) for i in ends], "k int, i long"), ["k"], "i")
+    assert sorted(r.i for r in bitmaps.members(made, ["k"], "i").collect()) == ends
+    odd = bitmaps.build(spark.createDataFrame([(1, i) for i in ends[1::2]], "k int, i long"), ["k"], "i")
+    assert sorted(r.i for r in bitmaps.difference(made, odd, ["k"], "i").collect()) == ends[::2]
+
+
 @pytest.fixture(scope="module")
 def bucketed_lines(spark, tmp_path_factory):
     name = f"t_{uuid.uuid4().hex}"
