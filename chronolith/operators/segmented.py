@@ -34,15 +34,15 @@ def segment_of_position(counted: DataFrame, spec: Series, probes: DataFrame, key
 def enumerate_segments(windows: DataFrame, segments: Segments, low: str, high: str, max_steps: str = "1 day") -> DataFrame:
     """One row per segment that a row's [low, high] touches; ``max_steps`` must not exceed a segment's length.
 
-    ``nth`` counts the segments of a row from 0 in ascending order, ``nth_back`` in descending order.
+    ``nth`` counts the segments of a row from 0 in ascending order, ``nth_back`` in descending order. Equal rows count once;
+    a row without a low or high end touches nothing. Windows are shuffled, their segments aren't.
     """
-    steps = F.explode(F.sequence(F.col(low), F.col(high), F.expr(f"interval {max_steps}")))
-    ends = windows.select("*", steps.alias("_at")).unionByName(windows.select("*", F.col(high).alias("_at")))
-    start, end = segments.columns(F.col("_at"))
-    touched = ends.select(*windows.columns, start.alias("segment_from"), end.alias("segment_to")).distinct()
-    own = W.partitionBy(*windows.columns)
-    place = lambda order: F.row_number().over(own.orderBy(order)) - 1
-    return touched.withColumns({"nth": place(F.asc("segment_from")), "nth_back": place(F.desc("segment_from"))})
+    held = windows.where(F.col(low).isNotNull() & F.col(high).isNotNull()).distinct()
+    steps = F.concat(F.sequence(F.col(low), F.col(high), F.expr(f"interval {max_steps}")), F.array(high))
+    starts = F.array_distinct(F.transform(steps, lambda at: segments.columns(at)[0]))
+    touched = held.withColumn("_starts", starts).select(*windows.columns, F.size("_starts").alias("_n"), F.posexplode("_starts").alias("nth", "segment_from"))
+    end = segments.columns(F.col("segment_from"))[1]
+    return touched.select(*windows.columns, "segment_from", end.alias("segment_to"), "nth", (F.col("_n") - 1 - F.col("nth")).alias("nth_back"))
 
 
 def next_segment(segments: Segments, ts: Column) -> tuple[Column, Column]:

@@ -52,6 +52,19 @@ def test_purge(spark):
     assert [rt.purge(rows, "at", now, d * 86_400).count() for d in (9, 10)] == [0, 2]
 
 
+def test_segments_are_enumerated_without_a_shuffle_of_them(spark):
+    """Weeks that a year cuts, against each day's segment; equal windows count once, those without an end touch nothing."""
+    made = [(1, T0, T0 + timedelta(days=400)), (1, T0, T0 + timedelta(days=400)), (2, T0, T0), (3, None, T0), (4, T0, None)]
+    windows = spark.createDataFrame(made, "k int, low timestamp_ntz, high timestamp_ntz")
+    out = segmented.enumerate_segments(windows, Segments("week"), "low", "high")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.k, r.nth, r.nth_back, r.segment_from, r.segment_to) for r in out.collect())
+    low, high = Segments("week").columns(F.col("at"))
+    days = spark.createDataFrame([(T0 + timedelta(days=i),) for i in range(401)], "at timestamp_ntz")
+    weeks = sorted({tuple(r) for r in days.select(low, high).collect()})
+    assert got == [(1, i, len(weeks) - 1 - i, *w) for i, w in enumerate(weeks)] + [(2, 0, 0, *weeks[0])]
+
+
 def test_age_is_not_cut_to_seconds(spark):
     rows = spark.createDataFrame([(T0 - timedelta(microseconds=us),) for us in (0, 1, 500_000, 999_999)], "at timestamp")
     now = F.lit(T0 + timedelta(days=5))
