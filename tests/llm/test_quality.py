@@ -106,3 +106,24 @@ def test_target_rows_are_bounded(spark):
     assert common.bounded_share(same, 100, ("doc_id", "text")).count() == 1
     out = importance_resample(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), target_rows=100)
     assert out.count() == 15_000
+
+
+def test_all_target_texts_count(spark):
+    """More of them than the 16,384 that once were the bound; the threshold is that of all, too."""
+    import numpy as np
+
+    from chronolith.llm.quality import log_ratios, quantile, weigh
+
+    n = 17_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 991, F.lit(" "), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    out = importance_resample(docs, labels).toPandas()
+    all_of = weigh(docs, log_ratios(docs, docs)).toPandas().set_index("doc_id")
+    mine = out.set_index("doc_id").log_weight
+    assert np.array_equal(mine.to_numpy(), all_of.log_weight.loc[mine.index].to_numpy())
+    assert not mine.any()  # target and raw texts are the same, so no n-gram weighs anything
+    rows = spark.range(30_001).select((F.pow(F.col("id") - 9_000, F.lit(3)) / 7).alias("w")).cache()
+    held = np.sort([r.w for r in rows.collect()])
+    for share in (0.0, 0.002, 0.37, 0.99999, 1.0):
+        assert np.isclose(quantile(rows, "w", share), np.quantile(held, share), rtol=1e-12)
+    assert quantile(rows.where("w is null"), "w", 0.5) is None
