@@ -396,30 +396,27 @@ LIVE = (
     "d as (select key, seq, date_trunc('day', ts) > lag(date_trunc('day', ts)) over (partition by key order by seq) as rolled from c where status = 'accepted') "
     "select c.key, c.seq, c.ts as end_ts, c.value, c.status, coalesce(d.rolled, false) as rolled_over from c left join d on d.key = c.key and d.seq = c.seq"
 )
-LANDED = 2  # files that arrive one after another
+LANDED = 2  # parts that arrive one after another
 
 
 ARRIVING = Series(key="user_id", end="ts", seq="seq", start="start")
 
 
-def _arriving(spark, sf_dir) -> DataFrame:
-    """The stream of the events, in the order of ``seq``."""
+def _run(spark, sf_dir, start) -> None:
+    """Streams the events in the order of ``seq``: ``start`` makes a query of the stream, which goes on when more files have landed."""
     source = flipped(spark, sf_dir).withColumn("start", F.when(F.col("event_id") % 97 == 0, F.timestamp_add("SECOND", F.lit(1), F.col("ts"))).otherwise(F.col("ts")))
-    landing = scratch(spark, "landing")
+    landing, state = scratch(spark, "landing"), scratch(spark, "live-state")
     top = source.agg(F.max("seq")).first()[0] or 0
-    for i in range(LANDED):  # each trigger takes one file, so a state call sees a slice of a key's rows
+    for i in range(LANDED):  # each trigger takes one part, so a state call sees a slice of a key's rows
         part = source.where((F.col("seq") * LANDED >= (top + 1) * i) & (F.col("seq") * LANDED < (top + 1) * (i + 1)))
-        part.coalesce(1).write.mode("append").parquet(landing)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-
-
-def _run(stream: DataFrame, persist) -> None:
-    stream.writeStream.foreachBatch(persist).option("checkpointLocation", scratch(stream.sparkSession, "live-state")).trigger(availableNow=True).start().awaitTermination()
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(source.schema).parquet(landing)
+        start(stream).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def _ingest(spark, sf_dir, then=None) -> Ingest:
     sink = Ingest(scratch(spark, "ingest"), ARRIVING, Segments("day"), "value", then=then)
-    _run(_arriving(spark, sf_dir), sink.persist)
+    _run(spark, sf_dir, lambda stream: stream.writeStream.foreachBatch(sink.persist))
     return sink
 
 
@@ -431,9 +428,9 @@ def live_ingest(spark, sf_dir):
 @query("live_ingest_stateful", LIVE)
 def live_ingest_stateful(spark, sf_dir):
     """The same by the engine's own state, as a stream that other streaming operators can follow."""
-    out, state = (scratch(spark, name) for name in ("live", "live-state"))
-    rows = live.live_ingest(_arriving(spark, sf_dir), ARRIVING, Segments("day"), "value")
-    rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    out = scratch(spark, "live")
+    rows = lambda stream: live.live_ingest(stream, ARRIVING, Segments("day"), "value")
+    _run(spark, sf_dir, lambda stream: rows(stream).writeStream.format("parquet").option("path", out))
     return spark.read.parquet(out).select("key", "seq", F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), "value", "status", "rolled_over")
 
 

@@ -47,6 +47,11 @@ def _intervals(start, end, segment, last, opened):
     return taken, rolled, last, opened
 
 
+def judged(start, end, segment, last, opened):
+    """(accepted, rolled over, last end, open segment) of one key's rows in order of arrival, after the state before them."""
+    return (_instants if (start >= end).all() else _intervals)(start, end, segment, last, opened)
+
+
 def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Frames of (key, kind, seq, start_us, end_us, segment_us, value), sorted by (key, kind, seq), with status and rolled_over.
 
@@ -54,11 +59,12 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """
     key, last, opened, sample = None, LEAST, LEAST, None
 
-    def state():
-        row = sample.iloc[:1].assign(kind=STATE, seq=0, start_us=last, end_us=last, segment_us=opened, status="state", rolled_over=False)
-        row["value"] = None
-        row["key"] = key
-        return row.astype({c: sample[c].dtype for c in ("key", "seq")})
+    def states(made):
+        keys, ends, segments = zip(*made)
+        blank = sample["value"].dtype if sample["value"].dtype.kind in "fM" else object
+        rows = {"key": pd.Series(keys, dtype=sample["key"].dtype), "kind": STATE, "seq": 0, "start_us": ends, "end_us": ends, "segment_us": segments}
+        rows |= {"value": pd.Series([None] * len(keys), dtype=blank), "status": "state", "rolled_over": False}
+        return pd.DataFrame(rows).astype({c: sample[c].dtype for c in ("kind", "seq")})
 
     for frame in frames:
         sample = frame if sample is None else sample
@@ -69,19 +75,19 @@ def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if key is None or keys[a] != key:
                 if last > LEAST:
-                    out.append(state())
+                    out.append((key, last, opened))
                 key, last, opened = keys[a], LEAST, LEAST
             if kind[a] == STATE:
                 last, opened = int(end[a]), int(segment[a])
                 a += 1
             s, e = start[a:b], end[a:b]
             if len(s):
-                taken, rolled[a:b], last, opened = (_instants if (s >= e).all() else _intervals)(s, e, segment[a:b], last, opened)
+                taken, rolled[a:b], last, opened = judged(s, e, segment[a:b], last, opened)
                 status[a:b][s > e] = "malformed"
                 status[a:b][taken] = "accepted"
-        yield pd.concat([frame.assign(status=status, rolled_over=rolled)[kind == ROW], *out])
+        yield pd.concat([frame.assign(status=status, rolled_over=rolled)[kind == ROW], *([states(out)] if out else [])])
     if last > LEAST:
-        yield state()
+        yield states([(key, last, opened)])
 
 
 @dataclass(frozen=True)

@@ -16,53 +16,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronolith.functions.segments import Segments
 from chronolith.operators.series import Series, latest
+from chronolith.streaming.ingest import LEAST, judged
 
 STATE = "last_end timestamp, segment timestamp"
 
 
-def _in_bulk(rows: pd.DataFrame, last, segment):
-    """(status, rolled over, last end, segment) where all well-formed rows are instants: the last end is a running maximum."""
-    bad = rows["start_ts"] > rows["end_ts"]
-    before = rows["end_ts"].where(~bad).cummax().shift(1).ffill()
-    if last is not None:
-        before = before.fillna(last).clip(lower=last)
-    taken = ~bad & ~(rows["start_ts"] < before)
-    opened = rows["segment_from"].where(taken)
-    previous = opened.ffill().shift(1)
-    if segment is not None:
-        previous = previous.fillna(segment)
-    rolled = taken & (rows["segment_from"] > previous)
-    if taken.any():
-        last, segment = rows["end_ts"][taken].iloc[-1], opened[taken].iloc[-1]
-    return np.select([bad, taken], ["malformed", "accepted"], "late"), rolled.to_numpy(bool), last, segment
-
-
 def _ingest(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Statuses of one key's rows in one micro-batch, whose size the trigger bounds."""
     rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    last, segment = state.get if state.exists else (None, None)
-    last, segment = (None if v is None else pd.Timestamp(v) for v in (last, segment))
-    if (rows["start_ts"] >= rows["end_ts"]).all():
-        status, rolled, last, segment = _in_bulk(rows, last, segment)
-        if last is not None:
-            state.update((last.to_pydatetime(), segment.to_pydatetime()))
-        yield rows.assign(status=status, rolled_over=rolled)
-        return
-    status, rolled = [], []
-    for start, end, low in zip(rows["start_ts"], rows["end_ts"], rows["segment_from"]):
-        if start > end:
-            status.append("malformed")
-        elif last is not None and start < last:
-            status.append("late")
-        else:
-            status.append("accepted")
-            rolled.append(segment is not None and low > segment)
-            last, segment = end, low
-            continue
-        rolled.append(False)
-    if last is not None:
-        state.update((last.to_pydatetime(), segment.to_pydatetime()))
-    yield rows.assign(status=status, rolled_over=rolled)
+    start, end, segment = (rows[c].to_numpy("datetime64[us]").astype(np.int64) for c in ("start_ts", "end_ts", "segment_from"))
+    last, opened = (int(np.datetime64(v, "us").astype(np.int64)) for v in state.get) if state.exists else (LEAST, LEAST)
+    taken, rolled, last, opened = judged(start, end, segment, last, opened)
+    if last > LEAST:
+        state.update(tuple(np.datetime64(v, "us").item() for v in (last, opened)))
+    yield rows.assign(status=np.select([start > end, taken], ["malformed", "accepted"], "late"), rolled_over=rolled)
 
 
 def live_ingest(stream: DataFrame, spec: Series, segments: Segments, value: str) -> DataFrame:

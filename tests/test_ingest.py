@@ -112,3 +112,16 @@ def test_with_rollover(spark, tmp_path):
     accepted = [s for s, (status, _) in want.items() if status == "accepted"]
     assert sorted(r.seq for r in history.live(spark).collect()) == sorted(s for s in accepted if days[s] == last[key[s]][1])
     assert sorted(r.seq for r in history.history(spark).collect()) == sorted(s for s in accepted if days[s] < last[key[s]][1])
+
+
+def test_states_of_a_frame_are_one_frame(monkeypatch):
+    """Not one for each of its keys."""
+    import pandas as pd
+
+    n, seen, concat = 500, [], pd.concat
+    frame = pd.DataFrame({"key": range(n), "kind": ROW, "seq": 0, "start_us": range(n), "end_us": range(n), "segment_us": 0, "value": 1.0})
+    monkeypatch.setattr(pd, "concat", lambda frames, **how: seen.append(len(frames)) or concat(frames, **how))
+    out = concat(list(judge(iter([frame]))))
+    assert max(seen) <= 2
+    states = out[out.kind == STATE]
+    assert states.key.tolist() == list(range(n)) and states.end_us.tolist() == list(range(n)) and states.value.isna().all()
