@@ -8,8 +8,9 @@ texts of up to 2**level characters, and of twice as many; so texts whose lengths
 share a scale. The likeness of two fingerprints is the share of equal digits at the scale they share (places past both
 ends left out), corrected for chance. Walks of all texts of a level run in step, as arrays.
 
-Near fingerprints are found by banding: sampled digits of a band are a bucket key. Buckets pass on chains of those that
-meet (no row per pair); a component of the chains meets once in a task, where likenesses verify what is near.
+Near fingerprints are found by banding: sampled digits of a band are a bucket key. Those that meet compare a sketch of other
+digits, so that strangers part there, and pass on a forest of pairs (no row for each pair that is near). Likenesses verify
+these pairs. Only what isn't joined by then to its component of candidates meets the rest of it, in blocks.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from chronolith.llm.components import components, forest
 DIGITS, LOWEST, SEED = 128, 5, 11
 GROUP_CHARS = 6 << 20  # characters of texts whose walks run together
 BLOCK, MISS = 2048, 0.01
+SKETCH, MISS_SKETCH = 16, 0.001  # digits of a sketch; the share of near ones whose sketches may differ by too much
 CHANCE = 0.15  # that a digit of two unrelated texts agrees: by its value, or as both stand on a common letter
 #: Shares of a walk that every text of a level, and of the level below, still crosses: only those digits make bands.
 CROSSED = (0.44, 0.22)
@@ -216,58 +218,123 @@ def band_shape(n: int, threshold: float) -> tuple[int, int]:
     return width, math.ceil(math.log(MISS) / math.log1p(-(share**width)))
 
 
+def sketch_need(digits: int, threshold: float) -> int:
+    """Digits of a sketch that must agree: a likeness at the threshold has fewer with probability MISS_SKETCH at most."""
+    share, below = threshold * 14 / 15 + 1 / 15, 0.0
+    for need in range(digits + 1):
+        below += math.comb(digits, need) * share**need * (1 - share) ** (digits - need)
+        if below > MISS_SKETCH:
+            return need
+    return digits
+
+
 def _band_pass(width: int, bands: int, bits: int):
-    """Rows (node, fingerprint) as one row for each bucket group: band keys and nodes."""
+    """Rows (node, fingerprint) as one row for each bucket group: band keys, sketches and nodes."""
     rnd = np.random.default_rng(SEED)
     drawn = [np.array([rnd.choice(int(DIGITS * share), width, replace=False) for _ in range(bands)]) for share in CROSSED]
+    other = [[rnd.permutation(np.setdiff1d(np.arange(int(DIGITS * share)), d))[:SKETCH] for d in of] for share, of in zip(CROSSED, drawn)]
 
     def run(batches):
         for batch in batches:
             node = batch.column(0).to_numpy()
             level, digits = _parts(batch.column(1).to_pylist())
-            keys, who = [], []
+            keys, marks, who = [], [], []
             for scale in (0, 1):
                 base = mix((level + scale).astype(U64) + U64(1))
+                values = (digits[:, scale] & 15) + 9 * (digits[:, scale] >> 6)
                 for band in range(bands):
                     some = digits[:, scale, drawn[scale][band]]
                     h = base + U64(band << 8)
                     for i in range(width):
                         h = mix(h * U64(0x9E3779B97F4A7C15) + some[:, i])
+                    mark = np.zeros(len(h), U64)
+                    for i in other[scale][band]:
+                        mark = (mark << U64(4)) | values[:, i]
                     real = np.flatnonzero((some != 48).all(axis=1))
                     keys.append(h[real])
+                    marks.append(mark[real])
                     who.append(node[real])
-            keys, who = cat(keys, U64), cat(who, np.int64)
+            keys, marks, who = cat(keys, U64), cat(marks, U64), cat(who, np.int64)
             order = np.argsort(keys, kind="stable")
-            keys, who = keys[order], who[order]
+            keys, marks, who = keys[order], marks[order], who[order]
             edges = np.searchsorted(keys, np.arange(1, 1 << bits).astype(U64) << U64(64 - bits))
-            out = [(g, planes(keys[i:j]), planes(who[i:j])) for g, (i, j) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)])) if j > i]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 3, (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "keys", "nodes"])
+            out = [(g, planes(keys[i:j]), planes(marks[i:j]), planes(who[i:j])) for g, (i, j) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(keys)])) if j > i]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.int32(), *[pa.binary()] * 3))], ["bucket", "keys", "marks", "nodes"])
+
+    return run
+
+
+def sketch_pairs(keys: np.ndarray, marks: np.ndarray, apart: int) -> np.ndarray:
+    """Rows of two places that join, within equal ``keys``, all whose sketches differ in at most ``apart`` digits.
+
+    ``keys`` and, within them, ``marks`` are sorted. Equal sketches are chained; of different ones, each probes those that
+    aren't in its group yet, and those of the first one's group don't probe.
+    """
+    same = np.flatnonzero((keys[1:] == keys[:-1]) & (marks[1:] == marks[:-1]))
+    pairs = [np.c_[same, same + 1]]
+    own = np.setdiff1d(np.arange(len(keys)), same + 1)  # the first of each sketch
+    k, m = keys[own], marks[own]
+
+    def near(x, y):
+        x = x ^ y
+        x |= x >> U64(2)
+        x |= x >> U64(1)
+        return np.bitwise_count(x & U64(0x1111111111111111)) <= apart
+
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
+    long = np.diff(np.r_[start, len(k)])
+    two = start[long == 2]
+    two = two[near(m[two], m[two + 1])]
+    pairs.append(np.c_[own[two], own[two + 1]])
+    for lo, n in zip(start[long > 2].tolist(), long[long > 2].tolist()):
+        group, some = np.arange(n), m[lo : lo + n]
+        for i in range(n):
+            if i and group[i] == group[0]:
+                continue
+            rest = np.flatnonzero(group != group[i])
+            if not len(rest):
+                break
+            hit = rest[near(some[rest], some[i])]
+            if len(hit):
+                others, first = np.unique(group[hit], return_index=True)
+                pairs.append(own[np.c_[np.full(len(first), lo + i), lo + hit[first]]])
+                group[np.isin(group, others)] = group[i]
+    return np.concatenate(pairs)
+
+
+def _chains(apart: int):
+    """Of the buckets of a group: a forest of pairs that share a key and have like sketches."""
+
+    @grouped
+    def run(key, tables):
+        cols = [[], [], []]
+        for t in tables:
+            for r in t.to_pylist():
+                for to, name, kind in zip(cols, ("keys", "marks", "nodes"), (U64, U64, np.int64)):
+                    to.append(unplanes(r[name], kind))
+        keys, marks, node = (cat(c, kind) for c, kind in zip(cols, (U64, U64, np.int64)))
+        order = np.lexsort((node, marks, keys))
+        keys, marks, node = keys[order], marks[order], node[order]
+        met = node[sketch_pairs(keys, marks, apart)]
+        names, ends = np.unique(met.T.ravel(), return_inverse=True)
+        links = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-@grouped
-def _chains(key, tables):
-    """Of the buckets of a group: a forest of chains of those that share a key."""
-    keys, node = [], []
-    for t in tables:
-        for r in t.to_pylist():
-            keys.append(unplanes(r["keys"], U64))
-            node.append(unplanes(r["nodes"], np.int64))
-    keys, node = cat(keys, U64), cat(node, np.int64)
-    order = np.lexsort((node, keys))
-    keys, node = keys[order], node[order]
-    met = np.flatnonzero(keys[1:] == keys[:-1])
-    names, ends = np.unique(np.r_[node[met], node[met + 1]], return_inverse=True)
-    links = forest(np.unique(ends.reshape(2, -1).T, axis=0), len(names))
-    yield pa.RecordBatch.from_arrays([pa.array(names[links[:, i]], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
-def near_links(level: np.ndarray, digits: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that join all fingerprints whose likeness reaches the threshold; those of the first probe's group don't probe."""
+def near_links(level: np.ndarray, digits: np.ndarray, threshold: float, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that join all fingerprints whose likeness reaches the threshold; those of the first probe's group don't probe.
+
+    Those of equal ``labels`` are joined before; then those of the largest group don't probe.
+    """
     group, links = np.arange(len(level)), []
+    anchor = 0
+    if labels is not None and len(labels):
+        group = np.unique(labels, return_inverse=True)[1]
+        anchor = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
     for i in range(len(level)):
-        if i and group[i] == group[0]:
+        if group[i] == group[anchor] and (i or labels is not None):
             continue
         rest = np.flatnonzero(group != group[i])
         if not len(rest):
@@ -279,20 +346,31 @@ def near_links(level: np.ndarray, digits: np.ndarray, threshold: float) -> list[
     return links
 
 
+def _near_pairs(threshold: float):
+    """Rows (a, b, left, right) with two fingerprints: those pairs that are near."""
+
+    def run(batches):
+        for batch in batches:
+            near = likeness(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= threshold
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
 def _verify(threshold: float):
-    """Whole small components, or one pair of blocks of a large one: links that join what is near."""
+    """Cells, each with rows of one component, packed into a task: links that join what is near and has different labels."""
 
     @grouped
     def run(key, tables):
         t = pa.concat_tables(tables)
-        node, comp = (t.column(c).to_numpy() for c in ("node", "comp"))
+        node, comp, cell, label = (t.column(c).to_numpy() for c in ("node", "comp", "cell", "label"))
         prints = t.column("fingerprint").to_pylist()
-        order = np.lexsort((node, comp))
-        start = np.flatnonzero(np.r_[True, comp[order][1:] != comp[order][:-1]])
+        order = np.lexsort((node, cell, comp))
+        start = np.flatnonzero(np.r_[True, (comp[order][1:] != comp[order][:-1]) | (cell[order][1:] != cell[order][:-1])])
         a, b = [], []
         for lo, hi in zip(start, np.r_[start[1:], len(order)]):
             own = order[lo:hi]
-            links = near_links(*_parts([prints[i] for i in own]), threshold)
+            links = near_links(*_parts([prints[i] for i in own]), threshold, label[own])
             a += [int(node[own[i]]) for i, _ in links]
             b += [int(node[own[j]]) for _, j in links]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -300,14 +378,39 @@ def _verify(threshold: float):
     return run
 
 
+def _unsettled_links(met: DataFrame, found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Written links between what ``found`` hasn't joined of the components of ``met`` (both a, b).
+
+    What is outside a component's largest group meets that group, and itself, in blocks; what is of one group isn't compared.
+    """
+    known = components(found).withColumnRenamed("component", "label")
+    now = written(components(met).withColumnRenamed("component", "comp").join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "print-candidates")
+    mass = now.groupBy("comp", "label").count()
+    top = mass.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("most"), F.sum("count").alias("all")).where("most < all")
+    x, y = F.ceil(F.col("most") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
+    open_ = now.join(top, "comp").withColumns({"x": x, "y": y, "rest": F.col("label") != F.col("top")})
+    open_ = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("y")).otherwise(F.col("x"))).cast("int"))
+    own = ["node", "comp", "label"]
+    a = open_.where("not rest").select(*own, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("j"))
+    b = open_.where("rest").select(*own, F.explode(F.sequence(F.lit(0), F.col("x") - 1)).alias("i"), F.col("part").alias("j"))
+    c = open_.where("rest").select(*own, "part", F.explode(F.sequence(F.lit(0), F.col("y") - 1)).alias("other")).where("part <> other")
+    c = c.select(*own, (-1 - F.least("part", "other")).alias("i"), F.greatest("part", "other").alias("j"))
+    cells = written(a.unionByName(b).unionByName(c).select(*own, F.xxhash64("comp", "i", "j").alias("cell")), "print-cells")
+    bins = max(2 * cells.sparkSession.sparkContext.defaultParallelism, math.ceil(cells.count() / BLOCK))
+    dealt = cells.withColumn("bin", F.pmod(F.xxhash64("cell"), F.lit(bins))).join(classes.select("node", "fingerprint"), "node")
+    return written(dealt.groupBy("bin").applyInArrow(_verify(threshold), "a long, b long"), "print-links")
+
+
 def near_duplicates(prints: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Rows of ``prints`` (doc_id, fingerprint, ...) with component_id, the smallest doc_id that links reach.
 
     Equal fingerprints are one class. Classes that agree on all sampled digits of a band, at a scale they share, may be
     near; a likeness of at least ``threshold`` links them (one at the threshold, spread evenly over the texts, is missed by
-    all bands with probability MISS). Bands lie in the part of the walk that all texts of a level cross; texts of less
-    than half the lowest level's length link only if their fingerprints are equal. Components of more than BLOCK classes are compared in pairs of blocks. Null doc_ids or fingerprints link with
-    nothing and have their doc_id as component_id; an empty table gives an empty one.
+    all bands with probability MISS). In a bucket, sketches of digits outside the band decide which of them are candidates
+    (one at the threshold is missed with MISS_SKETCH): so strangers don't grow into components that grow with the table.
+    Bands and sketches lie in the part of the walk that all texts of a level cross; texts of less than half the lowest
+    level's length link only if their fingerprints are equal. Null doc_ids or fingerprints link with nothing and have
+    their doc_id as component_id; an empty table gives an empty one.
     """
     spark = prints.sparkSession
     prints = prints.withColumns({"_d1": F.xxhash64("fingerprint"), "_d2": F.xxhash64("fingerprint", F.lit(1))})
@@ -316,17 +419,13 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.75) -> DataFrame:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "print-classes")
     width, bands = band_shape(classes.count(), threshold)
     bits = bucket_bits(spark, 2)
-    dealt = classes.select("node", "fingerprint").mapInArrow(_band_pass(width, bands, bits), "bucket int, keys binary, nodes binary")
-    met = written(dealt.groupBy("bucket").applyInArrow(_chains, "a long, b long"), "print-chains")
-    member = components(met).withColumnRenamed("component", "comp")
-    placed = member.join(member.groupBy("comp").count(), "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = F.col("blocks") > 1
-    bins = max(1, math.ceil(member.count() / BLOCK), 2 * spark.sparkContext.defaultParallelism)
-    pair = (F.least("part", "other"), F.greatest("part", "other"))
-    placed = placed.select("node", "comp", F.when(large, F.xxhash64("comp", *pair)).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))).alias("cell"))
-    cells = placed.join(classes.select("node", "fingerprint"), "node")
-    links = written(cells.groupBy("cell").applyInArrow(_verify(threshold), "a long, b long"), "print-links")
+    digits = min(SKETCH, int(DIGITS * min(CROSSED)) - width)
+    dealt = classes.select("node", "fingerprint").mapInArrow(_band_pass(width, bands, bits), "bucket int, keys binary, marks binary, nodes binary")
+    met = written(dealt.groupBy("bucket").applyInArrow(_chains(digits - sketch_need(digits, threshold)), "a long, b long"), "print-chains").distinct()
+    left, right = (classes.select(F.col("node").alias(n), F.col("fingerprint").alias(f)) for n, f in (("a", "left"), ("b", "right")))
+    pairs = met.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    found = written(pairs.mapInArrow(_near_pairs(threshold), "a long, b long"), "print-pairs")
+    links = found.unionByName(_unsettled_links(met, found, classes, threshold))
     joined = components(links).join(classes.select("node", "least"), "node")
     found = joined.join(joined.groupBy("component").agg(F.min("least").alias("_found")), "component").select("node", "_found")
     known = classes.join(found, "node", "left").select("_d1", "_d2", F.coalesce("_found", "least").alias("_found"))

@@ -119,3 +119,23 @@ def test_a_doc_id_that_most_rows_share(spark):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     want = sorted((d or 0, hashlib.sha256(edited(t, order[i - 1][1]).encode()).hexdigest()) for i, (d, t) in enumerate(order))
     assert sorted((r.doc_id or 0, r.edited_sha256) for r in edit_fingerprints(df).collect()) == want
+
+
+def test_strangers_do_not_become_candidates(spark, monkeypatch):
+    """Texts of one language meet in bands by chance; what goes on from the buckets is near, or nearly nothing."""
+    from chronolith.llm import edit_fingerprint as E
+
+    rnd = random.Random(14)
+    words = ["".join(rnd.choices("etaoinshrdlu", [12, 9, 8, 8, 7, 7, 6, 6, 6, 4, 4, 3], k=rnd.randrange(2, 7))) for _ in range(60)]
+    texts = [" ".join(rnd.choices(words, k=90)) for _ in range(3000)]
+    texts += [t + " zz" for t in texts[:20]]
+    sizes = []
+
+    def counted(edges, f=E.components):
+        sizes.append(edges.where("a <> b").selectExpr("explode(array(a, b)) as n").distinct().count())
+        return f(edges)
+
+    monkeypatch.setattr(E, "components", counted)
+    got = near_duplicates(fingerprint_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    assert len(got) == len(texts) and max(sizes) < 600  # 20 pairs, and few strangers; 2573 when all that share a band went on
+    assert sum(r.component_id == r.doc_id - 3000 for r in got if r.doc_id >= 3000) == 20
