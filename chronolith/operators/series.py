@@ -9,6 +9,7 @@ joined by (key, position), which spreads a hot key over all tasks.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows and probes that one task of an as-of lookup sorts, on average; beyond that, the shuffle gets more partitions.
+TASK_ROWS = 1 << 18
+
+
 @dataclass(frozen=True)
 class Series:
     """Columns of a series table: key, start and end time (start: the end time unless given), and the tie breaker."""
@@ -62,6 +67,14 @@ def _dealt(both: DataFrame, bucket: str | int | None) -> DataFrame:
     return both.withColumns({"_k": F.struct("_k"), "_b": F.struct(t.isNotNull().alias("_timed"), bucket_of(bucket, t).alias("_at"))})
 
 
+def _parts(both: DataFrame) -> int:
+    """Partitions for ``both`` that leave TASK_ROWS rows to each; 0 if the session's are enough."""
+    if both.isStreaming:
+        return 0
+    parts = math.ceil(both.count() / TASK_ROWS)
+    return parts if parts > int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def _bases(counts: DataFrame) -> DataFrame:
     """(_k, _b, _c rows) with ``_base``, the rows of the key in earlier buckets, and ``_n``, all its rows."""
     before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -108,15 +121,18 @@ def as_of(rows: DataFrame, probes: DataFrame, on: tuple[str, str, str], at: tupl
     or with ``fallback`` the first row of the key (forward: the last).
 
     Rows are shuffled once, with the probes, by key and bucket; a bucket's outermost row is carried over to the next ones,
-    one row for each key and bucket.
+    one row for each key and bucket. Both are counted first, so that what a task sorts doesn't grow with the tables.
     """
     key, order, tie = on
     kept = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
     known = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_t"), F.col(tie).alias("_s"), F.lit(0).alias("_asks"), F.struct(*columns).alias("_row"))
     asked = probes.select(F.col(at[0]).alias("_k"), F.col(at[1]).alias("_t"), F.lit(1).alias("_asks"), kept.alias("_probe"))
-    both = _dealt(known.unionByName(asked, allowMissingColumns=True), bucket)
+    both = known.unionByName(asked, allowMissingColumns=True)
+    parts, both = _parts(both), _dealt(both, bucket)
+    both = both.repartition(parts, "_k", "_b") if parts else both
     rank = F.when(F.col("_asks") == 0, F.struct(F.col("_t").isNotNull(), "_t", "_s"))
     ends = both.groupBy("_k", "_b").agg(F.min_by("_row", rank).alias("_low"), F.max_by("_row", rank).alias("_high"))
+    ends = ends.repartition(parts, "_k") if parts else ends
     up, down = W.partitionBy("_k").orderBy(F.asc("_b")), W.partitionBy("_k").orderBy(F.desc("_b"))
     whole = (W.unboundedPreceding, W.unboundedFollowing)
     carried = F.last("_low" if forward else "_high", True).over((down if forward else up).rowsBetween(W.unboundedPreceding, -1))

@@ -150,3 +150,20 @@ def test_entities(spark):
     kept = {r["id"]: (r["name"], r["version"]) for r in rel.save_all(rows, changed, "id", "version").collect()}
     assert kept == {1: ("x", 1), 2: ("b", 3), 3: ("b", 1), 4: ("z", 0)}
     assert [r["id"] for r in rel.stale_changes(rows, changed, "id", "version").collect()] == [2]
+
+
+def test_as_of_lookups_get_more_partitions_with_more_rows(spark, monkeypatch):
+    """What a task sorts is bounded by the number of partitions; results stay the same."""
+    from pyspark.sql import functions as F
+
+    from chronolith.operators import series
+
+    rows = spark.range(4000).selectExpr("id % 40 as k", "id * 2 as t", "id as v")
+    probes = spark.range(4000).selectExpr("id % 41 as key", "id * 2 + 1 as at", "id as probe")
+    for forward in (False, True):
+        ask = lambda: series.as_of(rows, probes, ("k", "t", "t"), ("key", "at"), ["t", "v"], 512, forward=forward)  # noqa: B023, E731
+        monkeypatch.setattr(series, "TASK_ROWS", 1 << 18, raising=False)
+        want = sorted(map(str, ask().collect()))
+        monkeypatch.setattr(series, "TASK_ROWS", 200, raising=False)
+        assert sorted(map(str, ask().collect())) == want
+        assert ask().select(F.spark_partition_id().alias("task")).distinct().count() > 20
