@@ -10,6 +10,8 @@ there are as many tables as miss a pair at the threshold with probability MISS;
    strangers from neighbours, and a forest of those that may be near is passed on: no row per pair, and no vector yet.
 3. The forest's components hold every candidate pair. Each vector goes once to its component (or, if that has more than
    BLOCK vectors, to each pair of blocks), where matrix products give all exact cosines. Small components share a task.
+
+Joins are sort-merge joins by hint, as in ``components``: nothing that grows with the table goes through the driver.
 """
 
 from __future__ import annotations
@@ -229,7 +231,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     member = components(met).withColumnRenamed("component", "comp")
     sizes = member.groupBy("comp").count()
     count = member.count()
-    placed = member.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = member.join(sizes.hint("merge"), "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = F.col("blocks") > 1
     bins = max(1, math.ceil(count / BLOCK), 2 * spark.sparkContext.defaultParallelism)
@@ -241,15 +243,15 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         F.when(large, F.least("part", "other")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins)).cast("int")).alias("p"),
         F.when(large, F.greatest("part", "other")).otherwise(F.lit(-1)).alias("q"),
     )
-    cells = placed.join(classes.select("node", "weight", "vec"), "node")
+    cells = placed.join(classes.select("node", "weight", "vec").hint("merge"), "node")
     seen = written(cells.groupBy("alone", "p", "q").applyInArrow(_compare(threshold), "a long, b long, links long"), "vector-links")
     degree = seen.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     joined = components(seen.where("links = 0").select("a", "b"))
-    reach = joined.join(classes.select("node", "least"), "node")
-    reach = reach.join(reach.groupBy("component").agg(F.min("least").alias("found")), "component").select("node", "found")
-    known = classes.select("key", "node", "least", "weight").join(degree, "node", "left").join(reach, "node", "left")
+    reach = joined.join(classes.select("node", "least").hint("merge"), "node")
+    reach = reach.join(reach.groupBy("component").agg(F.min("least").alias("found")).hint("merge"), "component").select("node", "found")
+    known = classes.select("key", "node", "least", "weight").join(degree.hint("merge"), "node", "left").join(reach.hint("merge"), "node", "left")
     known = known.select("key", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("found", "least").alias("found"))
-    out = rows.select("vec_id", "key").join(known, "key", "left")
+    out = rows.select("vec_id", "key").join(known.hint("merge"), "key", "left")
     component = F.coalesce("found", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 

@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 
+from chronolith.llm.common import written
 from chronolith.llm.embedding_dedup import ORACLE, agreement, embedding_dedup, op2_embedding_dedup, shape, units
 
 
@@ -71,3 +72,21 @@ def test_recall(spark):
     want = (x[::10] @ x.T >= 0.93).sum(axis=1) - 1
     have = np.array([got[i] for i in range(0, 4000, 10)])
     assert want.sum() > 500 and (have <= want).all() and have.sum() >= 0.99 * want.sum()
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Written tables of ids are far smaller than their rows, so their files' sizes must not send them through the driver."""
+    plans = []
+
+    def told(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr("chronolith.llm.components.written", told)
+    monkeypatch.setattr("chronolith.llm.embedding_dedup.written", told)
+    rnd = np.random.default_rng(4)
+    x = np.repeat(rnd.standard_normal((20, 16)), 3, axis=0) + 0.01 * rnd.standard_normal((60, 16))
+    out = embedding_dedup(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 6 and sum("SortMergeJoin" in p for p in plans) > 4
+    assert not [p for p in plans if "Broadcast" in p]
