@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import bucket_bits, cat, columns_guarded, grouped, mix, planes, unplanes, written
-from chronolith.llm.components import components
+from chronolith.llm.components import components, with_key
 
 WIDTH, MISS, BLOCK, SEED = 3.0, 1e-3, 4096, 7
 SIGNS, NEAR, CORE = 256, 64, 32  # at cosine 0.93 two vectors differ in 31 of 256 signs, give or take 5; strangers in 128, give or take 8
+PAIRS = 1 << 18  # of signs compared at once
 FLUSH = 8192  # vectors whose signatures are packed together
 U64 = np.uint64
 _I, _L, _B, _F = pa.int32(), pa.int64(), pa.binary(), pa.float64()
@@ -136,8 +137,9 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _bucket_forest(key, tables):
     """Of the buckets of a group: links that join what may be near.
 
-    A centre takes out of the race what lies within CORE signs of it and is joined with all within CORE + NEAR, so two
-    vectors within NEAR signs of each other always end up joined, and a bucket of close copies is passed once.
+    Only vectors within NEAR signs of each other are joined, and any two such end up joined: a centre takes out of the race
+    what lies within CORE signs of it, so that a bucket of close copies is passed once, and what waits within CORE + NEAR of
+    the centre meets those taken out, until it is joined. Strangers that share a bucket stay apart.
     """
     sig, node, signs = [], [], []
     for t in tables:
@@ -158,14 +160,22 @@ def _bucket_forest(key, tables):
         forest.join(int(number[i]), int(number[i + 1]))
     for lo, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
         own, mine = signs[lo : lo + n], number[lo : lo + n]
-        waiting = np.ones(n, bool)
-        while waiting.any():
-            centre = int(waiting.argmax())
-            apart = _differ(own, own[centre])
-            waiting &= apart > CORE
-            waiting[centre] = False
-            for j in np.flatnonzero(apart <= CORE + NEAR).tolist():
+        waiting = np.arange(n)
+        while len(waiting) > 1:
+            centre = int(waiting[0])
+            apart = _differ(own[waiting], own[centre])
+            core, ring = waiting[apart <= CORE], waiting[(apart > NEAR) & (apart <= CORE + NEAR)]
+            for j in waiting[1:][apart[1:] <= NEAR].tolist():
                 forest.join(int(mine[centre]), int(mine[j]))
+            at = 1  # the first is the centre
+            while len(ring) and at < len(core):
+                some = core[at : at + max(1, PAIRS // len(ring))]
+                near = _differ(own[ring][:, None], own[some][None]) <= NEAR
+                hit = near.any(axis=1)
+                for i, j in zip(ring[hit].tolist(), some[near[hit].argmax(axis=1)].tolist()):
+                    forest.join(int(mine[j]), int(mine[i]))
+                ring, at = ring[~hit], at + len(some)
+            waiting = waiting[apart > CORE]
     ends = names[np.array(forest.links, np.int64).reshape(-1, 2)]
     yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0], _L), pa.array(ends[:, 1], _L)], ["a", "b"])
 
@@ -231,7 +241,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     member = components(met).withColumnRenamed("component", "comp")
     sizes = member.groupBy("comp").count()
     count = member.count()
-    placed = member.join(sizes.hint("merge"), "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    placed = with_key(member, sizes, "comp").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = F.col("blocks") > 1
     bins = max(1, math.ceil(count / BLOCK), 2 * spark.sparkContext.defaultParallelism)
@@ -248,7 +258,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     degree = seen.where("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     joined = components(seen.where("links = 0").select("a", "b"))
     reach = joined.join(classes.select("node", "least").hint("merge"), "node")
-    reach = reach.join(reach.groupBy("component").agg(F.min("least").alias("found")).hint("merge"), "component").select("node", "found")
+    reach = with_key(reach, reach.groupBy("component").agg(F.min("least").alias("found")), "component").select("node", "found")
     known = classes.select("key", "node", "least", "weight").join(degree.hint("merge"), "node", "left").join(reach.hint("merge"), "node", "left")
     known = known.select("key", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("found", "least").alias("found"))
     out = rows.select("vec_id", "key").join(known.hint("merge"), "key", "left")

@@ -1,8 +1,10 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 
-from chronolith.llm.common import written
-from chronolith.llm.embedding_dedup import ORACLE, agreement, embedding_dedup, op2_embedding_dedup, shape, units
+from chronolith.llm.common import planes, written
+from chronolith.llm.components import forest
+from chronolith.llm.embedding_dedup import NEAR, ORACLE, _bucket_forest, agreement, embedding_dedup, op2_embedding_dedup, shape, units
 
 
 def test_against_sql(spark):
@@ -90,3 +92,27 @@ def test_nothing_is_broadcast(spark, monkeypatch):
     plans.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 6 and sum("SortMergeJoin" in p for p in plans) > 4
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_strangers_in_a_bucket():
+    """Of one bucket, just those end up joined that chains of vectors within NEAR signs of each other join."""
+    rnd = np.random.default_rng(5)
+    groups = [c + noise * rnd.standard_normal((40, 32)) for c, noise in zip(rnd.standard_normal((6, 32)), (0.05, 0.2, 0.4, 0.5, 0.6, 0.7))]
+    x = np.concatenate([rnd.standard_normal((300, 32)), *groups, groups[1] * 2])
+    signs = np.packbits(x @ rnd.standard_normal((32, 256)) > 0, axis=1).view(np.uint64)
+    apart = np.bitwise_count(signs[:, None] ^ signs[None]).sum(axis=-1)
+    nodes = rnd.permutation(len(x)).astype(np.int64) + 100
+
+    def groups_of(links):
+        same = np.arange(len(x))
+        for a, b in links:
+            same[same == same[b]] = same[a]
+        return {frozenset(np.flatnonzero(same == g).tolist()) for g in np.unique(same)}
+
+    row = {"bucket": [0], "sigs": [planes(np.zeros(len(x), np.uint64))], "nodes": [planes(nodes)], "signs": [signs.tobytes()]}
+    got = _bucket_forest((0,), pa.table(row)).to_pydict()
+    place = np.argsort(nodes)
+    links = [(place[a - 100], place[b - 100]) for a, b in zip(got["a"], got["b"])]
+    want = groups_of(forest(np.argwhere(apart <= NEAR), len(x)))
+    assert groups_of(links) == want and len(want) > 300 and max(map(len, want)) > 60
+    assert all(apart[a, b] <= NEAR for a, b in links)
